@@ -1,11 +1,11 @@
 """Run the validations of one or many tables and record them in the ledger.
 
-Per table the source is scanned ONCE for all row-level validations: the
-evidence of failing rows is written to a staging folder under the shared
-checkpoint directory while an ``Observation`` collects every perimeter and
-failure count in the same pass (the metrics node sits in the result stage of
-that write, so task retries do not count twice). Each dataset-level rule is
-one more plan. Staged evidence is then classified against the previous
+Per table, all row-level validations share ONE evidence scan (written to a
+staging folder under the shared checkpoint directory) and ONE aggregate scan
+that returns every perimeter and failure count as a single row (partial
+aggregation per task, codegen'd -- measured cheaper than collecting the same
+counts through an ``Observation`` on the evidence scan). Each dataset-level
+rule is one more plan. Staged evidence is then classified against the previous
 execution of the same table in one aggregate and appended to the ledger,
 flag included -- the ledger is append-only, nothing is updated afterwards.
 """
@@ -17,7 +17,7 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import pk_columns
@@ -27,7 +27,7 @@ from tessera.operators.custom import CustomRules, default_custom_rules
 from tessera.plans.config import active_validations, validation_plan
 from tessera.plans.ledger import dedup_evidences, stage
 from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, _tagged, finished_executions
-from tessera.plans.validate import Prepared, Validation, _fails_inside, prepare, row_evidence
+from tessera.plans.validate import Prepared, Validation, _fails_inside, prepare, row_counts, row_evidence
 from tessera.schemas import EVIDENCE_KEY, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver
@@ -133,20 +133,13 @@ class Runner:
         return TableOutcome(name, cfg.table_id, status, len(results), n_failed, n_error, results)
 
     def _stage_rows(self, df: DataFrame, prepared: list[Prepared], pk: str, execution_id: str, day, staging: str):
-        """One scan: write row-rule evidence, observe all counts."""
+        """Row-rule evidence in one scan; all perimeter and failure counts in
+        one aggregate (codegen'd, partial aggregation per task)."""
         while True:
-            obs = Observation(f"tessera_{uuid.uuid4().hex}")
-            metrics = [F.count(F.lit(1)).alias("_rows")]
-            for i, p in enumerate(prepared):
-                if p.perimeter is not None:
-                    metrics.append(F.count_if(p.perimeter).alias(f"p{i}"))
-                if p.kind == "row":
-                    metrics.append(F.count_if(_fails_inside(p)).alias(f"f{i}"))
-            observed = df.observe(obs, *metrics)
             try:
-                evidence = stage(row_evidence(observed, prepared, pk), execution_id, day)
+                evidence = stage(row_evidence(df, prepared, pk), execution_id, day)
                 evidence.write.mode("overwrite").parquet(f"{staging}/rows")
-                got = obs.get
+                got = row_counts(df, prepared)
                 break
             except Exception:                               # noqa: BLE001 - run-time error in a rule
                 culprits = self._isolate(df, prepared)
@@ -176,15 +169,15 @@ class Runner:
         return bad
 
     def _stage_datasets(self, prepared: list[Prepared], execution_id: str, day, staging: str) -> dict:
+        """Each dataset rule: write its evidence, count what was written."""
         failures = {}
         for i, p in enumerate(prepared):
             if p.kind != "dataset":
                 continue
-            obs = Observation(f"tessera_{uuid.uuid4().hex}")
+            path = f"{staging}/dataset_{i}"
             try:
-                observed = p.failing.observe(obs, F.count(F.lit(1)).alias("n"))
-                stage(observed, execution_id, day).write.mode("append").parquet(f"{staging}/datasets")
-                failures[p.validation.validation_id] = obs.get["n"]
+                stage(p.failing, execution_id, day).write.mode("overwrite").parquet(path)
+                failures[p.validation.validation_id] = self.spark.read.parquet(path).count()
             except Exception as exc:                        # noqa: BLE001
                 prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(exc))
         return failures
@@ -206,7 +199,8 @@ class Runner:
                                  & F.col("validation_id").isin(validation_ids)).limit(1).count())
         if already:
             return {}                                      # rerun of a recorded execution
-        parts = [p for p in (f"{staging}/rows", f"{staging}/datasets") if self.store_exists(p)]
+        parts = [f"{staging}/rows"] + [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
+        parts = [p for p in parts if self.store_exists(p)]
         if not parts:
             return {}
         current = dedup_evidences(self.spark.read.parquet(*parts))
@@ -221,19 +215,17 @@ class Runner:
         classified = (_tagged(current, previous).groupBy(*EVIDENCE_KEY)
                       .agg(F.bit_or("_tag").alias("state"),
                            *[F.max(F.col(f"_cur_{c}")).alias(c) for c in carried]))
-        obs = Observation(f"tessera_{uuid.uuid4().hex}")
-        metrics = []
-        for j, vid in enumerate(validation_ids):
-            is_v = F.col("validation_id") == vid
-            metrics += [F.count_if(is_v & (F.col("state") == NEW)).alias(f"n{j}"),
-                        F.count_if(is_v & (F.col("state") == PERSISTENT)).alias(f"p{j}"),
-                        F.count_if(is_v & (F.col("state") == RESOLVED)).alias(f"r{j}")]
-        flagged = (classified.observe(obs, *metrics)
-                   .filter(F.col("state") != RESOLVED)
+        # materialise once: counts and the ledger append both read it
+        classified.write.mode("overwrite").parquet(f"{staging}/classified")
+        staged = self.spark.read.parquet(f"{staging}/classified")
+        rows = (staged.groupBy("validation_id")
+                .agg(F.count_if(F.col("state") == NEW).alias("n"),
+                     F.count_if(F.col("state") == PERSISTENT).alias("p"),
+                     F.count_if(F.col("state") == RESOLVED).alias("r")).collect())   # one row per validation
+        flagged = (staged.filter(F.col("state") != RESOLVED)
                    .select(*carried, *EVIDENCE_KEY, (F.col("state") == NEW).alias("is_new_failure")))
         self.store.append(EVIDENCES, flagged)
-        got = obs.get
-        return {vid: (got[f"n{j}"], got[f"p{j}"], got[f"r{j}"]) for j, vid in enumerate(validation_ids)}
+        return {r.validation_id: (r.n, r.p, r.r) for r in rows}
 
     def store_exists(self, path: str) -> bool:
         from tessera.sources.ledger_store import _exists

@@ -211,6 +211,15 @@ def count_columns(prepared: list[Prepared]) -> list[Column]:
     return cols
 
 
+def row_counts(df: DataFrame, prepared: list[Prepared]) -> dict:
+    """Run the count aggregate: {p<i>: perimeter, f<i>: failures} (one job,
+    one row back to the driver)."""
+    cols = count_columns(prepared)
+    if not cols:
+        return {}
+    return df.agg(*cols).first().asDict()
+
+
 def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
     """One row per validation: status, perimeter and failed counts.
 
