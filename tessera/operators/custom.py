@@ -49,19 +49,21 @@ class CustomRules:
             return "sql"
         return None
 
-    def failing_condition(self, spark: SparkSession, name: str, columns: list[str]) -> Column:
-        """TRUE for a failing row (column and SQL-function rules)."""
+    def ok_expression(self, spark: SparkSession, name: str, columns: list[str]) -> Column:
+        """The rule's verdict: TRUE valid, FALSE failing, NULL passes."""
         if not columns:
             raise ValueError(f"custom rule '{name}' has no columns")
         kind = self.kind(spark, name)
         if kind == "column":
-            ok = self.column_rules[name](columns)
-        elif kind == "sql":
+            return self.column_rules[name](columns)
+        if kind == "sql":
             args = ", ".join(f"`{c}`" for c in columns)
-            ok = F.expr(f"{name}({args})")
-        else:
-            raise KeyError(f"custom rule '{name}' is not registered")
-        return ~ok
+            return F.expr(f"{name}({args})")
+        raise KeyError(f"custom rule '{name}' is not registered")
+
+    def failing_condition(self, spark: SparkSession, name: str, columns: list[str]) -> Column:
+        """TRUE for a failing row (column and SQL-function rules)."""
+        return ~self.ok_expression(spark, name, columns)
 
     def failing_frame(self, name: str, df: DataFrame, columns: list[str]) -> DataFrame:
         if not columns:

@@ -27,7 +27,15 @@ from tessera.operators.custom import CustomRules, default_custom_rules
 from tessera.plans.config import active_validations, validation_plan
 from tessera.plans.ledger import dedup_evidences, stage
 from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, _tagged, finished_executions
-from tessera.plans.validate import Prepared, Validation, _fails_inside, prepare, row_counts, row_evidence
+from tessera.plans.validate import (
+    Prepared,
+    Validation,
+    _fails_inside,
+    prepare,
+    row_counts,
+    row_evidence,
+    with_helpers,
+)
 from tessera.schemas import EVIDENCE_KEY, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver
@@ -163,7 +171,7 @@ class Runner:
             if p.kind != "row":
                 continue
             try:
-                df.agg(F.count_if(_fails_inside(p))).collect()
+                with_helpers(df, [p]).agg(F.count_if(_fails_inside(p))).collect()
             except Exception:                               # noqa: BLE001
                 bad.add(i)
         return bad

@@ -80,6 +80,17 @@ class Prepared:
     value: Column | None = None             # row kinds: failed value text
     failing: DataFrame | None = None        # dataset kinds: failing rows, projected
     error: str | None = None
+    # columns to add before evaluation (SQL functions are not allowed inside
+    # a Generate, so their verdict is computed in a projection below it)
+    helpers: dict = field(default_factory=dict)
+
+
+def with_helpers(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
+    helpers = {}
+    for p in prepared:
+        if p.kind == "row":
+            helpers.update(p.helpers)
+    return df.withColumns(helpers) if helpers else df
 
 
 def failed_field(params: dict, primary_key: str) -> str | None:
@@ -142,13 +153,20 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
             kind = _level(v, custom, ctx)
             params = dict(v.params)
             if kind == "row":
+                helpers = {}
                 if v.implementation == "CUSTOM":
-                    fail = custom.failing_condition(ctx.spark, v.rule_name, list(params.get("columns") or []))
+                    columns = list(params.get("columns") or [])
+                    if custom.kind(ctx.spark, v.rule_name) == "sql":
+                        name = f"_tessera_sql_{len(out)}"
+                        helpers[name] = custom.ok_expression(ctx.spark, v.rule_name, columns)
+                        fail = ~F.col(name)
+                    else:
+                        fail = custom.failing_condition(ctx.spark, v.rule_name, columns)
                 else:
                     fail = ROW_RULES[v.rule_name](df, params, ctx)
                 value = _value_column(params, primary_key)
-                df.select(fail, value).schema                # analysis
-                out.append(Prepared(v, "row", perimeter=perimeter, fail=fail, value=value))
+                (df.withColumns(helpers) if helpers else df).select(fail, value).schema   # analysis
+                out.append(Prepared(v, "row", perimeter=perimeter, fail=fail, value=value, helpers=helpers))
             else:
                 scoped = df.filter(perimeter) if v.perimeter else df
                 if v.implementation == "CUSTOM":
@@ -174,6 +192,7 @@ def row_evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> D
     spark = df.sparkSession
     if not rows:
         return spark.createDataFrame([], RAW_EVIDENCE_SCHEMA)
+    df = with_helpers(df, prepared)
     pk = pk_text(primary_key).alias("table_pk")
     if len(rows) == 1:
         p = rows[0]
@@ -217,7 +236,7 @@ def row_counts(df: DataFrame, prepared: list[Prepared]) -> dict:
     cols = count_columns(prepared)
     if not cols:
         return {}
-    return df.agg(*cols).first().asDict()
+    return with_helpers(df, prepared).agg(*cols).first().asDict()
 
 
 def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
@@ -232,7 +251,7 @@ def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
     counts = count_columns(prepared)
     pieces = []
     if counts:
-        one = df.agg(*counts)
+        one = with_helpers(df, prepared).agg(*counts)
         structs = []
         for i, p in enumerate(prepared):
             if p.perimeter is None:
