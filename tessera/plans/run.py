@@ -109,16 +109,26 @@ class Runner:
         except Exception:                                   # noqa: BLE001 - unreadable table
             return TableOutcome(name, cfg.table_id, "ERROR")
         literal = frozenset(r.technical_rule_name for r in rows if r.requires_literal_conversion)
-        ctx = RuleContext(self.spark, self.resolver, literal, self.as_of, self.aggregate_evidence)
         validations = [Validation.from_config(r) for r in rows]
-        pk = cfg.primary_key
-        prepared = prepare(df, validations, pk, ctx, self.custom)
+        out = self.run_frame(df, cfg.table_id, validations, cfg.primary_key, execution_id, started, literal)
+        out.table_name = name
+        return out
+
+    def run_frame(self, df: DataFrame, table_id: str, validations: list[Validation], primary_key: str,
+                  execution_id: str, started: datetime, literal_rules=frozenset()) -> TableOutcome:
+        """Validate one DataFrame as table ``table_id`` within an execution:
+        stage evidence, classify it against the previous execution of the
+        table, append evidence and results to the ledger."""
+        ctx = RuleContext(self.spark, self.resolver, frozenset(literal_rules), self.as_of, self.aggregate_evidence)
+        prepared = prepare(df, validations, primary_key, ctx, self.custom)
         day = started.date()
-        staging = scratch_path(self.spark, "tessera-staging", execution_id, cfg.table_id)
+        if self._recorded(RESULTS, execution_id, day, [v.validation_id for v in validations]):
+            return TableOutcome(table_id, table_id, "SKIPPED")   # replay of a recorded execution
+        staging = scratch_path(self.spark, "tessera-staging", execution_id, table_id)
 
-        perimeters, failures, prepared = self._stage_rows(df, prepared, pk, execution_id, day, staging)
+        perimeters, failures, prepared = self._stage_rows(df, prepared, primary_key, execution_id, day, staging)
         failures.update(self._stage_datasets(prepared, execution_id, day, staging))
-        counts = self._classify_and_append(cfg.table_id, [p.validation.validation_id for p in prepared],
+        counts = self._classify_and_append(table_id, [p.validation.validation_id for p in prepared],
                                            execution_id, started, staging)
         results = []
         for p in prepared:
@@ -138,7 +148,15 @@ class Runner:
         n_failed = sum(r["status"] == "FAILED" for r in results)
         n_error = sum(r["status"] == "ERROR" for r in results)
         status = "SUCCESS" if n_failed == 0 and n_error == 0 else "FAILED"
-        return TableOutcome(name, cfg.table_id, status, len(results), n_failed, n_error, results)
+        return TableOutcome(table_id, table_id, status, len(results), n_failed, n_error, results)
+
+    def _recorded(self, name: str, execution_id: str, day, validation_ids: list[str]) -> bool:
+        """Has this execution already been written for these validations?
+        (partition-pruned existence probe)"""
+        ledger = self.store.read(name)
+        hit = ledger.filter((F.col("execution_date") == F.lit(day)) & (F.col("execution_id") == execution_id)
+                            & F.col("validation_id").isin(validation_ids)).limit(1).count()
+        return hit > 0
 
     def _stage_rows(self, df: DataFrame, prepared: list[Prepared], pk: str, execution_id: str, day, staging: str):
         """Row-rule evidence in one scan; all perimeter and failure counts in
@@ -202,10 +220,7 @@ class Runner:
         """Flag staged evidence against the previous execution of the same
         table, append it to the ledger, return {vid: (new, persistent, resolved)}."""
         ledger = self.store.read(EVIDENCES)
-        day = started.date()
-        already = (ledger.filter((F.col("execution_date") == F.lit(day)) & (F.col("execution_id") == execution_id)
-                                 & F.col("validation_id").isin(validation_ids)).limit(1).count())
-        if already:
+        if self._recorded(EVIDENCES, execution_id, started.date(), validation_ids):
             return {}                                      # rerun of a recorded execution
         parts = [f"{staging}/rows"] + [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
         parts = [p for p in parts if self.store_exists(p)]
@@ -239,6 +254,9 @@ class Runner:
         from tessera.sources.ledger_store import _exists
         return _exists(self.spark, path)
 
+    def log_executions(self, execution_id: str, started: datetime, outcomes: list[TableOutcome]) -> None:
+        self._log_executions(execution_id, started, outcomes)
+
     def _log_executions(self, execution_id: str, started: datetime, outcomes: list[TableOutcome]) -> None:
         from decimal import Decimal
         rows = [dict(execution_id=execution_id, table_id=o.table_id or o.table_name,

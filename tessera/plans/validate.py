@@ -214,7 +214,9 @@ def dataset_evidence(prepared: list[Prepared]) -> list[DataFrame]:
 
 def evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> DataFrame:
     """(validation_id, table_pk, failed_value) for every failing record."""
-    frames = [row_evidence(df, prepared, primary_key)] + dataset_evidence(prepared)
+    frames = dataset_evidence(prepared)
+    if any(p.kind == "row" for p in prepared) or not frames:
+        frames = [row_evidence(df, prepared, primary_key)] + frames
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
