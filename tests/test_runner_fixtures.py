@@ -126,3 +126,18 @@ def test_unknown_table_skipped_and_bad_rule_error(spark, scratch_dir):
     store, resolver, runner = _setup(spark, scratch_dir)
     report = runner.run("no_such_table")
     assert report.status == "SKIPPED"
+
+
+def test_runtime_error_isolated(spark, scratch_dir):
+    """A rule that raises at run time (ANSI cast) is marked ERROR; the others
+    sharing its scan still produce their results."""
+    from tessera.plans.validate import Validation
+    store = Store(spark, f"{scratch_dir}/ledger")
+    runner = Runner(spark, store)
+    df = fx.run_frame(spark, "run1")
+    vals = [Validation("OK", "is_in_range", {"column": "age", "min_limit": 18.0, "max_limit": 100.0}),
+            Validation("BOOM", "sql_expression", {"expression": "CAST(name AS INT) > 0"})]
+    out = runner.run_frame(df, "T9", vals, "customer_id", "exec-iso", datetime(2024, 9, 1))
+    status = {r["validation_id"]: r["status"] for r in out.results}
+    assert status == {"OK": "FAILED", "BOOM": "ERROR"}
+    assert {r["validation_id"]: r["failed_records_count"] for r in out.results}["OK"] == 2
