@@ -22,7 +22,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    NumericType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext, operand
@@ -46,15 +53,35 @@ def _row_filter(df: DataFrame, params: dict) -> DataFrame:
     return df.filter(F.expr(rf)) if rf else df
 
 
+def _wide(df: DataFrame, keys: list[str]) -> bool:
+    """Keys worth hashing before the shuffle (strings, binaries, nested)."""
+    narrow = (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType)
+    return any(not isinstance(df.schema[k].dataType, narrow) for k in keys)
+
+
 def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
-    """Rows whose key occurs more than once; a key with a NULL part passes."""
+    """Rows whose key occurs more than once; a key with a NULL part passes.
+
+    Narrow keys: count per key (partial aggregation), semi-join the
+    repeated keys back. Wide keys (e.g. whole texts): first count per 64-bit
+    hash of the key, so only 8 bytes per row cross the shuffle; the exact
+    comparison then runs on the rows whose hash repeats (true duplicates
+    plus rare collisions) -- the result is exact either way.
+    """
     keys = _list(params, "columns")
     if not keys:
         raise ValueError("is_unique needs 'columns'")
     non_null = df.filter(_and([F.col(k).isNotNull() for k in keys]))
-    duplicated = (non_null.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if _wide(df, keys):
+        h = F.xxhash64(*[F.col(k) for k in keys])
+        repeated = (non_null.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+                    .filter(F.col("_n") > 1).select("_h"))
+        candidates = non_null.withColumn("_h", h).join(repeated, on="_h", how="left_semi").drop("_h")
+    else:
+        candidates = non_null
+    duplicated = (candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                   .filter(F.col("_n") > 1).select(*keys))
-    return non_null.join(duplicated, on=keys, how="left_semi")
+    return candidates.join(duplicated, on=keys, how="left_semi")
 
 
 def sql_query(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
@@ -151,18 +178,20 @@ def foreign_key(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
 
 def has_valid_schema(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     """All rows fail when an expected column is missing or typed otherwise;
-    extra columns are allowed. Decided from metadata only (no scan)."""
+    extra columns are allowed. Decided from metadata only (no scan). In
+    'summary' evidence mode a failure is one row describing the mismatches."""
     expected = params.get("expected_schema")
     if not expected:
         raise ValueError("has_valid_schema needs 'expected_schema'")
-    wanted = expected if isinstance(expected, StructType) else StructType.fromDDL(expected)
-    actual = {f.name.lower(): f.dataType for f in df.schema.fields}
-    ok = all(actual.get(f.name.lower()) == f.dataType for f in wanted.fields)
-    return df.filter(F.lit(not ok))
+    problems = schema_mismatches(df, expected)
+    if ctx.aggregate_evidence == "summary":
+        text = "; ".join(problems)
+        return df.sparkSession.range(1).select(F.lit(text).alias("aggregate")).filter(F.lit(bool(problems)))
+    return df.filter(F.lit(bool(problems)))
 
 
-def schema_mismatches(df: DataFrame, expected: str) -> list[str]:
-    wanted = StructType.fromDDL(expected)
+def schema_mismatches(df: DataFrame, expected) -> list[str]:
+    wanted = expected if isinstance(expected, StructType) else StructType.fromDDL(expected)
     actual = {f.name.lower(): f.dataType for f in df.schema.fields}
     out = []
     for f in wanted.fields:

@@ -173,7 +173,8 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
                     failing = custom.failing_frame(v.rule_name, scoped, list(params.get("columns") or []))
                 else:
                     failing = DATASET_RULES[v.rule_name](scoped, params, ctx)
-                summary = ctx.aggregate_evidence == "summary" and v.rule_name.startswith("is_aggr_")
+                summary = ctx.aggregate_evidence == "summary" and (
+                    v.rule_name.startswith("is_aggr_") or v.rule_name == "has_valid_schema")
                 projected = _project(failing, v.validation_id, params, primary_key, summary)
                 projected.schema                             # analysis
                 out.append(Prepared(v, "dataset", perimeter=perimeter, failing=projected))
