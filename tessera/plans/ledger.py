@@ -13,14 +13,19 @@ from tessera.functions.keys import evidence_id
 DEDUP_KEY = ["execution_id", "validation_id", "table_pk", "failed_value"]
 
 
+def stage_columns(execution_id: str, execution_date: date | str) -> list:
+    """Staged-evidence columns from raw (validation_id, table_pk,
+    failed_value) columns: execution columns plus a deterministic id."""
+    ex = F.lit(execution_id)
+    return [evidence_id(ex, F.col("validation_id"), F.col("table_pk"), F.col("failed_value")).alias("evidence_id"),
+            ex.alias("execution_id"), F.col("validation_id"), F.col("failed_value"), F.col("table_pk"),
+            F.lit(execution_date).cast("date").alias("execution_date")]
+
+
 def stage(evidence: DataFrame, execution_id: str, execution_date: date | str) -> DataFrame:
     """Raw evidence (validation_id, table_pk, failed_value) -> staged
     evidence rows with execution columns and a deterministic id."""
-    ex = F.lit(execution_id)
-    return evidence.select(
-        evidence_id(ex, F.col("validation_id"), F.col("table_pk"), F.col("failed_value")).alias("evidence_id"),
-        ex.alias("execution_id"), "validation_id", "failed_value", "table_pk",
-        F.lit(execution_date).cast("date").alias("execution_date"))
+    return evidence.select(*stage_columns(execution_id, execution_date))
 
 
 def dedup_evidences(evidences: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules, default_custom_rules
 from tessera.plans.config import active_validations, validation_plan
-from tessera.plans.ledger import dedup_evidences, stage
+from tessera.plans.ledger import stage_columns
 from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, _tagged, finished_executions
 from tessera.plans.validate import (
     Prepared,
@@ -44,6 +44,17 @@ from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, RULES,
 STATUS_RANK = {"SKIPPED": 0, "SUCCESS": 1, "FAILED": 2, "ERROR": 3}
 
 
+class _Clock:
+    def __init__(self):
+        self.t = time.perf_counter()
+        self.laps: dict[str, float] = {}
+
+    def lap(self, name: str) -> None:
+        now = time.perf_counter()
+        self.laps[name] = round(now - self.t, 3)
+        self.t = now
+
+
 @dataclass
 class TableOutcome:
     table_name: str
@@ -72,6 +83,7 @@ class Runner:
         self.custom = custom or default_custom_rules(spark)
         self.as_of = as_of
         self.aggregate_evidence = aggregate_evidence
+        self.step_seconds: dict[str, dict[str, float]] = {}   # per table: seconds per step
 
     # -- public -----------------------------------------------------------
     def run(self, tables: str | None = None, severity: str | None = None,
@@ -126,10 +138,14 @@ class Runner:
             return TableOutcome(table_id, table_id, "SKIPPED")   # replay of a recorded execution
         staging = scratch_path(self.spark, "tessera-staging", execution_id, table_id)
 
+        clock = _Clock()
         perimeters, failures, prepared = self._stage_rows(df, prepared, primary_key, execution_id, day, staging)
+        clock.lap("row_rules")
         failures.update(self._stage_datasets(prepared, execution_id, day, staging))
+        clock.lap("dataset_rules")
         counts = self._classify_and_append(table_id, [p.validation.validation_id for p in prepared],
                                            execution_id, started, staging)
+        clock.lap("classify_append")
         results = []
         for p in prepared:
             vid = p.validation.validation_id
@@ -145,6 +161,8 @@ class Runner:
                 failed_records_count=failed, persistent_failures=persistent, new_failures=new,
                 resolved_failures=resolved, execution_date=day))
         self.store.append(RESULTS, self.spark.createDataFrame(results, RESULTS_SCHEMA))
+        clock.lap("results")
+        self.step_seconds[table_id] = clock.laps
         n_failed = sum(r["status"] == "FAILED" for r in results)
         n_error = sum(r["status"] == "ERROR" for r in results)
         status = "SUCCESS" if n_failed == 0 and n_error == 0 else "FAILED"
@@ -163,8 +181,8 @@ class Runner:
         one aggregate (codegen'd, partial aggregation per task)."""
         while True:
             try:
-                evidence = stage(row_evidence(df, prepared, pk), execution_id, day)
-                evidence.write.mode("overwrite").parquet(f"{staging}/rows")
+                # raw (validation_id, table_pk, failed_value); ids are added at append time
+                row_evidence(df, prepared, pk).write.mode("overwrite").parquet(f"{staging}/rows")
                 got = row_counts(df, prepared)
                 break
             except Exception:                               # noqa: BLE001 - run-time error in a rule
@@ -202,7 +220,7 @@ class Runner:
                 continue
             path = f"{staging}/dataset_{i}"
             try:
-                stage(p.failing, execution_id, day).write.mode("overwrite").parquet(path)
+                p.failing.write.mode("overwrite").parquet(path)
                 failures[p.validation.validation_id] = self.spark.read.parquet(path).count()
             except Exception as exc:                        # noqa: BLE001
                 prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(exc))
@@ -226,7 +244,9 @@ class Runner:
         parts = [p for p in parts if self.store_exists(p)]
         if not parts:
             return {}
-        current = dedup_evidences(self.spark.read.parquet(*parts))
+        # no separate de-duplication: the classification below groups by the
+        # evidence key, and ids are deterministic, so duplicates collapse there
+        current = self.spark.read.parquet(*parts)
         prev = self._previous(table_id, started)
         if prev is not None:
             previous = ledger.filter((F.col("execution_date") == F.lit(prev.execution_date))
@@ -234,10 +254,10 @@ class Runner:
                                      & F.col("validation_id").isin(validation_ids))
         else:
             previous = ledger.limit(0)
-        carried = ["evidence_id", "execution_id", "execution_date"]
-        classified = (_tagged(current, previous).groupBy(*EVIDENCE_KEY)
-                      .agg(F.bit_or("_tag").alias("state"),
-                           *[F.max(F.col(f"_cur_{c}")).alias(c) for c in carried]))
+        tagged = (current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"))
+                  .unionByName(previous.select(*EVIDENCE_KEY, F.lit(2).alias("_tag"))))
+        # one aggregate: de-duplicates the current evidence and classifies it
+        classified = tagged.groupBy(*EVIDENCE_KEY).agg(F.bit_or("_tag").alias("state"))
         # materialise once: counts and the ledger append both read it
         classified.write.mode("overwrite").parquet(f"{staging}/classified")
         staged = self.spark.read.parquet(f"{staging}/classified")
@@ -245,8 +265,9 @@ class Runner:
                 .agg(F.count_if(F.col("state") == NEW).alias("n"),
                      F.count_if(F.col("state") == PERSISTENT).alias("p"),
                      F.count_if(F.col("state") == RESOLVED).alias("r")).collect())   # one row per validation
-        flagged = (staged.filter(F.col("state") != RESOLVED)
-                   .select(*carried, *EVIDENCE_KEY, (F.col("state") == NEW).alias("is_new_failure")))
+        kept = staged.filter(F.col("state") != RESOLVED)
+        flagged = kept.select(*stage_columns(execution_id, started.date()),
+                              (F.col("state") == NEW).alias("is_new_failure"))
         self.store.append(EVIDENCES, flagged)
         return {r.validation_id: (r.n, r.p, r.r) for r in rows}
 
