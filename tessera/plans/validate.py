@@ -4,7 +4,8 @@ Row-level validations (built-in row rules, column and SQL-function custom
 rules) are folded into ONE scan of the source:
 
     filter(any rule fails inside its perimeter)
-      -> select(pk, inline(array_compact(array(when(fails_i, struct(id_i, value_i)), ...))))
+      -> select(pk, inline(array_compact(array(when(fails_i, struct(i, value_i)), ...))))
+      -> select(ids[i], pk, value)
 
 so V row rules cost one pass instead of V passes, and their counts come from
 one aggregate with map-side partial aggregation (one row per task crosses
@@ -200,13 +201,16 @@ def row_evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> D
         return df.filter(_fails_inside(p)).select(
             F.lit(p.validation.validation_id).alias("validation_id"), pk, p.value.alias("failed_value"))
     any_fail = reduce(lambda a, b: a | b, [_fails_inside(p) for p in rows])
+    # the generator carries a small int per failing rule (cheaper to build
+    # per row than the id string); ids are looked up afterwards in a
+    # codegen'd projection
     hits = F.array_compact(F.array(*[
-        F.when(_fails_inside(p), F.struct(F.lit(p.validation.validation_id).alias("validation_id"),
-                                          p.value.alias("failed_value")))
-        for p in rows]))
+        F.when(_fails_inside(p), F.struct(F.lit(i).alias("_rule"), p.value.alias("failed_value")))
+        for i, p in enumerate(rows)]))
+    ids = F.array(*[F.lit(p.validation.validation_id) for p in rows])
     return (df.filter(any_fail)
             .select(pk, F.inline(hits))
-            .select(*EVIDENCE_COLUMNS))
+            .select(F.element_at(ids, F.col("_rule") + 1).alias("validation_id"), "table_pk", "failed_value"))
 
 
 def dataset_evidence(prepared: list[Prepared]) -> list[DataFrame]:
