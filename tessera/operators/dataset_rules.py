@@ -213,7 +213,9 @@ def compare_datasets(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame
     shared = [c for c in checked.columns if c.lower() in ref_names and c.lower() not in key_set]
     sel = ([F.col(r).alias(f"_k{i}") for i, r in enumerate(ref_cols)]
            + [F.col(ref_names[c.lower()]).alias(f"_v{i}") for i, c in enumerate(shared)])
-    ref_rows = ref.select(*sel).distinct()
+    # no distinct: an anti join only tests existence, and a distinct over
+    # all columns would add a shuffle on a partitioning the join cannot reuse
+    ref_rows = ref.select(*sel)
     cond = _and([F.col(c) == ref_rows[f"_k{i}"] for i, c in enumerate(cols)]
                 + [F.col(c).eqNullSafe(ref_rows[f"_v{i}"]) for i, c in enumerate(shared)])
     return checked.join(ref_rows, on=cond, how="left_anti")

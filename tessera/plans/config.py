@@ -246,4 +246,62 @@ def validation_plan(validations: DataFrame, rules: DataFrame) -> DataFrame:
     size is under the threshold and shuffles otherwise."""
     lib = rules.select("rule_id", "technical_rule_name", "rule_level", "implementation_type",
                        "requires_literal_conversion")
+
     return validations.join(lib, "rule_id", "left")
+
+
+# Parameters each built-in rule needs; "a|b" = at least one of.
+REQUIRED_PARAMS = {
+    "is_not_null": ["column"],
+    "is_not_empty": ["column"],
+    "is_not_null_and_not_empty": ["column"],
+    "is_not_in_future": ["column"],
+    "is_in_list": ["column", "allowed"],
+    "is_not_null_and_is_in_list": ["column", "allowed"],
+    "regex_match": ["column", "regex"],
+    "is_equal_to": ["column", "value"],
+    "is_not_equal_to": ["column", "value"],
+    "is_valid_date": ["column"],
+    "is_valid_timestamp": ["column"],
+    "is_in_range": ["column", "min_limit|max_limit"],
+    "is_not_in_range": ["column", "min_limit|max_limit"],
+    "is_not_less_than": ["column", "limit"],
+    "is_not_greater_than": ["column", "limit"],
+    "sql_expression": ["expression"],
+    "is_unique": ["columns"],
+    "sql_query": ["query", "merge_columns"],
+    "is_aggr_not_greater_than": ["limit"],
+    "is_aggr_not_less_than": ["limit"],
+    "is_aggr_equal": ["limit"],
+    "is_aggr_not_equal": ["limit"],
+    "foreign_key": ["columns", "ref_table"],
+    "has_valid_schema": ["expected_schema"],
+    "compare_datasets": ["columns", "ref_table"],
+}
+
+
+def definition_problems(plan: DataFrame) -> DataFrame:
+    """Config errors of validations joined with their rule (see
+    ``validation_plan``): unknown rule id, unknown built-in rule, missing
+    parameters. One row (validation_id, problem) per faulty validation;
+    JSON keys are probed with ``get_json_object`` (no UDF)."""
+    name = F.col("technical_rule_name")
+    impl = F.upper(F.trim(F.coalesce(F.col("implementation_type"), F.lit(""))))
+    definition = F.coalesce(F.col("validation_definition"), F.lit("{}"))
+
+    def missing(key: str) -> Column:
+        return F.get_json_object(definition, f"$.{key}").isNull()
+
+    per_rule = []
+    for rule, groups in REQUIRED_PARAMS.items():
+        for group in groups:
+            keys = group.split("|")
+            absent = reduce(lambda a, b: a & b, [missing(k) for k in keys])
+            per_rule.append(F.when((name == rule) & absent, F.lit(f"missing {group}")))
+    problem = (F.when(name.isNull(), F.lit("unknown rule id"))
+               .when((impl == "CUSTOM") & missing("columns"), F.lit("missing columns"))
+               .when((impl == "BUILT-IN") & ~name.isin(*REQUIRED_PARAMS), F.lit("unknown rule"))
+               .when(impl == "BUILT-IN", F.concat_ws("; ", *per_rule))
+               .when(impl == "CUSTOM", F.lit(""))
+               .otherwise(F.lit("unknown implementation type")))
+    return plan.select("validation_id", problem.alias("problem")).filter(F.col("problem") != "")

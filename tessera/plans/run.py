@@ -44,6 +44,15 @@ from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, RULES,
 STATUS_RANK = {"SKIPPED": 0, "SUCCESS": 1, "FAILED": 2, "ERROR": 3}
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove this execution's staging folder (Hadoop FS, recursive)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        fs.delete(hpath, True)
+
+
 class _Clock:
     def __init__(self):
         self.t = time.perf_counter()
@@ -76,7 +85,8 @@ class RunReport:
 
 class Runner:
     def __init__(self, spark: SparkSession, store: Store, resolver: TableResolver | None = None,
-                 custom: CustomRules | None = None, as_of=None, aggregate_evidence: str = "rows"):
+                 custom: CustomRules | None = None, as_of=None, aggregate_evidence: str = "rows",
+                 keep_staging: bool = False):
         self.spark = spark
         self.store = store
         self.resolver = resolver or TableResolver(spark)
@@ -84,6 +94,7 @@ class Runner:
         self.as_of = as_of
         self.aggregate_evidence = aggregate_evidence
         self.step_seconds: dict[str, dict[str, float]] = {}   # per table: seconds per step
+        self.keep_staging = keep_staging
 
     # -- public -----------------------------------------------------------
     def run(self, tables: str | None = None, severity: str | None = None,
@@ -162,6 +173,8 @@ class Runner:
                 resolved_failures=resolved, execution_date=day))
         self.store.append(RESULTS, self.spark.createDataFrame(results, RESULTS_SCHEMA))
         clock.lap("results")
+        if not self.keep_staging:
+            _delete(self.spark, staging)       # only after every append succeeded
         self.step_seconds[table_id] = clock.laps
         n_failed = sum(r["status"] == "FAILED" for r in results)
         n_error = sum(r["status"] == "ERROR" for r in results)

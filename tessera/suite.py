@@ -26,6 +26,7 @@ from tessera.plans import persistence as P
 from tessera.plans.config import (
     active_validations,
     build_definition as _build_definition,
+    definition_problems,
     shape_validations,
     validation_plan as _validation_plan,
 )
@@ -430,6 +431,11 @@ def validation_plan(spark, sf):
             .select("validation_id", "rule_id", "technical_rule_name", "rule_level"))
 
 
+def config_problems(spark, sf):
+    plan = _validation_plan(_shaped_validations(spark, sf), _rules_library(spark, sf))
+    return definition_problems(plan)
+
+
 def merge_update(spark, sf):
     o = _t(spark, sf, "orders")
     target = o.select(F.col("o_orderkey").cast("string").alias("execution_id"),
@@ -666,6 +672,7 @@ QUERIES = {
     "sync_reflect": sync_reflect,
     "select_active_validations": select_active_validations,
     "validation_plan": validation_plan,
+    "config_problems": config_problems,
     "merge_update": merge_update,
     "merge_upsert": merge_upsert,
     "conditional_update": conditional_update,

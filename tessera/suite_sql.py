@@ -8,6 +8,7 @@ match is evidence of correct semantics rather than of a shared formulation.
 from __future__ import annotations
 
 from tessera.functions.national_id import CONTROL_LETTERS
+from tessera.plans.config import REQUIRED_PARAMS
 from tessera.suite import RULE_NAMES
 
 L = CONTROL_LETTERS
@@ -161,6 +162,29 @@ SELECT validation_id, '{{' || (CASE
   ELSE '' END) || '}}' AS validation_definition
 FROM f"""
 
+def _problems_sql() -> str:
+    checks = []
+    for rule, groups in REQUIRED_PARAMS.items():
+        for group in groups:
+            absent = " AND ".join(f"json_extract(def, '$.{k}') IS NULL" for k in group.split("|"))
+            checks.append(f"CASE WHEN tn = '{rule}' AND {absent} THEN 'missing {group}' END")
+    builtins = ", ".join(f"'{r}'" for r in REQUIRED_PARAMS)
+    return f"""WITH d AS ({BUILD_DEFINITION}),
+lib AS (SELECT 'R' || CAST(n_nationkey AS VARCHAR) AS rule_id, ({NAMES_25})[n_nationkey + 1] AS tn,
+               'BUILT-IN' AS impl FROM nation),
+v AS (SELECT 'V' || CAST(p_partkey AS VARCHAR) AS validation_id, 'R' || CAST(p_size - 1 AS VARCHAR) AS rule_id FROM part),
+p AS (SELECT v.validation_id, lib.tn, lib.impl, d.validation_definition AS def
+      FROM v JOIN d ON d.validation_id = v.validation_id LEFT JOIN lib ON lib.rule_id = v.rule_id)
+SELECT validation_id, problem FROM (
+  SELECT validation_id, CASE
+    WHEN tn IS NULL THEN 'unknown rule id'
+    WHEN impl = 'CUSTOM' AND json_extract(def, '$.columns') IS NULL THEN 'missing columns'
+    WHEN impl = 'BUILT-IN' AND tn NOT IN ({builtins}) THEN 'unknown rule'
+    WHEN impl = 'BUILT-IN' THEN concat_ws('; ', {', '.join(checks)})
+    ELSE '' END AS problem FROM p)
+WHERE problem <> ''"""
+
+
 SHEET_ACTIVE = "CASE WHEN p_size > 10 THEN true WHEN p_size > 5 THEN false ELSE NULL END"
 
 TABLES_T = ("SELECT CAST(s_suppkey AS VARCHAR) AS table_id, s_name AS table_name, s_name AS table_name_tech, "
@@ -282,6 +306,7 @@ FROM part LEFT JOIN (SELECT 'R' || CAST(n_nationkey AS VARCHAR) AS rule_id,
                             ({NAMES_25})[n_nationkey + 1] AS technical_rule_name,
                             CASE WHEN n_nationkey < 16 THEN 'ROW' ELSE 'DATASET' END AS rule_level FROM nation) r
   ON r.rule_id = 'R' || CAST(p_size - 1 AS VARCHAR)""",
+    "config_problems": _problems_sql(),
     "merge_update": """WITH u AS (SELECT CAST(l_orderkey AS VARCHAR) AS execution_id, CAST(count(*) AS INTEGER) AS ve,
                   CAST(count_if(l_linestatus = 'F') AS INTEGER) AS vf
            FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
