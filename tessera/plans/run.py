@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -150,12 +151,16 @@ class Runner:
         staging = scratch_path(self.spark, "tessera-staging", execution_id, table_id)
 
         clock = _Clock()
-        perimeters, failures, prepared = self._stage_rows(df, prepared, primary_key, execution_id, day, staging)
-        clock.lap("row_rules")
+        perimeters, failures, prepared = self._count_rows(df, prepared)
+        clock.lap("row_counts")
         failures.update(self._stage_datasets(prepared, execution_id, day, staging))
         clock.lap("dataset_rules")
+        # row evidence is not staged: its plan (scan -> generate) feeds the
+        # classification aggregate directly, so it crosses one shuffle and no
+        # per-scan-task files are written
+        row_ev = row_evidence(df, prepared, primary_key) if any(p.kind == "row" for p in prepared) else None
         counts = self._classify_and_append(table_id, [p.validation.validation_id for p in prepared],
-                                           execution_id, started, staging)
+                                           execution_id, started, staging, row_ev)
         clock.lap("classify_append")
         results = []
         for p in prepared:
@@ -189,13 +194,13 @@ class Runner:
                             & F.col("validation_id").isin(validation_ids)).limit(1).count()
         return hit > 0
 
-    def _stage_rows(self, df: DataFrame, prepared: list[Prepared], pk: str, execution_id: str, day, staging: str):
-        """Row-rule evidence in one scan; all perimeter and failure counts in
-        one aggregate (codegen'd, partial aggregation per task)."""
+    def _count_rows(self, df: DataFrame, prepared: list[Prepared]):
+        """All perimeter and row-rule failure counts in one aggregate. It is
+        also the first plan to evaluate every rule on every row, so a rule
+        that raises at run time (ANSI) is found here, isolated and marked
+        ERROR before any output is written."""
         while True:
             try:
-                # raw (validation_id, table_pk, failed_value); ids are added at append time
-                row_evidence(df, prepared, pk).write.mode("overwrite").parquet(f"{staging}/rows")
                 got = row_counts(df, prepared)
                 break
             except Exception:                               # noqa: BLE001 - run-time error in a rule
@@ -247,19 +252,20 @@ class Runner:
         return prev[0] if prev else None
 
     def _classify_and_append(self, table_id: str, validation_ids: list[str], execution_id: str,
-                             started: datetime, staging: str) -> dict:
+                             started: datetime, staging: str, row_ev: DataFrame | None = None) -> dict:
         """Flag staged evidence against the previous execution of the same
         table, append it to the ledger, return {vid: (new, persistent, resolved)}."""
         ledger = self.store.read(EVIDENCES)
         if self._recorded(EVIDENCES, execution_id, started.date(), validation_ids):
             return {}                                      # rerun of a recorded execution
-        parts = [f"{staging}/rows"] + [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
+        parts = [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
         parts = [p for p in parts if self.store_exists(p)]
-        if not parts:
+        frames = ([row_ev] if row_ev is not None else []) + ([self.spark.read.parquet(*parts)] if parts else [])
+        if not frames:
             return {}
         # no separate de-duplication: the classification below groups by the
         # evidence key, and ids are deterministic, so duplicates collapse there
-        current = self.spark.read.parquet(*parts)
+        current = reduce(lambda a, b: a.unionByName(b), [f.select(*EVIDENCE_KEY) for f in frames])
         prev = self._previous(table_id, started)
         if prev is not None:
             previous = ledger.filter((F.col("execution_date") == F.lit(prev.execution_date))
