@@ -37,7 +37,7 @@ from tessera.plans.validate import (
     row_evidence,
     with_helpers,
 )
-from tessera.schemas import EVIDENCE_KEY, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
+from tessera.schemas import EVIDENCE_KEY, EVIDENCE_SCHEMA, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver
 from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, RULES, TABLES, VALIDATIONS, Store
@@ -189,8 +189,8 @@ class Runner:
     def _recorded(self, name: str, execution_id: str, day, validation_ids: list[str]) -> bool:
         """Has this execution already been written for these validations?
         (partition-pruned existence probe)"""
-        ledger = self.store.read(name)
-        hit = ledger.filter((F.col("execution_date") == F.lit(day)) & (F.col("execution_id") == execution_id)
+        ledger = self.store.read_day(name, day)
+        hit = ledger.filter((F.col("execution_id") == execution_id)
                             & F.col("validation_id").isin(validation_ids)).limit(1).count()
         return hit > 0
 
@@ -255,7 +255,6 @@ class Runner:
                              started: datetime, staging: str, row_ev: DataFrame | None = None) -> dict:
         """Flag staged evidence against the previous execution of the same
         table, append it to the ledger, return {vid: (new, persistent, resolved)}."""
-        ledger = self.store.read(EVIDENCES)
         if self._recorded(EVIDENCES, execution_id, started.date(), validation_ids):
             return {}                                      # rerun of a recorded execution
         parts = [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
@@ -268,11 +267,11 @@ class Runner:
         current = reduce(lambda a, b: a.unionByName(b), [f.select(*EVIDENCE_KEY) for f in frames])
         prev = self._previous(table_id, started)
         if prev is not None:
-            previous = ledger.filter((F.col("execution_date") == F.lit(prev.execution_date))
-                                     & (F.col("execution_id") == prev.execution_id)
-                                     & F.col("validation_id").isin(validation_ids))
+            previous = (self.store.read_day(EVIDENCES, prev.execution_date)
+                        .filter((F.col("execution_id") == prev.execution_id)
+                                & F.col("validation_id").isin(validation_ids)))
         else:
-            previous = ledger.limit(0)
+            previous = self.spark.createDataFrame([], EVIDENCE_SCHEMA)
         tagged = (current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"))
                   .unionByName(previous.select(*EVIDENCE_KEY, F.lit(2).alias("_tag"))))
         # one aggregate: de-duplicates the current evidence and classifies it

@@ -47,10 +47,21 @@ class Store:
         return LEDGER_SCHEMAS.get(name) or CONFIG_SCHEMAS[name]
 
     def read(self, name: str) -> DataFrame:
+        """Whole table. The fixed schema is given, so no footer is read for
+        inference; columns missing in older files read as NULL."""
         schema = self.schema(name)
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("mergeSchema", "true").parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def read_day(self, name: str, day) -> DataFrame:
+        """One ``execution_date`` partition of a ledger table, listing only
+        that folder (not the whole history)."""
+        schema = self.schema(name)
+        part = f"{self.path(name)}/execution_date={day}"
+        if not _exists(self.spark, part):
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(part))
 
     def append(self, name: str, df: DataFrame) -> None:
         """Append rows conformed to the fixed schema (missing columns NULL)."""
