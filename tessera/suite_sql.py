@@ -318,7 +318,7 @@ FROM orders LEFT JOIN u ON u.execution_id = CAST(o_orderkey AS VARCHAR)""",
                   CAST(c_nationkey AS BIGINT) AS nf, CAST(0 AS BIGINT) AS pf, CAST(0 AS BIGINT) AS rf
            FROM customer WHERE c_mktsegment <> 'BUILDING'),
 s AS (SELECT CAST(o_custkey AS VARCHAR) AS validation_id, count(*) AS nf,
-             count_if(o_orderpriority = '1-URGENT') AS pf, CAST(0 AS BIGINT) AS rf
+             CAST(count_if(o_orderpriority = '1-URGENT') AS BIGINT) AS pf, CAST(0 AS BIGINT) AS rf
       FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
 SELECT coalesce(t.validation_id, s.validation_id) AS validation_id, t.status,
   CASE WHEN s.validation_id IS NOT NULL THEN s.nf ELSE t.nf END AS new_failures,
@@ -333,9 +333,12 @@ FROM lineitem""",
   CAST(o_orderkey AS VARCHAR) AS table_pk, DATE '2024-01-01' AS execution_date
 FROM orders WHERE o_totalprice > 450000""",
     "validation_results": f"""WITH c AS (
-  SELECT count(*) AS n, count_if(l_discount < 0 OR l_discount > 0.08) AS f1, count_if(l_linestatus = 'F') AS p2,
-    count_if(l_linestatus = 'F' AND l_returnflag NOT IN ('A', 'N')) AS f2, count_if(NOT (l_tax <= 0.07)) AS f3,
-    count_if(l_returnflag = 'R') AS p8, avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS a8 FROM lineitem),
+  SELECT count(*) AS n, CAST(count_if(l_discount < 0 OR l_discount > 0.08) AS BIGINT) AS f1,
+    CAST(count_if(l_linestatus = 'F') AS BIGINT) AS p2,
+    CAST(count_if(l_linestatus = 'F' AND l_returnflag NOT IN ('A', 'N')) AS BIGINT) AS f2,
+    CAST(count_if(NOT (l_tax <= 0.07)) AS BIGINT) AS f3,
+    CAST(count_if(l_returnflag = 'R') AS BIGINT) AS p8, avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS a8
+  FROM lineitem),
 d AS (SELECT count(*) AS f4 FROM lineitem WHERE (l_orderkey, l_linenumber) IN (
         SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
 k AS (SELECT count(*) AS f5 FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey))
@@ -347,7 +350,7 @@ UNION ALL SELECT 'L5', {_status('f5')}, n, f5 FROM c, k
 UNION ALL SELECT 'L6', 'ERROR', n, CAST(0 AS BIGINT) FROM c
 UNION ALL SELECT 'L7', 'ERROR', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 UNION ALL SELECT 'L8', CASE WHEN a8 > 20 AND p8 > 0 THEN 'FAILED' ELSE 'PASSED' END, p8,
-                 CASE WHEN a8 > 20 THEN p8 ELSE 0 END FROM c""",
+                 CASE WHEN a8 > 20 THEN p8 ELSE CAST(0 AS BIGINT) END FROM c""",
     "execution_summary": """WITH o AS (
   SELECT (count_if(o_orderstatus NOT IN ('F', 'O', 'P')) > 0)::INT + (count_if(o_totalprice > 450000) > 0)::INT
          + ((SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)) > 0)::INT

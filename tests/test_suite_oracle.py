@@ -53,6 +53,18 @@ def test_query_matches_oracle(spark, duck, key):
     assert _rows(df.columns, got) == _rows(cols, want)
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE"}
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_query_types_match_oracle(spark, duck, key):
+    spark_types = {f.name: f.dataType.simpleString() for f in E.queries()[key](spark, SF_SMALL).schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    for name, t in spark_types.items():
+        assert SPARK_TO_DUCK.get(t, t) == duck_types[name], (name, t, duck_types[name])
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["validation_id", "table_pk", "failed_value"]
