@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +28,6 @@ def split_tags(c: Column | str) -> Column:
     return F.filter(F.split(c, r",\s*"), lambda x: x != "")
 
 
-_NUMBER = re.compile(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$")
-
-
 def number_or_text(text: str | None):
     """A sheet value as a float when it parses as one, else the text itself."""
     if text is None or text == "":

@@ -21,13 +21,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import pk_columns
 from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules, default_custom_rules
 from tessera.plans.config import active_validations, validation_plan
 from tessera.plans.ledger import stage_columns
-from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, _tagged, finished_executions
+from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, finished_executions
 from tessera.plans.validate import (
     Prepared,
     Validation,
@@ -304,7 +303,3 @@ class Runner:
                      validations_failed=o.failed, validations_errors=o.errors) for o in outcomes]
         if rows:
             self.store.append(EXECUTIONS, self.spark.createDataFrame(rows, EXECUTIONS_SCHEMA))
-
-
-def primary_key_columns(primary_key: str) -> list[str]:
-    return pk_columns(primary_key)

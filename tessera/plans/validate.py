@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.functions.keys import as_text, pk_columns, pk_text
+from tessera.functions.keys import as_text, pk_text
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules
 from tessera.operators.dataset_rules import DATASET_RULES
@@ -38,7 +38,6 @@ RAW_EVIDENCE_SCHEMA = StructType([
     StructField("table_pk", StringType()),
     StructField("failed_value", StringType()),
 ])
-RESULT_COLUMNS = ["validation_id", "rule_id", "status", "perimeter", "failed_records_count"]
 
 
 @dataclass
@@ -297,7 +296,3 @@ def validate(df: DataFrame, validations: list[Validation], primary_key: str,
     """Lazy (results, evidence) of one table."""
     prepared = prepare(df, validations, primary_key, ctx, custom)
     return results(df, prepared), evidence(df, prepared, primary_key)
-
-
-def referenced_columns(primary_key: str) -> list[str]:
-    return pk_columns(primary_key)
