@@ -63,6 +63,21 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return (self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(part))
 
+    def create_tables(self) -> list[str]:
+        """Set-up step: create the six config and ledger tables (empty, with
+        their fixed schemas and partitioning) where they do not exist yet."""
+        created = []
+        for name in list(CONFIG_SCHEMAS) + list(LEDGER_SCHEMAS):
+            if self.exists(name):
+                continue
+            empty = self.spark.createDataFrame([], self.schema(name))
+            writer = empty.write.mode("overwrite")
+            if name in LEDGER_SCHEMAS:
+                writer = writer.partitionBy("execution_date")
+            writer.parquet(self.path(name))
+            created.append(name)
+        return created
+
     def append(self, name: str, df: DataFrame) -> None:
         """Append rows conformed to the fixed schema (missing columns NULL)."""
         out = conform(df, self.schema(name))
