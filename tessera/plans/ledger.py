@@ -28,9 +28,20 @@ def stage(evidence: DataFrame, execution_id: str, execution_date: date | str) ->
     return evidence.select(*stage_columns(execution_id, execution_date))
 
 
+# columns of a staged / ledger evidence row that are functions of its key
+# (the id is a hash of the key, the date is fixed per execution)
+_KEY_DETERMINED = {"evidence_id", "execution_date", "is_new_failure"}
+
+
 def dedup_evidences(evidences: DataFrame) -> DataFrame:
-    """One row per (execution, validation, pk, value). Implemented as an
-    aggregate, so a hot key is combined map-side before the shuffle."""
+    """One row per (execution, validation, pk, value), as an aggregate so a
+    hot key is combined map-side before the shuffle. When every other column
+    is determined by the key this is a plain DISTINCT -- a hash aggregate
+    without buffers; otherwise the first row per key is kept (which needs a
+    sort-based aggregate for string columns)."""
+    extra = set(evidences.columns) - set(DEDUP_KEY)
+    if extra <= _KEY_DETERMINED:
+        return evidences.distinct()
     return evidences.dropDuplicates(DEDUP_KEY)
 
 

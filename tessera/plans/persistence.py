@@ -44,31 +44,33 @@ def latest_execution(executions: DataFrame) -> DataFrame:
 
 
 def _tagged(current: DataFrame, previous: DataFrame) -> DataFrame:
-    cur = current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"),
-                         *[F.col(c).alias(f"_cur_{c}") for c in ("evidence_id", "execution_id", "execution_date")
-                           if c in current.columns])
+    cur = current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"))
     prev = previous.select(*EVIDENCE_KEY, F.lit(2).alias("_tag"))
-    return cur.unionByName(prev, allowMissingColumns=True)
+    return cur.unionByName(prev)
 
 
 def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Every key of either side with its state: 1 new, 2 resolved,
-    3 persistent."""
+    3 persistent. Only fixed-width buffers (an int), so it stays a hash
+    aggregate; duplicates within a side collapse here too."""
     return (_tagged(current, previous)
             .groupBy(*EVIDENCE_KEY)
             .agg(F.bit_or("_tag").alias("state")))
 
 
-def persistence_summary(current: DataFrame, previous: DataFrame) -> DataFrame:
+def counts_by_validation(classified: DataFrame) -> DataFrame:
     """Per validation: new, persistent and resolved failure counts (never
     NULL). Resolved failures belong to the current execution."""
-    return (classify(current, previous)
-            .groupBy("validation_id")
+    return (classified.groupBy("validation_id")
             .agg(F.count_if(F.col("state") == NEW).cast("long").alias("new_failures"),
                  F.count_if(F.col("state") == PERSISTENT).cast("long").alias("persistent_failures"),
                  F.count_if(F.col("state") == RESOLVED).cast("long").alias("resolved_failures")))
 
 
+def persistence_summary(current: DataFrame, previous: DataFrame) -> DataFrame:
+    return counts_by_validation(classify(current, previous))
+
+
 def new_failures(current: DataFrame, previous: DataFrame) -> DataFrame:
     return classify(current, previous).filter(F.col("state") == NEW).select(*EVIDENCE_KEY)
 
@@ -81,16 +83,20 @@ def persistent_failures(current: DataFrame, previous: DataFrame) -> DataFrame:
     return classify(current, previous).filter(F.col("state") == PERSISTENT).select(*EVIDENCE_KEY)
 
 
-def flag_evidences(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Current evidence rows (staged, de-duplicated) with ``is_new_failure``,
-    computed in the same single aggregate (no join back to ``current``)."""
-    carried = [c for c in ("evidence_id", "execution_id", "execution_date") if c in current.columns]
-    agg = [F.bit_or("_tag").alias("state")] + [
-        F.max(F.col(f"_cur_{c}")).alias(c) for c in carried]
-    return (_tagged(current, previous)
-            .groupBy(*EVIDENCE_KEY).agg(*agg)
-            .filter(F.col("state") != RESOLVED)
-            .select(*carried, *EVIDENCE_KEY, (F.col("state") == NEW).alias("is_new_failure")))
+def flag_classified(classified: DataFrame, execution_id: str, execution_date) -> DataFrame:
+    """Evidence rows of the current execution (new and persistent keys)
+    with ids, execution columns and ``is_new_failure`` -- a projection, no
+    shuffle."""
+    from tessera.plans.ledger import stage_columns
+    return (classified.filter(F.col("state") != RESOLVED)
+            .select(*stage_columns(execution_id, execution_date),
+                    (F.col("state") == NEW).alias("is_new_failure")))
+
+
+def flag_evidences(current: DataFrame, previous: DataFrame, execution_id: str, execution_date) -> DataFrame:
+    """Current evidence of one execution, de-duplicated and flagged new /
+    persistent against the previous one, in a single aggregate."""
+    return flag_classified(classify(current, previous), execution_id, execution_date)
 
 
 def first_run_counts(current: DataFrame) -> DataFrame:

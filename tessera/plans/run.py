@@ -25,8 +25,7 @@ from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules, default_custom_rules
 from tessera.plans.config import active_validations, validation_plan
-from tessera.plans.ledger import stage_columns
-from tessera.plans.persistence import NEW, PERSISTENT, RESOLVED, finished_executions
+from tessera.plans.persistence import classify, counts_by_validation, finished_executions, flag_classified
 from tessera.plans.validate import (
     Prepared,
     Validation,
@@ -271,22 +270,15 @@ class Runner:
                                 & F.col("validation_id").isin(validation_ids)))
         else:
             previous = self.spark.createDataFrame([], EVIDENCE_SCHEMA)
-        tagged = (current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"))
-                  .unionByName(previous.select(*EVIDENCE_KEY, F.lit(2).alias("_tag"))))
         # one aggregate: de-duplicates the current evidence and classifies it
-        classified = tagged.groupBy(*EVIDENCE_KEY).agg(F.bit_or("_tag").alias("state"))
+        classified = classify(current, previous)
         # materialise once: counts and the ledger append both read it
         classified.write.mode("overwrite").parquet(f"{staging}/classified")
         staged = self.spark.read.parquet(f"{staging}/classified")
-        rows = (staged.groupBy("validation_id")
-                .agg(F.count_if(F.col("state") == NEW).alias("n"),
-                     F.count_if(F.col("state") == PERSISTENT).alias("p"),
-                     F.count_if(F.col("state") == RESOLVED).alias("r")).collect())   # one row per validation
-        kept = staged.filter(F.col("state") != RESOLVED)
-        flagged = kept.select(*stage_columns(execution_id, started.date()),
-                              (F.col("state") == NEW).alias("is_new_failure"))
+        rows = counts_by_validation(staged).collect()        # one row per validation
+        flagged = flag_classified(staged, execution_id, started.date())
         self.store.append(EVIDENCES, flagged)
-        return {r.validation_id: (r.n, r.p, r.r) for r in rows}
+        return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
 
     def store_exists(self, path: str) -> bool:
         from tessera.sources.ledger_store import _exists

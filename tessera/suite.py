@@ -575,7 +575,8 @@ def persistence_summary(spark, sf):
 
 
 def evidence_flags(spark, sf):
-    flagged = P.flag_evidences(_customer_evidence(spark, sf, True), _customer_evidence(spark, sf, False))
+    flagged = P.flag_evidences(_customer_evidence(spark, sf, True), _customer_evidence(spark, sf, False),
+                               "exec-cur", "2024-02-02")
     return flagged.select("evidence_id", "validation_id", "table_pk", "failed_value", "is_new_failure")
 
 

@@ -51,7 +51,7 @@ def test_persistence_laws(spark):
     for v, (n, p, r) in summary.items():
         assert n + p == cur.filter(F.col("validation_id") == v).count()
         assert r + p == prev.filter(F.col("validation_id") == v).count()
-    flags = {(r.validation_id, r.table_pk): r.is_new_failure for r in P.flag_evidences(cur, prev).collect()}
+    flags = {(r.validation_id, r.table_pk): r.is_new_failure for r in P.flag_evidences(cur, prev, "c", "2024-01-02").collect()}
     assert flags == {("A", "1"): False, ("A", "2"): False, ("A", "3"): True, ("B", "9"): True}
     assert P.new_failures(cur, prev).count() == 2
     assert P.resolved_failures(cur, prev).count() == 2
