@@ -70,3 +70,21 @@ def test_previous_and_latest_execution(spark):
     assert prev == {"e1": None, "e2": "e1", "e3": None}   # per table; ERROR runs excluded
     latest = {r.table_id: r.execution_id for r in P.latest_execution(ex).collect()}
     assert latest == {"T1": "e2", "T2": "e3"}
+
+
+def test_previous_execution_hot_table_matches_plain_window(spark):
+    """One table holding most executions, many range partitions: the
+    skew-safe lag equals a plain per-table window."""
+    from pyspark.sql import Window
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    ex = orders.select(F.col("o_orderkey").cast("string").alias("execution_id"),
+                       F.when(F.col("o_orderstatus") == "F", F.lit("HOT"))
+                        .otherwise(F.col("o_custkey").cast("string")).alias("table_id"),
+                       F.col("o_orderdate").alias("execution_timestamp"),
+                       F.lit("SUCCESS").alias("status"))
+    w = Window.partitionBy("table_id").orderBy("execution_timestamp", "execution_id")
+    want = {(r.execution_id, r.prev_execution_id) for r in
+            ex.select("execution_id", F.lag("execution_id").over(w).alias("prev_execution_id")).collect()}
+    for n in (1, 3, 17):
+        got = {(r.execution_id, r.prev_execution_id) for r in P.previous_execution(ex, partitions=n).collect()}
+        assert got == want, n
