@@ -94,7 +94,9 @@ def sql_query(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     if not merge:
         raise ValueError("sql_query needs non-empty 'merge_columns'")
     # as a subquery, a statement other than a query is a parse error
-    offending = ctx.spark.sql(f"SELECT * FROM ({query}) AS user_query").select(*merge)
+    # de-duplicated map-side; the aggregate's hash partitioning is the one
+    # the join needs, so this adds no exchange
+    offending = ctx.spark.sql(f"SELECT * FROM ({query}) AS user_query").select(*merge).distinct()
     return df.join(offending, on=merge, how="left_semi")
 
 

@@ -50,13 +50,17 @@ def unify_evidences(staged: list[DataFrame], ledger_evidences: DataFrame) -> Dat
     column name (missing columns NULL) and de-duplicated.
 
     An execution already present in the ledger is skipped whole, so running
-    the unify twice adds nothing the second time. The processed-id side is
-    a distinct set of execution ids; AQE broadcasts it when its measured size
-    allows and shuffles otherwise.
+    the unify twice adds nothing the second time. Pass the ledger pruned to
+    the relevant date partitions where possible.
     """
     if not staged:
         raise ValueError("nothing staged")
     everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), staged)
-    processed = ledger_evidences.select("execution_id").distinct()
+    # every row of one execution shares its execution_id, so that column is
+    # a hot key by construction: anti-join only against the processed ids
+    # that are also staged (at most one row per staged execution), which
+    # AQE can broadcast -- the staged rows are never shuffled on it
+    staged_ids = everything.select("execution_id").distinct()
+    processed = ledger_evidences.select("execution_id").distinct().join(staged_ids, "execution_id", "left_semi")
     fresh = everything.join(processed, "execution_id", "left_anti")
     return dedup_evidences(fresh)
