@@ -254,7 +254,13 @@ class Runner:
         """Flag staged evidence against the previous execution of the same
         table, append it to the ledger, return {vid: (new, persistent, resolved)}."""
         if self._recorded(EVIDENCES, execution_id, started.date(), validation_ids):
-            return {}                                      # rerun of a recorded execution
+            # rerun after the evidence append: nothing is appended again; the
+            # counts come from this execution's classified staging if present
+            done = f"{staging}/classified"
+            if not self.store_exists(done):
+                return {}
+            rows = counts_by_validation(self.spark.read.parquet(done)).collect()
+            return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
         parts = [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
         parts = [p for p in parts if self.store_exists(p)]
         frames = ([row_ev] if row_ev is not None else []) + ([self.spark.read.parquet(*parts)] if parts else [])

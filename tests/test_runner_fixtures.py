@@ -141,3 +141,26 @@ def test_runtime_error_isolated(spark, scratch_dir):
     status = {r["validation_id"]: r["status"] for r in out.results}
     assert status == {"OK": "FAILED", "BOOM": "ERROR"}
     assert {r["validation_id"]: r["failed_records_count"] for r in out.results}["OK"] == 2
+
+
+def test_rerun_after_evidence_append_keeps_counts(spark, scratch_dir):
+    """A run interrupted after its evidence append (results not written) is
+    re-run: no evidence is appended twice and the counts are recovered."""
+    from tessera.plans.validate import Validation
+    store = Store(spark, f"{scratch_dir}/ledger")
+    runner = Runner(spark, store, keep_staging=True)
+    vals = [Validation("AGE", "is_in_range", {"column": "age", "min_limit": 18.0, "max_limit": 100.0})]
+    first = runner.run_frame(fx.run_frame(spark, "run1"), "T5", vals, "customer_id", "e-1", datetime(2024, 11, 1))
+    runner.log_executions("e-1", datetime(2024, 11, 1), [first])
+    second = runner.run_frame(fx.run_frame(spark, "run2"), "T5", vals, "customer_id", "e-2", datetime(2024, 11, 2))
+    # simulate the crash: drop e-2's result rows by re-running with a fresh results table
+    store2 = Store(spark, f"{scratch_dir}/ledger")
+    results_path = store2.path(RESULTS)
+    kept = store2.read(RESULTS).filter(F.col("execution_id") != "e-2").collect()
+    spark.createDataFrame(kept, store2.read(RESULTS).schema).write.mode("overwrite") \
+        .partitionBy("execution_date").parquet(results_path)
+    before = store.read(EVIDENCES).count()
+    again = runner.run_frame(fx.run_frame(spark, "run2"), "T5", vals, "customer_id", "e-2", datetime(2024, 11, 2))
+    assert store.read(EVIDENCES).count() == before
+    assert again.results[0]["new_failures"] == second.results[0]["new_failures"]
+    assert again.results[0]["persistent_failures"] == second.results[0]["persistent_failures"] == 1
