@@ -39,7 +39,12 @@ def col_of(c) -> Column:
 
 
 def type_of(df: DataFrame, c) -> DataType:
-    """Data type of a column expression (analysis only, no job)."""
+    """Data type of a column: from the (cached) schema for a plain column
+    name, else by analysing a projection (no job)."""
+    if isinstance(c, str):
+        for f in df.schema.fields:
+            if f.name == c:
+                return f.dataType
     return df.select(col_of(c)).schema.fields[0].dataType
 
 

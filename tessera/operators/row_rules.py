@@ -51,7 +51,7 @@ def is_not_null_and_not_empty(df: DataFrame, params: dict, ctx: RuleContext) ->
 
 def is_not_in_future(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
     c = _column(params)
-    dtype = type_of(df, c)
+    dtype = type_of(df, params["column"])
     as_of = params.get("as_of", ctx.as_of)
     if as_of is None:
         now = F.current_timestamp()
@@ -65,10 +65,10 @@ def is_not_in_future(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
     return c.cast(TimestampType()) > now.cast(TimestampType())
 
 
-def _allowed_literals(df: DataFrame, c: Column, allowed: list) -> list[Column]:
+def _allowed_literals(df: DataFrame, name: str, allowed: list) -> list[Column]:
     """Allowed values typed like the column; values that cannot take the
     column's type are dropped (they can never be equal)."""
-    dtype = type_of(df, c)
+    dtype = type_of(df, name)
     out = []
     for v in allowed:
         if isinstance(dtype, StringType):
@@ -93,7 +93,7 @@ def _not_in_list(df: DataFrame, params: dict) -> Column:
     allowed = params.get("allowed")
     if not allowed:
         raise ValueError("rule needs a non-empty 'allowed' list")
-    values = _allowed_literals(df, c, allowed)
+    values = _allowed_literals(df, params["column"], allowed)
     if not values:
         return c.isNotNull()
     # isin with a NULL-valued literal would turn misses into NULL (= pass)
@@ -119,8 +119,7 @@ def regex_match(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
 def _value(df: DataFrame, params: dict, ctx: RuleContext, key: str, rule: str) -> Column:
     if key not in params:
         raise ValueError(f"{rule} needs a '{key}' parameter")
-    c = _column(params)
-    return operand(params[key], literal=rule in ctx.literal_rules, dtype=type_of(df, c))
+    return operand(params[key], literal=rule in ctx.literal_rules, dtype=type_of(df, params["column"]))
 
 
 def is_equal_to(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
@@ -147,7 +146,7 @@ def is_valid_timestamp(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
 
 def _limits(df: DataFrame, params: dict, ctx: RuleContext, rule: str):
     c = _column(params)
-    dtype = type_of(df, c)
+    dtype = type_of(df, params["column"])
     lo = params.get("min_limit")
     hi = params.get("max_limit")
     if lo is None and hi is None:

@@ -145,7 +145,6 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
             if "error" in v.params:
                 raise ValueError(v.params["error"])
             perimeter = F.expr(v.perimeter) if v.perimeter else F.lit(True)
-            df.select(perimeter).schema                     # analysis of the perimeter
         except Exception as exc:                            # noqa: BLE001 - reported per validation
             out.append(Prepared(v, "error", error=f"perimeter: {exc}"))
             continue
@@ -165,10 +164,11 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
                 else:
                     fail = ROW_RULES[v.rule_name](df, params, ctx)
                 value = _value_column(params, primary_key)
-                (df.withColumns(helpers) if helpers else df).select(fail, value).schema   # analysis
+                # one analysis for perimeter, rule and value together
+                (df.withColumns(helpers) if helpers else df).select(perimeter, fail, value).schema
                 out.append(Prepared(v, "row", perimeter=perimeter, fail=fail, value=value, helpers=helpers))
             else:
-                scoped = df.filter(perimeter) if v.perimeter else df
+                scoped = df.filter(perimeter) if v.perimeter else df      # analyses the perimeter
                 if v.implementation == "CUSTOM":
                     failing = custom.failing_frame(v.rule_name, scoped, list(params.get("columns") or []))
                 else:
@@ -179,10 +179,22 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
                 projected.schema                             # analysis
                 out.append(Prepared(v, "dataset", perimeter=perimeter, failing=projected))
         except Exception as exc:                            # noqa: BLE001
-            out.append(Prepared(v, "error", perimeter=perimeter, error=str(exc)))
+            # attribute the failure: an invalid perimeter counts 0 rows
+            if _analyses(df, perimeter):
+                out.append(Prepared(v, "error", perimeter=perimeter, error=str(exc)))
+            else:
+                out.append(Prepared(v, "error", error=f"perimeter: {exc}"))
     return out
 
 
+def _analyses(df: DataFrame, c: Column) -> bool:
+    try:
+        df.select(c).schema
+        return True
+    except Exception:                                       # noqa: BLE001
+        return False
+
+
 def _fails_inside(p: Prepared) -> Column:
     return p.perimeter & F.coalesce(p.fail, F.lit(False))
 
