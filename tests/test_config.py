@@ -110,3 +110,19 @@ def test_csv_sheet_roundtrip(spark, scratch_dir):
     sheet = load_sheet(spark, path)
     assert sheet.columns and all(t == "string" for _, t in sheet.dtypes)
     assert as_sheet(sheet).filter(F.col("table_id") == "T1").count() == 1
+
+
+def test_json_sheet_and_parquet_resolver(spark, scratch_dir):
+    from tessera.sources.catalog import TableResolver
+    path = f"{scratch_dir}/rules.json"
+    fx.rules_sheet(spark).write.json(path)
+    sheet = load_sheet(spark, path, fmt="json")
+    assert all(t == "string" for _, t in sheet.dtypes)
+    store = Store(spark, f"{scratch_dir}/cfg2")
+    report = sync_config(store, rules=sheet)
+    assert {r.action for r in report["rules"]} == {"INSERT"}
+    lib = {r.rule_id: r for r in store.read(RULES).collect()}
+    assert lib["R01"].tags == ["crm", "customers"] and lib["R01"].requires_literal_conversion is None
+    resolver = TableResolver(spark, "/root/testdata/sf0.001")
+    assert resolver.exists("orders") and not resolver.exists("no_such_table")
+    assert resolver("orders").count() > 0
