@@ -1,13 +1,22 @@
 """Run the validations of one or many tables and record them in the ledger.
 
-Per table, all row-level validations share ONE evidence scan (written to a
-staging folder under the shared checkpoint directory) and ONE aggregate scan
-that returns every perimeter and failure count as a single row (partial
-aggregation per task, codegen'd -- measured cheaper than collecting the same
-counts through an ``Observation`` on the evidence scan). Each dataset-level
-rule is one more plan. Staged evidence is then classified against the previous
-execution of the same table in one aggregate and appended to the ledger,
-flag included -- the ledger is append-only, nothing is updated afterwards.
+Per table and execution:
+
+1. ONE aggregate scan returns every perimeter and row-rule failure count as a
+   single row (partial aggregation per task, codegen'd -- measured cheaper
+   than collecting the same counts through an ``Observation``). It is also
+   the first plan to evaluate every rule, so a rule raising at run time
+   (ANSI) is isolated here before anything is written.
+2. Each dataset-level rule writes its failing rows once to the execution's
+   staging folder under the shared checkpoint directory.
+3. ONE aggregate classifies the evidence -- the row-rule evidence plan (scan
+   -> filter -> generate, never staged), the staged dataset evidence and the
+   previous execution's evidence of the same table -- into new / persistent /
+   resolved, de-duplicating in the same pass; the result is written once.
+4. Counts per validation are read from it and the new and persistent rows
+   are appended to the ledger with their flag; results and the execution row
+   follow. The ledger is append-only; nothing is updated afterwards, and the
+   staging folder is removed only after every append succeeded.
 """
 
 from __future__ import annotations
@@ -286,6 +295,26 @@ class Runner:
         self.store.append(EVIDENCES, flagged)
         return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
 
+    def persistence_from_ledger(self, table_id: str) -> DataFrame:
+        """New / persistent / resolved per validation for the latest finished
+        execution of ``table_id``, recomputed from the ledger alone (the
+        separate persistence job of the original flow; useful for audits and
+        backfills). Reads two date partitions of the evidence ledger."""
+        ex = (finished_executions(self.store.read(EXECUTIONS)).filter(F.col("table_id") == table_id)
+              .orderBy(F.col("execution_timestamp").desc(), F.col("execution_id").desc())
+              .select("execution_id", "execution_date").limit(2).collect())     # two rows
+        vids = [r.validation_id for r in self.store.read(VALIDATIONS)
+                .filter(F.col("table_id") == table_id).select("validation_id").collect()]   # config-sized
+
+        def evidence_of(row) -> DataFrame:
+            return (self.store.read_day(EVIDENCES, row.execution_date)
+                    .filter((F.col("execution_id") == row.execution_id) & F.col("validation_id").isin(vids)))
+
+        empty = self.spark.createDataFrame([], EVIDENCE_SCHEMA)
+        current = evidence_of(ex[0]) if ex else empty
+        previous = evidence_of(ex[1]) if len(ex) > 1 else empty
+        return counts_by_validation(classify(current, previous))
+
     def store_exists(self, path: str) -> bool:
         from tessera.sources.ledger_store import _exists
         return _exists(self.spark, path)

@@ -164,3 +164,16 @@ def test_rerun_after_evidence_append_keeps_counts(spark, scratch_dir):
     assert store.read(EVIDENCES).count() == before
     assert again.results[0]["new_failures"] == second.results[0]["new_failures"]
     assert again.results[0]["persistent_failures"] == second.results[0]["persistent_failures"] == 1
+
+
+def test_persistence_from_ledger_matches_run(spark, scratch_dir):
+    store, resolver, runner = _setup(spark, scratch_dir)
+    for step, name in enumerate(("run1", "run2")):
+        resolver.register("clientes", fx.run_frame(spark, name))
+        report = runner.run("clientes", now=datetime(2024, 12, 1 + step))
+    recorded = {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
+                for r in store.read(RESULTS).filter(F.col("execution_id") == report.execution_id).collect()
+                if (r.new_failures, r.persistent_failures, r.resolved_failures) != (0, 0, 0)}
+    audited = {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
+               for r in runner.persistence_from_ledger("T1").collect()}
+    assert audited == recorded == PERSISTENCE[("run1", "run2")]
