@@ -39,6 +39,7 @@ from tessera.plans.validate import (
     Prepared,
     Validation,
     _fails_inside,
+    perimeter_name,
     prepare,
     row_counts,
     row_evidence,
@@ -219,8 +220,9 @@ class Runner:
         perimeters, failures = {}, {}
         for i, p in enumerate(prepared):
             vid = p.validation.validation_id
-            if f"p{i}" in got:
-                perimeters[vid] = got[f"p{i}"]
+            name = perimeter_name(i, p)
+            if name in got:
+                perimeters[vid] = got[name]
             if f"f{i}" in got:
                 failures[vid] = got[f"f{i}"]
         return perimeters, failures, prepared

@@ -238,16 +238,24 @@ def evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> DataF
 
 def count_columns(prepared: list[Prepared]) -> list[Column]:
     """Aggregate expressions for perimeter and row-rule failure counts,
-    named p<i> / f<i> by position in ``prepared``."""
-    cols = []
+    named p<i> / f<i> by position in ``prepared``. Validations without a
+    perimeter share the one row count ``_rows`` (see ``perimeter_name``)."""
+    cols = [F.count(F.lit(1)).alias("_rows")]
     for i, p in enumerate(prepared):
-        if p.perimeter is not None:
+        if p.perimeter is not None and p.validation.perimeter:
             cols.append(F.count_if(p.perimeter).alias(f"p{i}"))
         if p.kind == "row":
             cols.append(F.count_if(_fails_inside(p)).alias(f"f{i}"))
     return cols
 
 
+def perimeter_name(i: int, p: Prepared) -> str | None:
+    """Column of ``count_columns`` holding the perimeter count of ``p``."""
+    if p.perimeter is None:
+        return None
+    return f"p{i}" if p.validation.perimeter else "_rows"
+
+
 def row_counts(df: DataFrame, prepared: list[Prepared]) -> dict:
     """Run the count aggregate: {p<i>: perimeter, f<i>: failures} (one job,
     one row back to the driver)."""
@@ -276,7 +284,7 @@ def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
                 continue
             failed = F.col(f"f{i}") if p.kind == "row" else F.lit(None).cast(LongType())
             structs.append(F.struct(F.lit(p.validation.validation_id).alias("validation_id"),
-                                    F.col(f"p{i}").cast(LongType()).alias("perimeter"),
+                                    F.col(perimeter_name(i, p)).cast(LongType()).alias("perimeter"),
                                     failed.cast(LongType()).alias("failed")))
         pieces.append(one.select(F.inline(F.array(*structs))))
     for p in prepared:
