@@ -61,6 +61,8 @@ def unify_evidences(staged: list[DataFrame], ledger_evidences: DataFrame) -> Dat
     # that are also staged (at most one row per staged execution), which
     # AQE can broadcast -- the staged rows are never shuffled on it
     staged_ids = everything.select("execution_id").distinct()
-    processed = ledger_evidences.select("execution_id").distinct().join(staged_ids, "execution_id", "left_semi")
+    processed = (ledger_evidences.select("execution_id")
+                 .join(staged_ids, "execution_id", "left_semi")      # tiny right side: broadcast by AQE
+                 .distinct())
     fresh = everything.join(processed, "execution_id", "left_anti")
     return dedup_evidences(fresh)
