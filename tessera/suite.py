@@ -346,7 +346,7 @@ def _validations_sheet(spark, sf):
         F.concat(F.lit("T_"), F.col("p_type")).alias("table_id"),
         F.when(size > 45, F.lit("p_size > 3")).otherwise(F.lit("")).alias("perimeter_definition"),
         F.when(size > 10, F.lit("true")).when(size > 5, F.lit("false")).otherwise(F.lit("")).alias("is_active"),
-        F.when(F.col("p_retailprice") > 1500, F.lit("critical")).otherwise(F.lit("warning")).alias("severity"),
+        F.when(size > 30, F.lit("critical")).otherwise(F.lit("warning")).alias("severity"),
         F.element_at(names, ((size - 1) % 26 + 1).cast("int")).alias("technical_name"),
         F.when(F.col("p_type") == "PROMO", F.lit("CUSTOM"))
          .when((F.col("p_type") == "SMALL") & (size > 40), F.lit("other"))

@@ -299,7 +299,7 @@ SELECT coalesce(t.table_id, s.table_id) AS table_id,
 FROM t FULL OUTER JOIN s ON t.table_id = s.table_id""",
     "select_active_validations": """SELECT 'V' || CAST(p_partkey AS VARCHAR) AS validation_id,
   'R' || CAST(p_size - 1 AS VARCHAR) AS rule_id, 'critical' AS severity
-FROM part WHERE p_type = 'STANDARD' AND p_size > 10 AND p_retailprice > 1500""",
+FROM part WHERE p_type = 'STANDARD' AND p_size > 10 AND p_size > 30""",
     "validation_plan": f"""SELECT 'V' || CAST(p_partkey AS VARCHAR) AS validation_id, 'R' || CAST(p_size - 1 AS VARCHAR) AS rule_id,
   r.technical_rule_name, r.rule_level
 FROM part LEFT JOIN (SELECT 'R' || CAST(n_nationkey AS VARCHAR) AS rule_id,
