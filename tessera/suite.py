@@ -59,7 +59,7 @@ def _failing(df: DataFrame, rule: str, params: dict, pk: str, ctx: RuleContext,
              vid: str = "V") -> DataFrame:
     """Evidence (validation_id, table_pk, failed_value) of one validation;
     raises when the validation does not analyse."""
-    custom = default_custom_rules(ctx.spark) if implementation == "CUSTOM" else None
+    custom = _custom_rules(ctx.spark) if implementation == "CUSTOM" else None
     v = Validation(vid, rule, params, perimeter=perimeter, implementation=implementation)
     prepared = prepare(df, [v], pk, ctx, custom)
     if prepared[0].kind == "error":
@@ -67,6 +67,17 @@ def _failing(df: DataFrame, rule: str, params: dict, pk: str, ctx: RuleContext,
     return evidence(df, prepared, pk)
 
 
+_CUSTOM: dict = {}
+
+
+def _custom_rules(spark: SparkSession):
+    """Default custom-rule registry, registered once per session."""
+    key = id(spark)
+    if key not in _CUSTOM or not spark.catalog.functionExists("is_valid_nif_es"):
+        _CUSTOM[key] = default_custom_rules(spark)
+    return _CUSTOM[key]
+
+
 def _pk_value(df: DataFrame) -> DataFrame:
     return df.select("table_pk", "failed_value")
 
