@@ -25,7 +25,7 @@ from tessera.operators.upsert import reflect, update_matched, upsert
 from tessera.plans import persistence as P
 from tessera.plans.config import (
     active_validations,
-    build_definition as _build_definition,
+    build_definition_sql as _build_definition,
     definition_problems,
     shape_validations,
     validation_plan as _validation_plan,
@@ -382,11 +382,9 @@ def _validations_sheet(spark, sf):
 
 def build_definition(spark, sf):
     sh = _validations_sheet(spark, sf)
-    c = F.col
     return sh.select("validation_id", _build_definition(
-        c("technical_name"), c("rule_type"), c("param_columns"), c("param_value"), c("param_min"),
-        c("param_max"), c("param_set"), c("param_expression"), c("param_data_type"), c("param_query"),
-        c("param_merge_columns")).alias("validation_definition"))
+        "technical_name", "rule_type", "param_columns", "param_value", "param_min", "param_max", "param_set",
+        "param_expression", "param_data_type", "param_query", "param_merge_columns").alias("validation_definition"))
 
 
 def split_tags_query(spark, sf):
