@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, secret_scan, token_count
-from tessera.llm.common import table
+from tessera.llm import bpe, exact_dedup, line_dedup, secret_scan, token_count, warc
+from tessera.llm.common import stage, table
 
 TOKEN_LIMIT = 2048
 
@@ -26,6 +26,13 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(archives).where("record_type <> 'gap'").select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
@@ -43,6 +50,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("secrets")).alias("spans"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -50,9 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_bpe_codec, op8_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_bpe_codec, op6_warc, op8_secret_scan, op9_line_dedup,
+                                 op10_token_counts)}
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 
 SQL = {
     "op1_exact_dedup": f"""
@@ -61,4 +76,23 @@ SQL = {
                count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
+    "op6_warc": """
+        WITH t AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                          sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+    "op9_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+             k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          '{_UPPER}', '{_UPPER.lower()}') AS key FROM l),
+             g AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 20
+                   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             d AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> g.last_id AS gone FROM k LEFT JOIN g ON k.key = g.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
 }
