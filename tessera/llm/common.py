@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: lineage
-    is cut and the files outlive any executor."""
+    is cut and the files outlive any executor. ``slim`` tables (keys, counts,
+    links) go to at most two files per core, not one per shuffle partition."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
     # a written table may hold NULL in every column, whatever the plan said
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return spark.read.schema(schema).parquet(path)
@@ -45,6 +49,19 @@ def ascii_lower(c: Column) -> Column:
         F.translate(c, UPPER, UPPER.lower()))
 
 
+SLICE_BYTES = 2_000_000
+
+
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, in consecutive runs of about
+    ``limit`` bytes: what a worker holds as Python objects stays bounded."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        if stop > start:
+            yield [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+
+
 def with_results(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     """``df`` plus the fields ``names`` of the struct ``result``; a result
     column replaces an input column of the same name."""
@@ -68,7 +85,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     is split by the adaptive skew join.
     """
     spark = edges.sparkSession
-    live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", slim=True)
     labels = None
     for _ in range(max_rounds):
         if live.isEmpty():
@@ -76,12 +93,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         both = live.select(F.explode(F.array(
             F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
             F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-        up = stage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "hooks")
+        up = stage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "hooks", slim=True)
         while True:
             far = up.select(F.col("node").alias("mid"), F.col("root").alias("far"))
             jumped = stage(up.join(far, F.col("root") == F.col("mid"), "left")
                            .select("node", F.coalesce("far", "root").alias("root"),
-                                   (F.coalesce("far", "root") != F.col("root")).alias("moved")), "jumps")
+                                   (F.coalesce("far", "root") != F.col("root")).alias("moved")), "jumps", slim=True)
             moved = not jumped.where("moved").isEmpty()
             drop_staged(up)
             up = jumped.drop("moved")
@@ -91,13 +108,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         rb = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rest = (live.join(ra, "a").join(rb, "b").where("ra <> rb")
                 .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        new_live = stage(rest, "edges")
+        new_live = stage(rest, "edges", slim=True)
         if labels is None:
             new_labels = up.select("node", F.col("root").alias("component"))
         else:
             nxt = up.select(F.col("node").alias("component"), "root")
             new_labels = stage(labels.join(nxt, "component", "left")
-                               .select("node", F.coalesce("root", "component").alias("component")), "labels")
+                               .select("node", F.coalesce("root", "component").alias("component")), "labels", slim=True)
             drop_staged(labels, up)
         drop_staged(live)
         live, labels = new_live, new_labels
@@ -106,3 +123,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
     return labels
+
+
+def label_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` (id, node, ...) plus component_id, the smallest id in the
+    node's component, and kept (id = component_id). A null node is alone. A
+    null id is larger than any other. ``labels`` as by connected_components."""
+    if labels is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stage(rows, "rows", slim=True)
+    lows = stage(rows.where("component IS NOT NULL").groupBy("component")
+                 .agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
+                 .select(F.col("component").alias("l_component"), "low"), "lows", slim=True)
+    low = F.when(F.col("l_component").isNull(), F.col("id")).otherwise(F.col("low"))
+    return (rows.join(lows, F.col("component") == F.col("l_component"), "left")
+            .withColumn("component_id", low).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+            .drop("l_component", "low", "component"))

@@ -36,14 +36,14 @@ def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     largest id holding it; null if all are null), group_size."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("len"))
-    lengths = stage(rows.groupBy("len").count().where("count > 1").select("len"), "lengths")
+    lengths = stage(rows.groupBy("len").count().where("count > 1").select("len"), "lengths", slim=True)
     prefix = F.xxhash64(normalised(F.substring("text", 1, PREFIX_CHARS)))
     keyed = rows.join(lengths, "len", "left_semi").withColumn("prefix", prefix)
-    prefixes = stage(keyed.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix"), "prefixes")
+    prefixes = stage(keyed.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix"), "prefixes", slim=True)
     full = (rows.withColumn("prefix", prefix).join(prefixes, ["len", "prefix"], "left_semi")
             .select("id", digest(F.col("text")).alias("text_sha256")))
     return stage(full.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-                 .where("group_size > 1"), "copies")
+                 .where("group_size > 1"), "copies", slim=True)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

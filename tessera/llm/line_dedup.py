@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -138,39 +137,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     hashes = stage(line_hashes(docs, id_col, text_col, min_chars), "lines")
     entries = stage(hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
-                    .where("n_docs > 1"), "line-counts")
+                    .where("n_docs > 1"), "line-counts", slim=True)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(2 * tasks, -(-entries.count() // SHARD_ENTRIES))
     shards = stage(build_shards(entries, n_shards), "line-shards")
     # a shard serves its probes in as many copies as keep each near the mean
     share = max(2 * hashes.count() // n_shards, 1000)
     copies = stage(hashes.groupBy(F.pmod("h1", F.lit(n_shards)).alias("shard")).count()
-                   .select("shard", F.ceil(F.col("count") / share).cast("long").alias("n_copies")), "line-copies")
+                   .select("shard", F.ceil(F.col("count") / share).cast("long").alias("n_copies")), "line-copies", slim=True)
     gone = stage(probe(hashes, shards, n_shards, copies, min_docs).groupBy("id", "t")
                  .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
                  .select(F.col("id").alias("g_id"), F.col("t").alias("g_t"),
-                         F.col("gone.h1").alias("g_h1"), F.col("gone.h2").alias("g_h2")), "line-drops")
+                         F.col("gone.h1").alias("g_h1"), F.col("gone.h2").alias("g_h2")), "line-drops", slim=True)
     drop_staged(hashes, entries, shards, copies)
 
-    @F.pandas_udf("struct<kept_text:string,n_lines:bigint,n_dropped:bigint>")
-    def apply(text: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<kept_text:string,n_lines:bigint,n_dropped:bigint>")
+    def apply(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
         kept, total, dropped = [], [], []
         for t, a, b in zip(text, h1, h2):
-            t = t or ""
-            n = t.count("\n") + 1
-            if a is None:
-                kept.append(t)
-                total.append(n)
-                dropped.append(0)
-                continue
-            raw = np.stack((np.asarray(a), np.asarray(b)), axis=1).astype("<i8").tobytes()
-            out = {raw[i:i + 16] for i in range(0, len(raw), 16)}
-            lines = [x for x in t.encode().split(b"\n")
-                     if (k := line_key(x, min_chars)) is None or _hash(k) not in out]
-            kept.append(b"\n".join(lines).decode())
-            total.append(n)
-            dropped.append(n - len(lines))
-        return pd.DataFrame({"kept_text": kept, "n_lines": total, "n_dropped": dropped})
+            lines = (t.as_py() or "").encode().split(b"\n")
+            total.append(len(lines))
+            if a.is_valid:
+                raw = np.stack((a.values.to_numpy(), b.values.to_numpy()), axis=1).astype("<i8").tobytes()
+                out = {raw[i:i + 16] for i in range(0, len(raw), 16)}
+                lines = [x for x in lines if (k := line_key(x, min_chars)) is None or _hash(k) not in out]
+            dropped.append(total[-1] - len(lines))
+            kept.append(b"\n".join(lines))
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()),
+                                           pa.array(dropped, pa.int64())], names=["kept_text", "n_lines", "n_dropped"])
 
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("g_id")) & (F.xxhash64(text_col) == F.col("g_t"))
     joined = docs.join(gone, same, "left")

@@ -79,7 +79,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                         F.sha2(html, 256).alias("digest"))
     firsts = stage(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
                    .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
-                   .select(F.col("digest").alias("f_digest"), "first_id"), "payloads")
+                   .select(F.col("digest").alias("f_digest"), "first_id"), "payloads", slim=True)
     planned = rows.join(firsts, F.col("digest") == F.col("f_digest"), "left").select(
         "id", "url", "payload", "digest",
         F.when(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id")), F.col("first_id")).alias("refers_to"))

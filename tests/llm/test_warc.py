@@ -72,7 +72,8 @@ def test_salvage_recovers_later_records():
             bad = bytearray(parts[hit])
             kind = rnd.randrange(3)
             if kind == 0:
-                at = rnd.randrange(len(bad))
+                # a plain record's header fields carry no checksum
+                at = rnd.randrange(bad.index(b"HTTP/") if plain else 0, len(bad))
                 bad[at] ^= 0xFF
             elif kind == 1:
                 del bad[rnd.randrange(1, len(bad)):]
