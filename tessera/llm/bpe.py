@@ -13,14 +13,13 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import with_results
+from tessera.llm.common import text_slices, with_results
 from tessera.llm.vocab import Vocabulary, load
 
-CHUNK_CHARS = 2_000_000      # texts split at a time (bounds a worker's memory)
 CACHE_PIECES = 250_000       # distinct pieces remembered between chunks
 
 
@@ -142,52 +141,46 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about ``limit`` characters."""
-    out, size = [], 0
-    for t in texts:
-        out.append(t)
-        size += len(t)
-        if size >= limit:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
-def encode_documents(docs: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``token_ids`` array<int>: the ids of the whole text.
+def code_documents(docs: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` plus ``token_ids``, the ids of the whole text as little-endian
+    unsigned 32-bit integers (binary), and ``decoded``, the text they give back.
 
     A null text counts as empty and has no ids. Special strings inside a text
     become their single id. Rows are independent: null or repeated ids, ties
-    and extra columns pass through; ``token_ids`` replaces a column of that
-    name; an empty table gives an empty result.
+    and extra columns pass through; the results replace columns of those
+    names; an empty table gives an empty result.
     """
-    @F.pandas_udf("struct<token_ids:array<int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<token_ids:binary,decoded:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(load(vocab_path))
-        for s in batches:
-            out = []
-            for part in chunks(s.fillna("").tolist()):
-                out += [x.astype(np.int32) for x in encoder.encode(part)]
-            yield pd.DataFrame({"token_ids": pd.Series(out, dtype=object)})
+        for batch in batches:
+            for texts in text_slices(batch):
+                ids = encoder.encode(texts)
+                yield pa.StructArray.from_arrays(
+                    [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decode(encoder.vocab, x) for x in ids], pa.string())],
+                    names=["token_ids", "decoded"])
+    return with_results(docs, run(F.col(text_col)), ["token_ids", "decoded"])
+
+
+def encode_documents(docs: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
+    """``code_documents`` without the way back; ``decoded`` is left as it came."""
+    @F.arrow_udf("struct<token_ids:binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(load(vocab_path))
+        for batch in batches:
+            for texts in text_slices(batch):
+                yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in encoder.encode(texts)], pa.binary())],
+                                                 names=["token_ids"])
     return with_results(docs, run(F.col(text_col)), ["token_ids"])
 
 
 def decode_documents(docs: DataFrame, vocab_path: str, ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` plus ``decoded``: the text of ``ids_col``; null ids give an empty text."""
-    @F.pandas_udf("struct<decoded:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``docs`` plus ``decoded``: the text of the binary ``ids_col``; null ids
+    give an empty text."""
+    @F.arrow_udf("struct<decoded:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = load(vocab_path)
-        for s in batches:
-            yield pd.DataFrame({"decoded": [decode(vocab, np.asarray(x)) if x is not None else "" for x in s]})
+        for batch in batches:
+            texts = [decode(vocab, np.frombuffer(x.as_py() or b"", dtype="<u4")) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string())], names=["decoded"])
     return with_results(docs, run(F.col(ids_col)), ["decoded"])
-
-
-def ids_digest(ids: F.Column) -> F.Column:
-    """Hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        from hashlib import sha256
-        return s.map(lambda x: sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-    return run(ids)

@@ -22,11 +22,11 @@ from functools import lru_cache
 from itertools import product
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import UPPER, with_results
+from tessera.llm.common import UPPER, text_slices, with_results
 
 KINDS = ["assign", "access", "hex", "github", "npm"]
 BASE = KINDS[:3]
@@ -128,12 +128,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     through; the two results replace columns of those names; an empty table
     gives an empty result. Texts of any length are scanned whole.
     """
-    @F.pandas_udf("struct<secrets:array<struct<start:bigint,end:bigint,kind:string>>,redacted_text:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            texts = s.fillna("").tolist()
-            found = [scan(t) for t in texts]
-            yield pd.DataFrame({
-                "secrets": pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in found], dtype=object),
-                "redacted_text": pd.Series([redact(t, x) for t, x in zip(texts, found)], dtype=object)})
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+
+    @F.arrow_udf("struct<secrets:array<struct<start:bigint,end:bigint,kind:string>>,redacted_text:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in text_slices(batch):
+                found = [scan(t) for t in texts]
+                rows = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in found]
+                clean = [redact(t, x) if x else t for t, x in zip(texts, found)]
+                yield pa.StructArray.from_arrays([pa.array(rows, pa.list_(span)), pa.array(clean, pa.string())],
+                                                 names=["secrets", "redacted_text"])
     return with_results(docs, run(F.col(text_col)), ["secrets", "redacted_text"])

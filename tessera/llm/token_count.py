@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import with_results
+from tessera.llm.common import text_slices, with_results
 from tessera.llm.vocab import Vocabulary, load
 
 CACHE_WORDS = 500_000
@@ -75,15 +75,14 @@ def count_tokens(docs: DataFrame, vocab_path: str, text_col: str = "text") -> Da
     repeated ids, ties and extra columns pass through; ``n_tokens`` replaces a
     column of that name; an empty table gives an empty result.
     """
-    @F.pandas_udf("struct<n_tokens:bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_tokens:bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = load(vocab_path)
         counts = WordCounts(vocab)
-        for s in batches:
-            out = []
-            for text in s.fillna("").tolist():
+        for batch in batches:
+            for texts in text_slices(batch):
                 if len(counts) > CACHE_WORDS:
                     counts = WordCounts(vocab)
-                out.append(sum(map(counts.__getitem__, vocab.pieces(text))))
-            yield pd.DataFrame({"n_tokens": pd.Series(out, dtype="int64")})
+                sums = [sum(map(counts.__getitem__, vocab.pieces(t))) for t in texts]
+                yield pa.StructArray.from_arrays([pa.array(sums, pa.int64())], names=["n_tokens"])
     return with_results(docs, run(F.col(text_col)), ["n_tokens"])
