@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, line_dedup, secret_scan, token_count, warc
+from tessera.llm import (
+    bpe,
+    exact_dedup,
+    line_dedup,
+    minhash,
+    multi_index,
+    packing,
+    secret_scan,
+    token_count,
+    toxicity,
+    warc,
+)
 from tessera.llm.common import stage, table
 
 TOKEN_LIMIT = 2048
@@ -17,13 +28,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, "doc_id", "text")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_dups(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_dup_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode_documents(bpe.encode_documents(docs, path).drop("text"), path)
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-                        bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"),
-                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return bpe.code_documents(docs, path).select(
+        "doc_id", F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +58,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
@@ -63,8 +95,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_bpe_codec, op6_warc, op8_secret_scan, op9_line_dedup,
-                                 op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_minhash, op3_packing, op4_multi_index, op5_bpe_codec, op6_warc, op7_toxicity, op8_secret_scan,
+    op9_line_dedup, op10_token_counts)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
