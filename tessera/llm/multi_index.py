@@ -46,8 +46,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to codewords."""
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(1), 0)
+    """Squared distances of rows to codewords; in this thread, for the driver
+    fits with it beside a JVM."""
+    cross = np.einsum("ij,kj->ik", x, codes)
+    return np.maximum((x * x).sum(1)[:, None] - 2 * cross + (codes * codes).sum(1), 0)
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
