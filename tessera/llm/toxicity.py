@@ -26,11 +26,11 @@ from tessera.llm.common import drop_staged, stage, text_slices, with_results
 
 SAMPLE_PER_CLASS = 3000     # labelled rows used of each class, chosen by hash: the bound of the fit
 MAX_FEATURES = 4096
-MIN_ROWS = 5                # sampled rows that hold a feature
-MIN_CHI2 = 25.0             # far beyond chance even for a million candidate features
+MIN_ROWS = 4                # sampled rows that hold a feature
+MIN_CHI2 = 20.0             # far beyond chance even for a million candidate features
 PREFIXES = (4, 5, 6)
 FAIRNESS = 20.0             # weight of the counterfactual term
-RIDGE = 1e-3
+RIDGE = 1e-4
 STEPS = 400
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
