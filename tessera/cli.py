@@ -1,9 +1,10 @@
-"""Command line: the set-up, sync and run jobs as one command each.
+"""Command line: the set-up, sync, run and unify jobs as one command each.
 
   python -m tessera.cli setup --store PATH
   python -m tessera.cli sync  --store PATH [--tables CSV] [--rules CSV] [--validations CSV] [--format csv|json]
   python -m tessera.cli run   --store PATH [--tables "a, b" | all] [--severity S] [--validation-id V]
                               [--parquet-dir DIR]
+  python -m tessera.cli unify --store PATH [--parquet-dir DIR]
 
 Tables to validate are resolved by name: a ``<name>.parquet`` dataset under
 ``--parquet-dir`` if given, else the session catalog.
@@ -24,7 +25,7 @@ from tessera.sources.sheets import load_sheet
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="tessera")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    for name in ("setup", "sync", "run"):
+    for name in ("setup", "sync", "run", "unify"):
         p = sub.add_parser(name)
         p.add_argument("--store", required=True, help="base path of config and ledger tables")
         p.add_argument("--master", default=None)
@@ -37,7 +38,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--tables", default="all")
     run.add_argument("--severity")
     run.add_argument("--validation-id")
-    run.add_argument("--parquet-dir")
+    for p in (run, sub.choices["unify"]):
+        p.add_argument("--parquet-dir")
     args = ap.parse_args(argv)
 
     spark = build_session(args.master)
@@ -54,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
             for r in rows:
                 summary[k][r["action"]] = summary[k].get(r["action"], 0) + 1
         print(json.dumps(summary))
+    elif args.cmd == "unify":
+        from tessera.plans.ledger import unify_job
+        print(json.dumps(unify_job(spark, store, TableResolver(spark, args.parquet_dir))))
     else:
         from tessera.plans.run import Runner
         runner = Runner(spark, store, TableResolver(spark, args.parquet_dir))

@@ -26,13 +26,3 @@ def split_tags(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     return F.filter(F.split(c, r",\s*"), lambda x: x != "")
-
-
-def number_or_text(text: str | None):
-    """A sheet value as a float when it parses as one, else the text itself."""
-    if text is None or text == "":
-        return None
-    try:
-        return float(text)
-    except (TypeError, ValueError):
-        return text

@@ -6,9 +6,9 @@ Two variants exist because the two published custom rules disagree:
 * ``national_id_ok_strict`` -- NULL, wrong length, non-digits or a
   non-letter control character all fail; a leading X/Y/Z (foreigner id)
   stands for 0/1/2. The verdict is never NULL.
-* ``national_id_ok_lenient`` -- the SQL flavour: X/Y/Z are replaced anywhere
-  in the first eight characters; a digit part that is not a number gives a
-  NULL verdict, and a NULL verdict passes.
+* the SQL function -- lenient: X/Y/Z stand for digits anywhere in the first
+  eight characters; a digit part that is not a number gives a NULL verdict,
+  and a NULL verdict passes.
 """
 
 from __future__ import annotations
@@ -48,32 +48,19 @@ def national_id_ok_strict(c) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def national_id_ok_lenient(c) -> Column:
-    """SQL flavour: TRUE / FALSE, or NULL when the digit part is not numeric."""
-    t = F.trim(_col(c).cast("string"))
-    digits = F.upper(F.substring(t, 1, 8))
-    for k, v in NIE_PREFIX_DIGITS.items():
-        digits = F.regexp_replace(digits, k, v)
-    number = digits.try_cast("int")
-    check = _control_letter(number) == F.upper(F.substring(t, 9, 1))
-    return F.when(t.isNull() | (F.length(t) != 9), F.lit(False)).otherwise(check)
-
-
 def register_sql_function(spark: SparkSession, name: str = SQL_FUNCTION_NAME) -> str:
     """Register the lenient check as a temporary SQL function ``name(STRING)``.
 
     SQL functions are inlined into the plan by the analyzer, so calling it
     from a filter stays inside whole-stage codegen.
     """
-    prefix_swaps = "upper(substring(trim(v), 1, 8))"
-    for k, d in NIE_PREFIX_DIGITS.items():
-        prefix_swaps = f"regexp_replace({prefix_swaps}, '{k}', '{d}')"
+    letters, digits = "".join(NIE_PREFIX_DIGITS), "".join(NIE_PREFIX_DIGITS.values())
+    body = f"try_cast(translate(upper(left(trim(v), 8)), '{letters}', '{digits}') AS INT)"
+    # place of the expected letter; a negative remainder counts from the end
+    place = f"pmod({body} % 23 + CAST({body} < 0 AS INT), 23)"
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS BOOLEAN
-        RETURN CASE
-          WHEN v IS NULL OR length(trim(v)) <> 9 THEN false
-          ELSE substring('{CONTROL_LETTERS}', try_cast({prefix_swaps} AS INT) % 23 + 1, 1)
-               = upper(substring(trim(v), 9, 1))
-        END
+        RETURN char_length(coalesce(trim(v), '')) = 9
+               AND locate(upper(right(trim(v), 1)), '{CONTROL_LETTERS}') = {place} + 1
     """)
     return name

@@ -4,8 +4,8 @@ Three kinds, looked up by the rule's technical name:
 
 * column rules -- ``fn(columns) -> Column`` giving TRUE for a valid row
   (FALSE fails, NULL passes); they join the shared single-pass scan;
-* SQL functions -- any function known to the session catalog (temporary or
-  persistent), called as ``name(`c1`, `c2`, ...)``; FALSE fails, NULL passes;
+* SQL functions -- any function a user created in the session or its catalog
+  (temporary or persistent), called as ``name(`c1`, `c2`, ...)``; FALSE fails, NULL passes;
 * frame rules -- ``fn(df, columns) -> failing DataFrame`` for logic that needs
   the whole frame. Python callables registered here run as Spark plans;
   they must not collect data.
@@ -45,10 +45,17 @@ class CustomRules:
             return "column"
         if name in self.frame_rules:
             return "frame"
-        if name in self.sql_functions or spark.catalog.functionExists(name):
+        if name in self.sql_functions or self._user_defined(spark, name):
             return "sql"
         return None
 
+    @staticmethod
+    def _user_defined(spark: SparkSession, name: str) -> bool:
+        """Functions that users created, temporary or in the catalog; Spark's
+        own functions are not rules."""
+        shown = [r[0].lower() for r in spark.sql("SHOW USER FUNCTIONS").collect()]
+        return any(f == name.lower() or f.endswith("." + name.lower()) for f in shown)
+
     def ok_expression(self, spark: SparkSession, name: str, columns: list[str]) -> Column:
         """The rule's verdict: TRUE valid, FALSE failing, NULL passes."""
         if not columns:

@@ -5,13 +5,13 @@ validation's perimeter -- and returns the failing rows of ``df`` (same
 columns). They are lazy DataFrames; nothing is collected.
 
 Scale notes:
-* keys are pre-aggregated (partial aggregation on the map side) before any
-  join, and the joins are semi/anti joins so no row is multiplied;
+* joins are semi/anti joins so no row is multiplied; a side that is not an
+  aggregate is left a plain exchange, which the adaptive skew join can split;
+* where a side is an aggregate, the heaviest keys are salted (is_unique);
 * NULL keys are dropped before shuffling (they can never fail a key rule and
   would otherwise form one hot group);
 * whether a pre-aggregated side is broadcast is left to AQE, which decides
-  from the measured size at run time; skewed join partitions are split by
-  AQE's skew-join handling;
+  from the measured size at run time;
 * aggregate rules use a scalar subquery (computed once, then a literal), so
   there is no cross join and no single-task window.
 """
@@ -59,6 +59,24 @@ def _wide(df: DataFrame, keys: list[str]) -> bool:
     return any(not isinstance(df.schema[k].dataType, narrow) for k in keys)
 
 
+# the keys spread over several tasks; no other key holds more than this share
+HEAVY_KEYS = 1000
+
+
+def _spread_semi(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Semi join of ``rows`` with ``counted`` (keys, _n), whose rows are one
+    per key. The HEAVY_KEYS most frequent keys -- a fixed bound, broadcast --
+    are repeated per salt and their rows dealt over the salts, so a key of a
+    large share of the rows is not one task's work."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = counted.orderBy(F.desc("_n")).limit(HEAVY_KEYS).select(*keys, F.lit(salts).alias("_salts"))
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", own).drop("_salts")
+    spread = (counted.select(*keys).join(F.broadcast(heavy), keys, "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
+    return dealt.join(spread, [*keys, "_salt"], "left_semi").drop("_salt")
+
+
 def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     """Rows whose key occurs more than once; a key with a NULL part passes.
 
@@ -74,30 +92,36 @@ def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     non_null = df.filter(_and([F.col(k).isNotNull() for k in keys]))
     if _wide(df, keys):
         h = F.xxhash64(*[F.col(k) for k in keys])
-        repeated = (non_null.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-                    .filter(F.col("_n") > 1).select("_h"))
-        candidates = non_null.withColumn("_h", h).join(repeated, on="_h", how="left_semi").drop("_h")
+        repeated = non_null.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        candidates = _spread_semi(non_null.withColumn("_h", h), repeated, ["_h"]).drop("_h")
     else:
         candidates = non_null
-    duplicated = (candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                  .filter(F.col("_n") > 1).select(*keys))
-    return candidates.join(duplicated, on=keys, how="left_semi")
+    duplicated = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    return _spread_semi(candidates, duplicated, keys)
 
 
 def sql_query(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
-    """Every row the user query returns is a failure; the perimeter rows
-    matching those on ``merge_columns`` are the failing rows."""
+    """Every row the user query returns is a failure. The perimeter rows that
+    match one on ``merge_columns`` (NULLs equal) are the failing rows; a query
+    row without a perimeter row is reported itself, its merge columns set and
+    the other columns NULL, so no returned row is lost."""
     query = params.get("query")
     merge = _list(params, "merge_columns")
     if not query:
         raise ValueError("sql_query needs a 'query'")
     if not merge:
         raise ValueError("sql_query needs non-empty 'merge_columns'")
-    # as a subquery, a statement other than a query is a parse error
-    # de-duplicated map-side; the aggregate's hash partitioning is the one
-    # the join needs, so this adds no exchange
-    offending = ctx.spark.sql(f"SELECT * FROM ({query}) AS user_query").select(*merge).distinct()
-    return df.join(offending, on=merge, how="left_semi")
+    # as a subquery, a statement other than a query is a parse error; not
+    # made distinct, for a semi join needs none and a plain exchange on both
+    # sides lets the skew join split a hot key
+    found = ctx.spark.sql(f"SELECT * FROM ({query}) AS user_query").select(*[F.col(m).alias(f"_q{i}") for i, m in enumerate(merge)])
+    failing = df.join(found, _and([F.col(m).eqNullSafe(found[f"_q{i}"]) for i, m in enumerate(merge)]), "left_semi")
+    held = df.select(*[F.col(m).alias(f"_d{i}") for i, m in enumerate(merge)])
+    unmatched = found.join(held, _and([F.col(f"_q{i}").eqNullSafe(F.col(f"_d{i}")) for i in range(len(merge))]), "left_anti").distinct()
+    at = {m.lower(): i for i, m in enumerate(merge)}
+    alone = unmatched.select(*[(F.col(f"_q{at[f.name.lower()]}") if f.name.lower() in at else F.lit(None))
+                               .cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return failing.unionByName(alone)
 
 
 AGGREGATES = {
@@ -173,7 +197,9 @@ def foreign_key(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     """Rows whose key is absent from the reference table; NULL keys pass."""
     cols, ref_cols, ref = _reference(params, ctx, "foreign_key")
     checked = _row_filter(df, params).filter(_and([F.col(c).isNotNull() for c in cols]))
-    ref_keys = ref.select(*[F.col(r).alias(f"_ref{i}") for i, r in enumerate(ref_cols)]).distinct()
+    # no distinct: an anti join only tests existence, and with a plain exchange
+    # on both sides the skew join can split a hot key
+    ref_keys = ref.select(*[F.col(r).alias(f"_ref{i}") for i, r in enumerate(ref_cols)])
     cond = _and([F.col(c) == ref_keys[f"_ref{i}"] for i, c in enumerate(cols)])
     return checked.join(ref_keys, on=cond, how="left_anti")
 

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
-    FractionalType,
-    IntegralType,
     StringType,
     TimestampNTZType,
     TimestampType,
@@ -66,26 +64,11 @@ def is_not_in_future(df: DataFrame, params: dict, ctx: RuleContext) -> Column:
 
 
 def _allowed_literals(df: DataFrame, name: str, allowed: list) -> list[Column]:
-    """Allowed values typed like the column; values that cannot take the
-    column's type are dropped (they can never be equal)."""
+    """Allowed values typed like the column, from their text, so that a
+    decimal keeps all its digits; a value that cannot take the column's type
+    is NULL and never equal."""
     dtype = type_of(df, name)
-    out = []
-    for v in allowed:
-        if isinstance(dtype, StringType):
-            out.append(F.lit(str(v)))
-        elif isinstance(dtype, IntegralType):
-            try:
-                out.append(F.lit(int(str(v).strip())).cast(dtype))
-            except ValueError:
-                continue
-        elif isinstance(dtype, FractionalType):
-            try:
-                out.append(F.lit(float(str(v).strip())).cast(dtype))
-            except ValueError:
-                continue
-        else:
-            out.append(F.lit(str(v)).try_cast(dtype))
-    return out
+    return [F.lit(str(v)) if isinstance(dtype, StringType) else F.lit(str(v).strip()).try_cast(dtype) for v in allowed]
 
 
 def _not_in_list(df: DataFrame, params: dict) -> Column:
@@ -94,8 +77,6 @@ def _not_in_list(df: DataFrame, params: dict) -> Column:
     if not allowed:
         raise ValueError("rule needs a non-empty 'allowed' list")
     values = _allowed_literals(df, params["column"], allowed)
-    if not values:
-        return c.isNotNull()
     # isin with a NULL-valued literal would turn misses into NULL (= pass)
     return ~F.coalesce(c.isin(*values), F.lit(False)) & c.isNotNull()
 

@@ -26,27 +26,46 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def reflect(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+class RepeatedKeyError(ValueError):
+    pass
+
+
+def require_unique(source: DataFrame, keys: list[str]) -> None:
+    """A MERGE refuses a source that matches a row twice; so do the updates
+    here (one aggregate, stops at the first repeated key)."""
+    if not source.groupBy(*keys).count().filter("count > 1").limit(1).isEmpty():
+        raise RepeatedKeyError(f"the source repeats keys in {keys}")
+
+
+def reflect(target: DataFrame, source: DataFrame, keys: list[str],
+            audit: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Make ``target`` an exact copy of ``source`` by key: update matched
     rows, insert new ones, delete rows the source no longer has.
 
     Returns ``(new_contents, changes)``; ``changes`` has the keys plus
     ``action`` in INSERT / UPDATE / DELETE / UNCHANGED, from one full outer
-    join. With every column mapped the new contents are the source rows.
+    join. ``audit`` columns (time of the last change) take no part in the
+    comparison, and an unchanged row keeps its old ones.
     """
     cols = [c for c in source.columns if c not in keys]
+    compared = [c for c in cols if c not in audit]
     t = target.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"_t_{c}") for c in cols],
                       F.lit(True).alias("_t_present"))
     s = source.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"_s_{c}") for c in cols],
                       F.lit(True).alias("_s_present"))
     joined = t.join(s, on=keys, how="full_outer")
-    unchanged = _and([_same(F.col(f"_t_{c}"), F.col(f"_s_{c}")) for c in cols])
+    unchanged = _and([_same(F.col(f"_t_{c}"), F.col(f"_s_{c}")) for c in compared])
     action = (F.when(F.col("_t_present").isNull(), F.lit("INSERT"))
               .when(F.col("_s_present").isNull(), F.lit("DELETE"))
               .when(unchanged, F.lit("UNCHANGED"))
               .otherwise(F.lit("UPDATE")))
     changes = joined.select(*keys, action.alias("action"))
-    return source, changes
+    if not audit:
+        return source, changes
+    contents = joined.filter("_s_present").withColumn("_action", action).select(*[
+        F.col(c) if c in keys else (F.when(F.col("_action") == "UNCHANGED", F.col(f"_t_{c}")).otherwise(F.col(f"_s_{c}")) if c in audit
+                                    else F.col(f"_s_{c}")).alias(c) for c in source.columns])
+    return contents, changes
 
 
 def update_matched(target: DataFrame, updates: DataFrame, keys: list[str],
@@ -54,6 +73,7 @@ def update_matched(target: DataFrame, updates: DataFrame, keys: list[str],
     """MERGE ... WHEN MATCHED UPDATE SET: matched rows take the update's
     values (even NULL) for ``set_columns``; other rows are unchanged.
     ``updates`` must be unique on ``keys``."""
+    require_unique(updates, keys)
     set_columns = set_columns or [c for c in updates.columns if c not in keys]
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in set_columns],
                        F.lit(True).alias(_MATCHED))
@@ -72,6 +92,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str],
     """MERGE ... WHEN MATCHED UPDATE SET ... WHEN NOT MATCHED INSERT:
     one full outer join on ``keys``. Target columns absent from the source
     are kept on update and NULL on insert."""
+    require_unique(source, keys)
     set_columns = set_columns or [c for c in source.columns if c not in keys]
     s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in set_columns],
                       F.lit(True).alias(_MATCHED))

@@ -280,7 +280,8 @@ def sync_sheet(kind: str, sheet: DataFrame | None, current: DataFrame) -> tuple[
         return None, None
     if stats["n"] != stats["k"]:
         raise DuplicateKeyError(f"sheet '{kind}' repeats ids in '{key}'")
-    return reflect(current, shaped, [key])
+    audit = tuple(c for c in ("updated_at",) if c in shaped.columns)
+    return reflect(current, shaped, [key], audit)
 
 
 def sync_config(store, tables: DataFrame | None = None, rules: DataFrame | None = None,
@@ -294,8 +295,10 @@ def sync_config(store, tables: DataFrame | None = None, rules: DataFrame | None
         new, changes = sync_sheet(kind, sheet, store.read(name))
         if new is None:
             continue
-        report[kind] = changes.collect()   # small: one row per config key
-        store.replace(name, new)
+        # config-sized; the contents hold old rows of the table they replace
+        rows = new.collect()
+        report[kind] = changes.filter("action <> 'UNCHANGED'").collect()
+        store.replace(name, store.spark.createDataFrame(rows, new.schema))
     return report
 
 

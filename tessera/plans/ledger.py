@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import evidence_id
@@ -28,21 +28,16 @@ def stage(evidence: DataFrame, execution_id: str, execution_date: date | str) ->
     return evidence.select(*stage_columns(execution_id, execution_date))
 
 
-# columns of a staged / ledger evidence row that are functions of its key
-# (the id is a hash of the key, the date is fixed per execution)
-_KEY_DETERMINED = {"evidence_id", "execution_date", "is_new_failure"}
-
-
 def dedup_evidences(evidences: DataFrame) -> DataFrame:
-    """One row per (execution, validation, pk, value), as an aggregate so a
-    hot key is combined map-side before the shuffle. When every other column
-    is determined by the key this is a plain DISTINCT -- a hash aggregate
-    without buffers; otherwise the first row per key is kept (which needs a
-    sort-based aggregate for string columns)."""
-    extra = set(evidences.columns) - set(DEDUP_KEY)
-    if extra <= _KEY_DETERMINED:
-        return evidences.distinct()
-    return evidences.dropDuplicates(DEDUP_KEY)
+    """One row per (execution, validation, pk, value); the evidence id is
+    recomputed from the key, so rows staged elsewhere under random ids collapse
+    too. The other columns take their smallest value of the key. An aggregate:
+    a hot key is combined map-side before the shuffle."""
+    rest = [c for c in evidences.columns if c not in (*DEDUP_KEY, "evidence_id")]
+    kept = evidences.groupBy(*DEDUP_KEY).agg(*[F.min(c).alias(c) for c in rest]) if rest else evidences.select(*DEDUP_KEY).distinct()
+    if "evidence_id" in evidences.columns:
+        kept = kept.withColumn("evidence_id", evidence_id(*DEDUP_KEY))
+    return kept.select(*evidences.columns)
 
 
 def unify_evidences(staged: list[DataFrame], ledger_evidences: DataFrame) -> DataFrame:
@@ -56,13 +51,32 @@ def unify_evidences(staged: list[DataFrame], ledger_evidences: DataFrame) -> Dat
     if not staged:
         raise ValueError("nothing staged")
     everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), staged)
-    # every row of one execution shares its execution_id, so that column is
-    # a hot key by construction: anti-join only against the processed ids
-    # that are also staged (at most one row per staged execution), which
-    # AQE can broadcast -- the staged rows are never shuffled on it
-    staged_ids = everything.select("execution_id").distinct()
-    processed = (ledger_evidences.select("execution_id")
-                 .join(staged_ids, "execution_id", "left_semi")      # tiny right side: broadcast by AQE
-                 .distinct())
-    fresh = everything.join(processed, "execution_id", "left_anti")
+    # one id per staged run: the ids go to the driver, so the evidence rows --
+    # which all share few ids -- are filtered where they are, not shuffled on
+    # that key
+    ids = [r.execution_id for r in everything.select("execution_id").distinct().collect() if r.execution_id is not None]
+    done = [r.execution_id for r in ledger_evidences.select("execution_id").filter(F.col("execution_id").isin(ids))
+            .distinct().collect()]
+    fresh = everything.filter(~F.coalesce(F.col("execution_id").isin(done), F.lit(False))) if done else everything
     return dedup_evidences(fresh)
+
+
+def unify_job(spark: SparkSession, store, resolver) -> dict[str, int]:
+    """Read the staging table of every configured table (absent ones are
+    skipped), append what the ledger does not hold, then drop the staging
+    tables that live in the catalog. Returns the number of rows appended per
+    run and the tables read."""
+    from tessera.sources.ledger_store import EVIDENCES, TABLES
+    names = sorted({r.staging_evidences_table for r in store.read(TABLES).select("staging_evidences_table").collect()
+                    if r.staging_evidences_table})                   # config-sized
+    present = [n for n in names if resolver.exists(n)]
+    if not present:
+        return {"tables": 0, "appended": 0}
+    fresh = unify_evidences([resolver(n) for n in present], store.read(EVIDENCES))
+    before = store.read(EVIDENCES).count()
+    store.append(EVIDENCES, fresh)
+    appended = store.read(EVIDENCES).count() - before
+    for n in present:                                                # only after the append
+        if n not in resolver.frames and spark.catalog.tableExists(n):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+    return {"tables": len(present), "appended": appended}

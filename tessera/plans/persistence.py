@@ -24,47 +24,25 @@ def finished_executions(executions: DataFrame) -> DataFrame:
     return executions.filter(F.col("status").isin(*FINISHED))
 
 
-def previous_execution(executions: DataFrame, partitions: int | None = None) -> DataFrame:
+def previous_execution(executions: DataFrame) -> DataFrame:
     """Each finished execution of a table with the preceding one of the
     same table (NULL for the first), ordered by (timestamp, id).
 
-    Skew-safe: a plain window partitioned by table would put one table's
-    whole history in one task. Instead the rows are range-partitioned on
-    (table_id, timestamp, id) -- a hot table spreads over many partitions --
-    the lag is taken within each (partition, table) group, and the first
-    group of every partition takes its predecessor from the last row of the
-    previous non-empty partition. That boundary table has one row per
-    partition, so broadcasting it is bounded by the partition count.
+    The lag is taken inside (table, month), so a table with a long history is
+    not one task's work; the first execution of a month takes the last one of
+    the table's preceding month that has any. Groups follow from the data
+    alone, so the result does not depend on how rows are dealt out.
     """
-    spark = executions.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["execution_timestamp", "execution_id"]
-    ranged = (finished_executions(executions)
-              .select("table_id", "execution_id", "execution_timestamp")
-              .repartitionByRange(n, "table_id", *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    # one window spec, grouped by range partition only: each group is one
-    # range partition, whatever the key distribution
-    w = Window.partitionBy("_pid").orderBy("table_id", *order)
-    local = (ranged
-             .withColumn("_lag_id", F.lag("execution_id").over(w))
-             .withColumn("_lag_table", F.lag("table_id").over(w))
-             .withColumn("_is_last", F.lead("execution_id").over(w).isNull())
-             .withColumn("_is_head", F.col("_lag_id").isNull())
-             .withColumn("prev_execution_id",
-                         F.when(F.col("_lag_table") == F.col("table_id"), F.col("_lag_id"))))
-    # one row per non-empty partition: its last row, and the previous
-    # partition's last row (single-partition window over <= n rows)
-    bounds = (local.filter("_is_last")
-              .select("_pid", F.col("table_id").alias("_last_table"), F.col("execution_id").alias("_last_id")))
-    carry = (bounds.withColumn("_prev_table", F.lag("_last_table").over(Window.orderBy("_pid")))
-             .withColumn("_prev_id", F.lag("_last_id").over(Window.orderBy("_pid")))
-             .select("_pid", "_prev_table", "_prev_id"))
-    fixed = (local.join(F.broadcast(carry), "_pid", "left")
-             .withColumn("prev_execution_id",
-                         F.when(F.col("_is_head") & (F.col("_prev_table") == F.col("table_id")), F.col("_prev_id"))
-                         .otherwise(F.col("prev_execution_id"))))
-    return fixed.select("table_id", "execution_id", "execution_timestamp", "prev_execution_id")
+    runs = (finished_executions(executions).select("table_id", "execution_id", "execution_timestamp")
+            .withColumn("_month", F.date_trunc("month", "execution_timestamp")))
+    inside = Window.partitionBy("table_id", "_month").orderBy(*order)
+    months = Window.partitionBy("table_id").orderBy("_month")        # a row per month
+    carried = (runs.groupBy("table_id", "_month").agg(F.max(F.struct(*order)).alias("_last"))
+               .select("table_id", "_month", F.lag("_last.execution_id").over(months).alias("_carried")))
+    local = runs.withColumn("_lag", F.lag("execution_id").over(inside))
+    joined = local.join(carried, (local.table_id.eqNullSafe(carried.table_id)) & local._month.eqNullSafe(carried._month), "left")
+    return joined.select(local.table_id, "execution_id", "execution_timestamp", F.coalesce("_lag", "_carried").alias("prev_execution_id"))
 
 
 def latest_execution(executions: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ from tessera.plans.validate import (
 )
 from tessera.schemas import EVIDENCE_KEY, EVIDENCE_SCHEMA, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
 from tessera.session import scratch_path
-from tessera.sources.catalog import TableResolver
+from tessera.sources.catalog import TableResolver, path_exists
 from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, RULES, TABLES, VALIDATIONS, Store
 
 STATUS_RANK = {"SKIPPED": 0, "SUCCESS": 1, "FAILED": 2, "ERROR": 3}
@@ -83,6 +83,7 @@ class TableOutcome:
     errors: int = 0
     results: list[dict] = field(default_factory=list)
     seconds: float = 0.0
+    error: str | None = None
 
 
 @dataclass
@@ -119,10 +120,16 @@ class Runner:
         outcomes = []
         for name in names:
             t0 = time.time()
-            out = self.run_table(name, config, execution_id, started, severity, validation_id)
+            try:
+                out = self.run_table(name, config, execution_id, started, severity, validation_id)
+            except Exception as exc:                        # noqa: BLE001 - one table must not end the others
+                cfg = next((r for r in config if r.table_name == name), None)
+                out = TableOutcome(name, cfg.table_id if cfg else None, "ERROR", error=str(exc))
             out.seconds = round(time.time() - t0, 2)
             outcomes.append(out)
-        self._log_executions(execution_id, started, outcomes)
+            # a row per table as soon as it ends: a run that dies later leaves a
+            # trace, and the tables done are a base for the next run
+            self.log_executions(execution_id, started, [out])
         status = max((o.status for o in outcomes), key=STATUS_RANK.get, default="SKIPPED")
         return RunReport(execution_id, status, outcomes)
 
@@ -151,7 +158,8 @@ class Runner:
         """Validate one DataFrame as table ``table_id`` within an execution:
         stage evidence, classify it against the previous execution of the
         table, append evidence and results to the ledger."""
-        ctx = RuleContext(self.spark, self.resolver, frozenset(literal_rules), self.as_of, self.aggregate_evidence)
+        # one clock for the count job and the evidence job
+        ctx = RuleContext(self.spark, self.resolver, frozenset(literal_rules), self.as_of or started, self.aggregate_evidence)
         prepared = prepare(df, validations, primary_key, ctx, self.custom)
         day = started.date()
         if self._recorded(RESULTS, execution_id, day, [v.validation_id for v in validations]):
@@ -215,7 +223,7 @@ class Runner:
                 culprits = self._isolate(df, prepared)
                 if not culprits:
                     raise
-                prepared = [Prepared(p.validation, "error", perimeter=p.perimeter, error="run-time error")
+                prepared = [Prepared(p.validation, "error", perimeter=culprits[i], error="run-time error")
                             if i in culprits else p for i, p in enumerate(prepared)]
         perimeters, failures = {}, {}
         for i, p in enumerate(prepared):
@@ -227,16 +235,22 @@ class Runner:
                 failures[vid] = got[f"f{i}"]
         return perimeters, failures, prepared
 
-    def _isolate(self, df: DataFrame, prepared: list[Prepared]) -> set[int]:
-        """Re-run each row rule alone to find the ones that raise (ANSI)."""
-        bad = set()
-        for i, p in enumerate(prepared):
-            if p.kind != "row":
-                continue
+    def _isolate(self, df: DataFrame, prepared: list[Prepared]) -> dict:
+        """Re-run each perimeter and each row rule alone to find the ones that
+        raise (ANSI). Returns {position: perimeter to go on counting}, None
+        where the perimeter itself raises."""
+        def raises(frame: DataFrame, condition) -> bool:
             try:
-                with_helpers(df, [p]).agg(F.count_if(_fails_inside(p))).collect()
+                frame.agg(F.count_if(condition)).collect()
+                return False
             except Exception:                               # noqa: BLE001
-                bad.add(i)
+                return True
+        bad = {}
+        for i, p in enumerate(prepared):
+            if p.perimeter is not None and p.validation.perimeter and raises(df, p.perimeter):
+                bad[i] = None
+            elif p.kind == "row" and raises(with_helpers(df, [p]), _fails_inside(p)):
+                bad[i] = p.perimeter
         return bad
 
     def _stage_datasets(self, prepared: list[Prepared], execution_id: str, day, staging: str) -> dict:
@@ -253,40 +267,47 @@ class Runner:
                 prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(exc))
         return failures
 
-    def _previous(self, table_id: str, started: datetime):
-        ex = finished_executions(self.store.read(EXECUTIONS))
-        prev = (ex.filter((F.col("table_id") == table_id) & (F.col("execution_timestamp") < F.lit(started)))
-                .orderBy(F.col("execution_timestamp").desc(), F.col("execution_id").desc())
-                .select("execution_id", "execution_date").limit(1).collect())
-        return prev[0] if prev else None
+    def _previous(self, table_id: str, validation_ids: list[str], started: datetime) -> DataFrame:
+        """Evidence to compare with: per validation, that of the latest earlier
+        execution of the table that gave it a verdict. A run of some of the
+        validations, or one in which a validation ended in an error, is no
+        base for the validations it says nothing about."""
+        runs = (finished_executions(self.store.read(EXECUTIONS))
+                .filter((F.col("table_id") == table_id) & (F.col("execution_timestamp") < F.lit(started)))
+                .select("execution_id", "execution_date", "execution_timestamp"))
+        verdicts = (self.store.read(RESULTS).filter(F.col("validation_id").isin(validation_ids) & F.col("status").isin("PASSED", "FAILED"))
+                    .select("execution_id", "validation_id"))
+        last = F.max(F.struct("execution_timestamp", "execution_id", "execution_date"))
+        base = verdicts.join(runs, "execution_id").groupBy("validation_id").agg(last.alias("run")).collect()    # config-sized
+        by_run: dict[tuple, list[str]] = {}
+        for r in base:
+            by_run.setdefault((r.run.execution_id, r.run.execution_date), []).append(r.validation_id)
+        frames = [self.store.read_day(EVIDENCES, day)
+                  .filter((F.col("execution_id") == execution) & F.col("validation_id").isin(vids))
+                  for (execution, day), vids in sorted(by_run.items(), key=str)]
+        return reduce(lambda a, b: a.unionByName(b), frames) if frames else self.spark.createDataFrame([], EVIDENCE_SCHEMA)
 
     def _classify_and_append(self, table_id: str, validation_ids: list[str], execution_id: str,
                              started: datetime, staging: str, row_ev: DataFrame | None = None) -> dict:
         """Flag staged evidence against the previous execution of the same
         table, append it to the ledger, return {vid: (new, persistent, resolved)}."""
         if self._recorded(EVIDENCES, execution_id, started.date(), validation_ids):
-            # rerun after the evidence append: nothing is appended again; the
-            # counts come from this execution's classified staging if present
-            done = f"{staging}/classified"
-            if not self.store_exists(done):
-                return {}
-            rows = counts_by_validation(self.spark.read.parquet(done)).collect()
+            # rerun after the evidence append: nothing is appended again, and the
+            # counts are recomputed from the ledger, for the staging folder may
+            # have gone with the driver that died
+            held = (self.store.read_day(EVIDENCES, started.date())
+                    .filter((F.col("execution_id") == execution_id) & F.col("validation_id").isin(validation_ids)))
+            rows = counts_by_validation(classify(held, self._previous(table_id, validation_ids, started))).collect()
             return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
         parts = [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
         parts = [p for p in parts if self.store_exists(p)]
         frames = ([row_ev] if row_ev is not None else []) + ([self.spark.read.parquet(*parts)] if parts else [])
         if not frames:
-            return {}
+            frames = [self.spark.createDataFrame([], EVIDENCE_SCHEMA)]      # earlier failures may still be resolved
         # no separate de-duplication: the classification below groups by the
         # evidence key, and ids are deterministic, so duplicates collapse there
         current = reduce(lambda a, b: a.unionByName(b), [f.select(*EVIDENCE_KEY) for f in frames])
-        prev = self._previous(table_id, started)
-        if prev is not None:
-            previous = (self.store.read_day(EVIDENCES, prev.execution_date)
-                        .filter((F.col("execution_id") == prev.execution_id)
-                                & F.col("validation_id").isin(validation_ids)))
-        else:
-            previous = self.spark.createDataFrame([], EVIDENCE_SCHEMA)
+        previous = self._previous(table_id, validation_ids, started)
         # one aggregate: de-duplicates the current evidence and classifies it
         classified = classify(current, previous)
         # materialise once: counts and the ledger append both read it
@@ -318,13 +339,9 @@ class Runner:
         return counts_by_validation(classify(current, previous))
 
     def store_exists(self, path: str) -> bool:
-        from tessera.sources.ledger_store import _exists
-        return _exists(self.spark, path)
+        return path_exists(self.spark, path)
 
     def log_executions(self, execution_id: str, started: datetime, outcomes: list[TableOutcome]) -> None:
-        self._log_executions(execution_id, started, outcomes)
-
-    def _log_executions(self, execution_id: str, started: datetime, outcomes: list[TableOutcome]) -> None:
         from decimal import Decimal
         rows = [dict(execution_id=execution_id, table_id=o.table_id or o.table_name,
                      execution_timestamp=started, execution_date=started.date(), status=o.status,

@@ -49,7 +49,6 @@ class Validation:
     rule_id: str = ""
     implementation: str = "BUILT-IN"        # BUILT-IN | CUSTOM
     perimeter: str | None = None            # SQL predicate restricting the rows
-    level: str | None = None                # ROW | DATASET (None: from the rule)
 
     @classmethod
     def from_config(cls, row) -> "Validation":
@@ -67,7 +66,6 @@ class Validation:
             rule_id=d.get("rule_id") or "",
             implementation=(d.get("implementation_type") or d.get("rule_type") or "BUILT-IN").upper(),
             perimeter=(d.get("perimeter_definition") or None),
-            level=(d.get("rule_level") or None),
         )
 
 

@@ -106,7 +106,6 @@ EVIDENCE_SCHEMA = StructType([
 ])
 
 # evidence before classification (no flag yet)
-STAGED_EVIDENCE_SCHEMA = StructType([f for f in EVIDENCE_SCHEMA.fields if f.name != "is_new_failure"])
 
 LEDGER_SCHEMAS = {
     "dq_execution_traceability": EXECUTIONS_SCHEMA,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Through the Hadoop filesystem layer: local paths and any URI."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
 class TableResolver:
     """Name -> DataFrame. Looks in, in order: DataFrames registered by name,
     a folder of ``<name>.parquet`` datasets, the session catalog."""
@@ -24,19 +28,16 @@ class TableResolver:
     def exists(self, name: str) -> bool:
         if name in self.frames:
             return True
-        if self.parquet_dir and os.path.exists(os.path.join(self.parquet_dir, f"{name}.parquet")):
+        if self.parquet_dir and path_exists(self.spark, self._path(name)):
             return True
         return self.spark.catalog.tableExists(name)
 
+    def _path(self, name: str) -> str:
+        return f"{self.parquet_dir.rstrip('/')}/{name}.parquet"
+
     def __call__(self, name: str) -> DataFrame:
         if name in self.frames:
             return self.frames[name]
-        if self.parquet_dir:
-            path = os.path.join(self.parquet_dir, f"{name}.parquet")
-            if os.path.exists(path):
-                return self.spark.read.parquet(path)
+        if self.parquet_dir and path_exists(self.spark, self._path(name)):
+            return self.spark.read.parquet(self._path(name))
         return self.spark.table(name)
-
-
-def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names]

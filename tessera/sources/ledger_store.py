@@ -7,12 +7,11 @@ small and replaced whole on every sync.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.upsert import conform
 from tessera.schemas import CONFIG_SCHEMAS, LEDGER_SCHEMAS
+from tessera.sources.catalog import path_exists
 
 EXECUTIONS = "dq_execution_traceability"
 RESULTS = "dq_validations_traceability"
@@ -22,13 +21,6 @@ RULES = "dq_rules_library"
 VALIDATIONS = "dq_validations_catalog"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 class Store:
     """Config and ledger tables under one base path (local, HDFS or object
     store -- anything the Hadoop filesystem layer resolves)."""
@@ -41,7 +33,7 @@ class Store:
         return f"{self.base}/{name}"
 
     def exists(self, name: str) -> bool:
-        return _exists(self.spark, self.path(name))
+        return path_exists(self.spark, self.path(name))
 
     def schema(self, name: str):
         return LEDGER_SCHEMAS.get(name) or CONFIG_SCHEMAS[name]
@@ -59,7 +51,7 @@ class Store:
         that folder (not the whole history)."""
         schema = self.schema(name)
         part = f"{self.path(name)}/execution_date={day}"
-        if not _exists(self.spark, part):
+        if not path_exists(self.spark, part):
             return self.spark.createDataFrame([], schema)
         return (self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(part))
 
@@ -90,8 +82,3 @@ class Store:
         """Replace a config table. ``df`` must not be read from the same
         path (config is built from sheets, so it never is)."""
         conform(df, self.schema(name)).write.mode("overwrite").parquet(self.path(name))
-
-
-def local_store(spark: SparkSession, folder: str) -> Store:
-    os.makedirs(folder, exist_ok=True)
-    return Store(spark, folder)

@@ -7,19 +7,46 @@ match is evidence of correct semantics rather than of a shared formulation.
 
 from __future__ import annotations
 
-from tessera.functions.national_id import CONTROL_LETTERS
-from tessera.plans.config import REQUIRED_PARAMS
-from tessera.suite import RULE_NAMES
-
-L = CONTROL_LETTERS
-NAMES_26 = "[" + ", ".join(f"'{n}'" for n in RULE_NAMES + ["no_such_rule"]) + "]"
-NAMES_25 = "[" + ", ".join(f"'{n}'" for n in RULE_NAMES) + "]"
+# Fixed values, written out here so that a wrong entry of the engine shows:
+# rule names in order, each with the parameters it needs ("a|b": one of them).
+_RULES = """
+    is_not_null column
+    is_not_empty column
+    is_not_null_and_not_empty column
+    is_not_in_future column
+    is_in_list column allowed
+    is_not_null_and_is_in_list column allowed
+    regex_match column regex
+    is_equal_to column value
+    is_not_equal_to column value
+    is_valid_date column
+    is_valid_timestamp column
+    is_in_range column min_limit|max_limit
+    is_not_in_range column min_limit|max_limit
+    is_not_less_than column limit
+    is_not_greater_than column limit
+    sql_expression expression
+    is_unique columns
+    sql_query query merge_columns
+    is_aggr_not_greater_than limit
+    is_aggr_not_less_than limit
+    is_aggr_equal limit
+    is_aggr_not_equal limit
+    foreign_key columns ref_table
+    has_valid_schema expected_schema
+    compare_datasets columns ref_table
+"""
+REQUIRED = {line.split()[0]: line.split()[1:] for line in _RULES.strip().split("\n")}
+L = "TRWAGMYFPDXBNJZSQVHLCKE"
+NAMES_26 = "[" + ", ".join(f"'{n}'" for n in [*REQUIRED, "no_such_rule"]) + "]"
+NAMES_25 = "[" + ", ".join(f"'{n}'" for n in REQUIRED) + "]"
 
 
 def _pk(*cols: str) -> str:
     if len(cols) == 1:
         return f"CAST({cols[0]} AS VARCHAR)"
-    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
+    return " || '|' || ".join(
+        f"coalesce(replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '\\N')" for c in cols)
 
 
 def _ev(vid_expr: str, pk: str, value: str, source: str, where: str) -> str:
@@ -82,7 +109,8 @@ PERSISTENT_SQL = f"SELECT DISTINCT validation_id, table_pk, failed_value FROM cu
 
 
 def _sha(*parts: str) -> str:
-    return "sha256(concat_ws('#', " + ", ".join(f"coalesce({p}, '\\N')" for p in parts) + "))"
+    marked = [f"coalesce(replace(replace({p}, '\\', '\\\\'), '#', '\\#'), '\\N')" for p in parts]
+    return "sha256(concat_ws('#', " + ", ".join(marked) + "))"
 
 
 def _comma_list(x: str) -> str:
@@ -164,11 +192,11 @@ FROM f"""
 
 def _problems_sql() -> str:
     checks = []
-    for rule, groups in REQUIRED_PARAMS.items():
+    for rule, groups in REQUIRED.items():
         for group in groups:
             absent = " AND ".join(f"json_extract(def, '$.{k}') IS NULL" for k in group.split("|"))
             checks.append(f"CASE WHEN tn = '{rule}' AND {absent} THEN 'missing {group}' END")
-    builtins = ", ".join(f"'{r}'" for r in REQUIRED_PARAMS)
+    builtins = ", ".join(f"'{r}'" for r in REQUIRED)
     return f"""WITH d AS ({BUILD_DEFINITION}),
 lib AS (SELECT 'R' || CAST(n_nationkey AS VARCHAR) AS rule_id, ({NAMES_25})[n_nationkey + 1] AS tn,
                'BUILT-IN' AS impl FROM nation),

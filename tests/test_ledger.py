@@ -73,8 +73,8 @@ def test_previous_and_latest_execution(spark):
 
 
 def test_previous_execution_hot_table_matches_plain_window(spark):
-    """One table holding most executions, many range partitions: the
-    skew-safe lag equals a plain per-table window."""
+    """One table holding most executions: the lag by month equals a plain
+    per-table window, whether exchanges are reused or not."""
     from pyspark.sql import Window
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     ex = orders.select(F.col("o_orderkey").cast("string").alias("execution_id"),
@@ -85,6 +85,10 @@ def test_previous_execution_hot_table_matches_plain_window(spark):
     w = Window.partitionBy("table_id").orderBy("execution_timestamp", "execution_id")
     want = {(r.execution_id, r.prev_execution_id) for r in
             ex.select("execution_id", F.lag("execution_id").over(w).alias("prev_execution_id")).collect()}
-    for n in (1, 3, 17):
-        got = {(r.execution_id, r.prev_execution_id) for r in P.previous_execution(ex, partitions=n).collect()}
-        assert got == want, n
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = {(r.execution_id, r.prev_execution_id) for r in P.previous_execution(ex).collect()}
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert got == want, reuse

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.config import sync_config
 from tessera.plans.run import Runner
+from tessera.plans.validate import Validation
 from tessera.sources.catalog import TableResolver
 from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, Store
 from tests import fixtures as fx
@@ -15,45 +16,51 @@ from tests import fixtures as fx
 # expected failing (customer_id, value) per validation and run (FIXTURES.md)
 EXPECTED = {
     "run1": {
-        "VAL_DNI": {("3", "1234567A"), ("4", None), ("6", "12345678A")},
-        "VAL_DNI_NN": {("4", None)},
-        "VAL_EMAIL_NE": {("5", None)},
-        "VAL_EMAIL_RX": {("4", "juan@@example.com")},
-        "VAL_AGE": {("4", "120"), ("6", "16")},
-        "VAL_COUNTRY": {("7", "FR")},
+        "VAL_DNI": {("103", "40112233B"), ("104", None), ("106", "7100045W")},
+        "VAL_DNI_NN": {("104", None)},
+        "VAL_EMAIL_NE": {("105", ""), ("106", None)},
+        "VAL_EMAIL_RX": {("104", "gael.mail.test"), ("105", "")},
+        "VAL_AGE": {("104", "17"), ("106", "101")},
+        "VAL_COUNTRY": {("105", "PT")},
+        "VAL_DNI_UQ": {("107", "71000450W"), ("108", "71000450W")},
     },
     "run2": {
-        "VAL_DNI": {("3", "12345678A"), ("6", "12345678A"), ("8", "23456789B")},
-        "VAL_EMAIL_RX": {("8", "nuriavegaexample.com")},
-        "VAL_AGE": {("6", "16")},
-        "VAL_DNI_UQ": {("3", "12345678A"), ("6", "12345678A")},
+        "VAL_DNI": {("103", "40112233C"), ("106", "7100045W"), ("109", None)},
+        "VAL_DNI_NN": {("109", None)},
+        "VAL_EMAIL_RX": {("105", "ona@@mail.test")},
+        "VAL_AGE": {("104", "17")},
+        "VAL_COUNTRY": {("105", "PT")},
     },
     "run3": {
-        "VAL_DNI": {("11", "A1234567B"), ("12", "B1234567C"), ("13", "12345678P")},
-        "VAL_EMAIL_NE": {("11", "")},
-        "VAL_EMAIL_RX": {("11", "")},
-        "VAL_AGE": {("12", "17")},
+        "VAL_DNI": {("202", "Q1234567Z"), ("204", "8181818XM")},
+        "VAL_EMAIL_NE": {("203", "")},
+        "VAL_EMAIL_RX": {("203", "")},
+        "VAL_AGE": {("204", "12")},
     },
     "run4": {
-        "VAL_DNI": {("3", "12345678A"), ("6", "12345678A")},
-        "VAL_DNI_UQ": {("3", "12345678A"), ("6", "12345678A")},
+        "VAL_DNI": {("103", "40112233C"), ("109", None)},
+        "VAL_DNI_NN": {("109", None)},
+        "VAL_COUNTRY": {("105", "PT")},
+        "VAL_DNI_UQ": {("106", "71000450W"), ("107", "71000450W")},
     },
     "run5": {
-        "VAL_DNI": {("11", "A1234567B"), ("12", "B1234567C"), ("13", "12345678P"), ("14", None)},
-        "VAL_DNI_NN": {("14", None)},
-        "VAL_AGE": {("12", "17")},
+        "VAL_DNI": {("202", "Q1234567Z"), ("204", "8181818XM"), ("205", None)},
+        "VAL_DNI_NN": {("205", None)},
+        "VAL_EMAIL_RX": {("205", "roc@mail")},
+        "VAL_AGE": {("204", "12")},
+        "VAL_COUNTRY": {("205", "FR")},
     },
 }
 
 # (new, persistent, resolved) per validation for each transition
 PERSISTENCE = {
-    ("run1", "run2"): {"VAL_DNI": (2, 1, 2), "VAL_DNI_NN": (0, 0, 1), "VAL_EMAIL_NE": (0, 0, 1),
-                       "VAL_EMAIL_RX": (1, 0, 1), "VAL_AGE": (0, 1, 1), "VAL_COUNTRY": (0, 0, 1),
-                       "VAL_DNI_UQ": (2, 0, 0)},
-    ("run2", "run4"): {"VAL_DNI": (0, 2, 1), "VAL_EMAIL_RX": (0, 0, 1), "VAL_AGE": (0, 0, 1),
-                       "VAL_DNI_UQ": (0, 2, 0)},
-    ("run3", "run5"): {"VAL_DNI": (1, 3, 0), "VAL_DNI_NN": (1, 0, 0), "VAL_EMAIL_NE": (0, 0, 1),
-                       "VAL_EMAIL_RX": (0, 0, 1), "VAL_AGE": (0, 1, 0)},
+    ("run1", "run2"): {"VAL_DNI": (2, 1, 2), "VAL_DNI_NN": (1, 0, 1), "VAL_EMAIL_NE": (0, 0, 2),
+                       "VAL_EMAIL_RX": (1, 0, 2), "VAL_AGE": (0, 1, 1), "VAL_COUNTRY": (0, 1, 0),
+                       "VAL_DNI_UQ": (0, 0, 2)},
+    ("run2", "run4"): {"VAL_DNI": (0, 2, 1), "VAL_DNI_NN": (0, 1, 0), "VAL_EMAIL_RX": (0, 0, 1),
+                       "VAL_AGE": (0, 0, 1), "VAL_COUNTRY": (0, 1, 0), "VAL_DNI_UQ": (2, 0, 0)},
+    ("run3", "run5"): {"VAL_DNI": (1, 2, 0), "VAL_DNI_NN": (1, 0, 0), "VAL_EMAIL_NE": (0, 0, 1),
+                       "VAL_EMAIL_RX": (1, 0, 1), "VAL_AGE": (0, 1, 0), "VAL_COUNTRY": (1, 0, 0)},
 }
 
 
@@ -119,19 +126,61 @@ def test_persistent_null_value(spark, scratch_dir):
     r = {x.validation_id: x for x in store.read(RESULTS)
          .filter(F.col("execution_id") == report.execution_id).collect()}
     assert (r["VAL_DNI_NN"].new_failures, r["VAL_DNI_NN"].persistent_failures) == (0, 1)
-    assert (r["VAL_DNI"].new_failures, r["VAL_DNI"].persistent_failures) == (0, 4)
+    assert (r["VAL_DNI"].new_failures, r["VAL_DNI"].persistent_failures) == (0, 3)
 
 
 def test_unknown_table_skipped_and_bad_rule_error(spark, scratch_dir):
     store, resolver, runner = _setup(spark, scratch_dir)
     report = runner.run("no_such_table")
     assert report.status == "SKIPPED"
+    vals = [Validation("BAD", "no_such_rule", {"column": "age"}), Validation("BUILTIN", "isnull", {"columns": ["age"]}, implementation="CUSTOM"),
+            Validation("OK", "is_not_null", {"column": "age"})]
+    out = runner.run_frame(fx.run_frame(spark, "run1"), "T8", vals, "customer_id", "e-bad", datetime(2024, 9, 1))
+    assert {r["validation_id"]: r["status"] for r in out.results} == {"BAD": "ERROR", "BUILTIN": "ERROR", "OK": "PASSED"}
+
+
+def test_raising_perimeter_isolated(spark, scratch_dir):
+    """A perimeter that raises at run time ends its own validation only."""
+    runner = Runner(spark, Store(spark, f"{scratch_dir}/ledger"))
+    boom = "CAST(name AS INT) > 0"
+    vals = [Validation("ROW", "is_not_null", {"column": "age"}, perimeter=boom),
+            Validation("SET", "is_unique", {"columns": ["dni"]}, perimeter=boom),
+            Validation("OK", "is_in_range", {"column": "age", "min_limit": 18.0, "max_limit": 100.0})]
+    out = runner.run_frame(fx.run_frame(spark, "run1"), "T7", vals, "customer_id", "e-per", datetime(2024, 9, 1))
+    got = {r["validation_id"]: (r["status"], r["perimeter"], r["failed_records_count"]) for r in out.results}
+    assert got == {"ROW": ("ERROR", 0, 0), "SET": ("ERROR", 0, 0), "OK": ("FAILED", 8, 2)}
+
+
+def test_filtered_run_is_no_base_for_other_validations(spark, scratch_dir):
+    store, resolver, runner = _setup(spark, scratch_dir)
+    resolver.register("clientes", fx.run_frame(spark, "run1"))
+    runner.run("clientes", now=datetime(2024, 10, 1))
+    runner.run("clientes", validation_id="VAL_AGE", now=datetime(2024, 10, 2))
+    resolver.register("clientes", fx.run_frame(spark, "run2"))
+    report = runner.run("clientes", now=datetime(2024, 10, 3))
+    got = {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
+           for r in store.read(RESULTS).filter(F.col("execution_id") == report.execution_id).collect()}
+    assert {k: v for k, v in got.items() if v != (0, 0, 0)} == PERSISTENCE[("run1", "run2")]
+
+
+def test_one_failing_table_does_not_end_the_run(spark, scratch_dir, monkeypatch):
+    store, resolver, runner = _setup(spark, scratch_dir)
+    resolver.register("clientes", fx.run_frame(spark, "run1"))
+    real = runner.run_table
+
+    def run_table(name, *args):
+        if name == "broken":
+            raise RuntimeError("lost")
+        return real(name, *args)
+    monkeypatch.setattr(runner, "run_table", run_table)
+    report = runner.run("broken, clientes", now=datetime(2024, 10, 5))
+    assert [t.status for t in report.tables] == ["ERROR", "FAILED"]
+    assert sorted(r.status for r in store.read(EXECUTIONS).collect()) == ["ERROR", "FAILED"]
 
 
 def test_runtime_error_isolated(spark, scratch_dir):
     """A rule that raises at run time (ANSI cast) is marked ERROR; the others
     sharing its scan still produce their results."""
-    from tessera.plans.validate import Validation
     store = Store(spark, f"{scratch_dir}/ledger")
     runner = Runner(spark, store)
     df = fx.run_frame(spark, "run1")
@@ -146,9 +195,8 @@ def test_runtime_error_isolated(spark, scratch_dir):
 def test_rerun_after_evidence_append_keeps_counts(spark, scratch_dir):
     """A run interrupted after its evidence append (results not written) is
     re-run: no evidence is appended twice and the counts are recovered."""
-    from tessera.plans.validate import Validation
     store = Store(spark, f"{scratch_dir}/ledger")
-    runner = Runner(spark, store, keep_staging=True)
+    runner = Runner(spark, store)            # the staging folder goes with the first driver
     vals = [Validation("AGE", "is_in_range", {"column": "age", "min_limit": 18.0, "max_limit": 100.0})]
     first = runner.run_frame(fx.run_frame(spark, "run1"), "T5", vals, "customer_id", "e-1", datetime(2024, 11, 1))
     runner.log_executions("e-1", datetime(2024, 11, 1), [first])
