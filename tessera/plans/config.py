@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessera.functions.lists import comma_list, split_tags
+from tessera.functions.lists import split_tags
 from tessera.operators.upsert import conform, reflect
 from tessera.schemas import RULES_SCHEMA, TABLES_SCHEMA, VALIDATIONS_SCHEMA
 from tessera.sources.sheets import as_sheet, require_columns
@@ -74,87 +74,17 @@ def _rename(sheet: DataFrame, headers: dict[str, str]) -> DataFrame:
     return sheet.select(*[F.col(f"`{c}`").alias(headers.get(c, c)) for c in sheet.columns])
 
 
-def _fragment(key: str, value: Column) -> Column:
-    """'"key":<json value>' or NULL when value is NULL (JSON-escaped by
-    to_json of a one-field struct, braces removed)."""
-    js = F.to_json(F.struct(value.alias(key)))
-    return F.when(value.isNotNull(), js.substr(F.lit(2), F.length(js) - 2))
-
-
-def _fragment_num_or_text(key: str, text: Column) -> Column:
-    """A sheet number as a JSON number when it parses, else as a string."""
-    num = text.try_cast("double")
-    return F.when(text == "", F.lit(None)).when(num.isNotNull(), _fragment(key, num)).otherwise(_fragment(key, text))
-
-
-def _nonblank(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
-def build_definition(technical_name: Column, rule_type: Column, columns: Column, value: Column,
-                     vmin: Column, vmax: Column, value_set: Column, expression: Column,
-                     data_type: Column, query: Column, merge_columns: Column) -> Column:
-    """The rule parameters of one validation row as a JSON object string.
-
-    Only parameters given in the sheet appear; an unknown rule gives '{}'.
-    """
-    tn = F.trim(technical_name)
-    rt = F.upper(F.trim(rule_type))
-    cols = comma_list(columns)
-    first_col = F.try_element_at(cols, F.lit(1))
-    col_list = F.when(F.size(cols) > 0, cols)
-    whole_col = _nonblank(F.trim(columns))
-    allowed = comma_list(value_set)
-    allowed = F.when(F.size(allowed) > 0, allowed)
-    merge = comma_list(merge_columns)
-    merge = F.when(F.size(merge) > 0, merge)
-
-    def obj(*fragments: Column) -> Column:
-        return F.concat(F.lit("{"), F.concat_ws(",", *fragments), F.lit("}"))
-
-    builtin = (
-        F.when(tn.isin("is_not_null", "is_not_empty", "is_not_null_and_not_empty", "is_not_in_future"),
-               obj(_fragment("column", first_col)))
-        .when(tn == "is_unique", obj(_fragment("columns", col_list)))
-        .when(tn.isin("is_in_list", "is_not_null_and_is_in_list"),
-              obj(_fragment("column", whole_col), _fragment("allowed", allowed)))
-        .when(tn == "regex_match", obj(_fragment("column", whole_col), _fragment("regex", _nonblank(value))))
-        .when(tn.isin("is_equal_to", "is_not_equal_to"),
-              obj(_fragment("column", whole_col), _fragment("value", _nonblank(value))))
-        .when(tn == "is_valid_date", obj(_fragment("column", whole_col), _fragment("date_format", _nonblank(value))))
-        .when(tn == "is_valid_timestamp",
-              obj(_fragment("column", whole_col), _fragment("timestamp_format", _nonblank(value))))
-        .when(tn.isin("is_in_range", "is_not_in_range"),
-              obj(_fragment("column", whole_col), _fragment_num_or_text("min_limit", vmin),
-                  _fragment_num_or_text("max_limit", vmax)))
-        .when(tn == "is_not_less_than", obj(_fragment("column", whole_col), _fragment_num_or_text("limit", vmin)))
-        .when(tn == "is_not_greater_than", obj(_fragment("column", whole_col), _fragment_num_or_text("limit", vmax)))
-        .when(tn == "sql_expression", obj(_fragment("expression", _nonblank(expression))))
-        .when(tn == "sql_query", obj(_fragment("query", _nonblank(query)), _fragment("merge_columns", merge)))
-        .when(tn.isin("is_aggr_not_greater_than", "is_aggr_not_less_than", "is_aggr_equal", "is_aggr_not_equal"),
-              obj(_fragment("column", first_col), _fragment("aggr_type", _nonblank(expression)),
-                  _fragment_num_or_text("limit", value)))
-        .when(tn.isin("foreign_key", "compare_datasets"),
-              obj(_fragment("columns", col_list), _fragment("ref_columns", merge),
-                  _fragment("ref_table", _nonblank(value)), _fragment("row_filter", _nonblank(expression))))
-        .when(tn == "has_valid_schema", obj(_fragment("expected_schema", _nonblank(columns))))
-        .otherwise(F.lit("{}"))
-    )
-    return (F.when(rt == "BUILT-IN", builtin)
-            .when(rt == "CUSTOM", obj(_fragment("columns", col_list)))
-            .otherwise(F.lit("{}")))
-
-
 def _sql_str(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def build_definition_sql(technical_name: str, rule_type: str, columns: str, value: str, vmin: str,
+def build_definition(technical_name: str, rule_type: str, columns: str, value: str, vmin: str,
                          vmax: str, value_set: str, expression: str, data_type: str, query: str,
                          merge_columns: str) -> Column:
-    """``build_definition`` over named columns, assembled as ONE SQL
-    expression (one parse instead of hundreds of Column calls); same
-    result."""
+    """The rule parameters of one validation row as a JSON object string, from
+    the named columns; assembled as ONE SQL expression (one parse instead of
+    hundreds of Column calls). Only parameters given in the sheet appear; an
+    unknown rule gives '{}'."""
     q = {k: f"`{v}`" for k, v in dict(tn=technical_name, rt=rule_type, cols=columns, val=value, vmin=vmin,
                                       vmax=vmax, vset=value_set, expr=expression, query=query,
                                       merge=merge_columns).items()}
@@ -245,7 +175,7 @@ def shape_validations(sheet: DataFrame) -> DataFrame:
         # a blank or unreadable flag is NULL, i.e. inactive
         c("is_active").try_cast(BooleanType()).alias("is_active"),
         "severity",
-        build_definition_sql("technical_name", "rule_type", "param_columns", "param_value", "param_min",
+        build_definition("technical_name", "rule_type", "param_columns", "param_value", "param_min",
                              "param_max", "param_set", "param_expression", "param_data_type", "param_query",
                              "param_merge_columns").alias("validation_definition"),
         "owner", split_tags("tags").alias("tags"), F.current_timestamp().alias("updated_at"),
@@ -357,25 +287,19 @@ REQUIRED_PARAMS = {
 def definition_problems(plan: DataFrame) -> DataFrame:
     """Config errors of validations joined with their rule (see
     ``validation_plan``): unknown rule id, unknown built-in rule, missing
-    parameters. One row (validation_id, problem) per faulty validation;
-    JSON keys are probed with ``get_json_object`` (no UDF)."""
+    parameters. One row (validation_id, problem) per faulty validation; each
+    definition is parsed once, and the rules' needs are one literal map."""
     name = F.col("technical_rule_name")
     impl = F.upper(F.trim(F.coalesce(F.col("implementation_type"), F.lit(""))))
-    definition = F.coalesce(F.col("validation_definition"), F.lit("{}"))
-
-    def missing(key: str) -> Column:
-        return F.get_json_object(definition, f"$.{key}").isNull()
-
-    per_rule = []
-    for rule, groups in REQUIRED_PARAMS.items():
-        for group in groups:
-            keys = group.split("|")
-            absent = reduce(lambda a, b: a & b, [missing(k) for k in keys])
-            per_rule.append(F.when((name == rule) & absent, F.lit(f"missing {group}")))
+    given = F.from_json(F.coalesce(F.col("validation_definition"), F.lit("{}")), "map<string,string>")
+    needs = F.create_map(*[x for rule, groups in REQUIRED_PARAMS.items()
+                           for x in (F.lit(rule), F.array(*[F.lit(g) for g in groups]))])
+    absent = F.filter(F.try_element_at(needs, name), lambda group: ~F.coalesce(
+        F.exists(F.split(group, "[|]"), lambda key: F.try_element_at(F.col("_given"), key).isNotNull()), F.lit(False)))
     problem = (F.when(name.isNull(), F.lit("unknown rule id"))
-               .when((impl == "CUSTOM") & missing("columns"), F.lit("missing columns"))
+               .when((impl == "CUSTOM") & F.try_element_at(F.col("_given"), F.lit("columns")).isNull(), F.lit("missing columns"))
                .when((impl == "BUILT-IN") & ~name.isin(*REQUIRED_PARAMS), F.lit("unknown rule"))
-               .when(impl == "BUILT-IN", F.concat_ws("; ", *per_rule))
+               .when(impl == "BUILT-IN", F.array_join(F.transform(absent, lambda group: F.concat(F.lit("missing "), group)), "; "))
                .when(impl == "CUSTOM", F.lit(""))
                .otherwise(F.lit("unknown implementation type")))
-    return plan.select("validation_id", problem.alias("problem")).filter(F.col("problem") != "")
+    return (plan.withColumn("_given", given).select("validation_id", problem.alias("problem")).filter(F.col("problem") != ""))

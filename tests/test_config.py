@@ -125,14 +125,3 @@ def test_json_sheet_and_parquet_resolver(spark, scratch_dir):
     resolver = TableResolver(spark, "/root/testdata/sf0.001")
     assert resolver.exists("orders") and not resolver.exists("no_such_table")
     assert resolver("orders").count() > 0
-
-
-def test_column_and_sql_builders_agree(spark):
-    from tessera.plans.config import build_definition, build_definition_sql
-    from tessera.suite import _validations_sheet
-    sh = _validations_sheet(spark, "/root/testdata/sf0.001")
-    names = ["technical_name", "rule_type", "param_columns", "param_value", "param_min", "param_max",
-             "param_set", "param_expression", "param_data_type", "param_query", "param_merge_columns"]
-    a = sh.select("validation_id", build_definition(*[F.col(n) for n in names]).alias("d"))
-    b = sh.select("validation_id", build_definition_sql(*names).alias("d"))
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

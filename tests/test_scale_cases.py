@@ -94,3 +94,51 @@ def test_staging_removed_after_run_and_multi_table_status(spark, scratch_dir):
     staging = os.path.join(checkpoint_dir(spark), "tessera-staging", report.execution_id)
     assert not any(os.path.exists(os.path.join(staging, t)) for t in ("T1", "T2"))
     assert set(runner.step_seconds) == {"T1"}
+
+
+def test_hot_key_of_is_unique_is_spread(spark):
+    """One key with most rows and no broadcast of the keys: no task of the
+    final join holds more than a quarter of the result."""
+    from tessera.operators.dataset_rules import is_unique
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn(
+        "k", F.expr("IF(l_linenumber <= 5, 0, l_orderkey * 10 + l_linenumber)"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("-1", "false", "32")):
+        spark.conf.set(k, v)
+    try:
+        out = is_unique(df, {"columns": ["k"]}, RuleContext(spark))
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == df.filter("l_linenumber <= 5").count() + df.filter("l_linenumber > 5").groupBy("k").count().filter(
+        "count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    assert max(parts) < 0.25 * sum(parts)
+
+
+def test_uri_paths_resolve(spark):
+    from tessera.sources.catalog import TableResolver
+    resolver = TableResolver(spark, "file:///root/testdata/sf0.001")
+    assert resolver.exists("orders") and not resolver.exists("no_such_table")
+    assert resolver("region").count() == 5
+
+
+def test_unify_job_appends_once_and_drops(spark, scratch_dir):
+    from tessera.plans.ledger import unify_job
+    from tessera.schemas import TABLES_SCHEMA
+    from tessera.sources.catalog import TableResolver
+    from tessera.sources.ledger_store import EVIDENCES, TABLES, Store
+    store = Store(spark, f"{scratch_dir}/ledger")
+    row = dict.fromkeys([f.name for f in TABLES_SCHEMA.fields], "x")
+    store.append(TABLES, spark.createDataFrame([row | {"table_id": "T1", "staging_evidences_table": "stg_one"},
+                                                row | {"table_id": "T2", "staging_evidences_table": "stg_absent"}], TABLES_SCHEMA))
+    staged = spark.createDataFrame([("r1", "e1", "V", "a", "1"), ("r2", "e1", "V", "a", "1"), ("r3", "e1", "V", None, "2")],
+                                   "evidence_id string, execution_id string, validation_id string, failed_value string, table_pk string")
+    staged = staged.withColumn("execution_date", F.lit("2024-01-01").cast("date"))
+    staged.write.mode("overwrite").saveAsTable("stg_one")
+    assert unify_job(spark, store, TableResolver(spark)) == {"tables": 1, "appended": 2}
+    assert not spark.catalog.tableExists("stg_one")
+    again = TableResolver(spark, frames={"stg_one": staged})
+    assert unify_job(spark, store, again) == {"tables": 1, "appended": 0}
+    assert store.read(EVIDENCES).select("evidence_id").distinct().count() == 2
