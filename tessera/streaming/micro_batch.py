@@ -39,8 +39,8 @@ class StreamValidator:
     def _batch_start(self, batch_id: int) -> datetime:
         """Start time of a batch, fixed at its first attempt."""
         path = f"{self.state_dir}/batches/{batch_id}"
-        from tessera.sources.ledger_store import _exists
-        if _exists(self.spark, path):
+        from tessera.sources.catalog import path_exists
+        if path_exists(self.spark, path):
             return self.spark.read.schema("started timestamp_ntz").json(path).first()["started"]
         started = datetime.now(timezone.utc).replace(tzinfo=None)
         self.spark.createDataFrame([(started,)], "started timestamp_ntz").coalesce(1) \
