@@ -22,5 +22,7 @@ def test_setup_sync_run(spark, scratch_dir, capsys):
     fx.run_frame(spark, "run1").write.parquet(f"{scratch_dir}/data/clientes.parquet")
     code = cli.main(["run", "--store", store_path, "--tables", "clientes", "--parquet-dir", f"{scratch_dir}/data"])
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert code == 1 and out["status"] == "FAILED" and out["tables"][0]["failed"] == 6
-    assert Store(spark, store_path).read(EVIDENCES).count() == 9   # 3+1+1+1+2+1 (FIXTURES.md run1)
+    assert code == 1 and out["status"] == "FAILED" and out["tables"][0]["failed"] == 7
+    assert Store(spark, store_path).read(EVIDENCES).count() == 13   # 3+1+2+2+2+1+2 (FIXTURES.md run1)
+    assert cli.main(["unify", "--store", store_path]) == 0        # its staging table is absent
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"tables": 0, "appended": 0}
