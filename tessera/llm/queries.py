@@ -109,6 +109,26 @@ SQL = {
                count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
+    "op2_minhash": f"""
+        WITH RECURSIVE
+             w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+                   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+                   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+                   WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+             r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM r JOIN l ON l.x = r.node)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.low) AS component_id, d.doc_id = min(r.low) AS kept
+        FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op4_multi_index": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+                   AND list_cosine_similarity(a.e, b.e) >= 0.95),
+             r AS (SELECT vec_id AS node, vec_id AS low FROM v UNION SELECT l.y, r.low FROM r JOIN l ON l.x = r.node)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, min(low) AS component_id, vec_id = min(low) AS kept
+        FROM v JOIN r ON r.node = vec_id GROUP BY vec_id""",
     "op6_warc": """
         WITH t AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
                           sha256(coalesce(html, '')) AS payload_digest FROM pages),
