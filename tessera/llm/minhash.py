@@ -6,11 +6,13 @@
    Values met once are dropped; a class with fewer shared values than the match
    threshold has no partner. Of the others only a prefix is posted, rarest
    values first: two classes that agree on enough coordinates meet in a prefix.
-3. Lists are merged in two ways. First every member meets its list's pivots
-   (the members of smallest hash), which links dense groups in linear work.
-   Then lists whose members are all in one component are skipped; in the others
-   blocks of members meet block by block and count equal coordinates, members
-   of one component excepted. Pairs below the match threshold go.
+3. Lists are merged in two ways. First every member meets its list's pivot
+   (the member whose values are most common, the middle of a dense group),
+   which links dense groups in linear work. Then lists whose members are all in
+   one component are skipped; in the others blocks of members meet block by
+   block and count equal coordinates, members of one component excepted. A pair
+   counts in the first list it shares only. Pairs below the match threshold go,
+   and so do those that miss the threshold of a longer, sharper sketch.
 4. Pairs left are confirmed on their full shingle sets. Components follow by
    contraction; no two texts with a link end up apart, and no pair inside a
    component needs to be listed.
@@ -33,19 +35,20 @@ from tessera.llm.perfect_hash import mix
 
 WORDS = 5
 COORDS = 32
+SKETCH = 512            # coordinates of the sketch, a byte each
 MISS = 1e-5             # chance that a pair just at the limit shares too few coordinates
 PIVOTS = 2
 BLOCK, MAX_BLOCK, BLOCKS = 128, 4096, 64        # members of a block, blocks of a list
 CACHE_WORDS = 300_000
-_SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_MULT, _ADD = _SEEDS[:COORDS] | np.uint64(1), _SEEDS[COORDS:]
+_SEEDS = mix(np.arange(1, 2 * (COORDS + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MULT, _ADD = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 
 
-def match_threshold(percent: int) -> int:
+def match_threshold(percent: int, coords: int = COORDS) -> int:
     """Most coordinates that may be asked for: a pair with that similarity
     shares fewer with a chance of at most MISS."""
     p, total, k = percent / 100, 0.0, 0
-    while total + (q := comb(COORDS, k) * p**k * (1 - p) ** (COORDS - k)) <= MISS:
+    while total + (q := comb(coords, k) * p**k * (1 - p) ** (coords - k)) <= MISS:
         total, k = total + q, k + 1
     return max(k, 1)
 
@@ -93,6 +96,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """The lowest byte of SKETCH further minima of a set that is not empty."""
+    out = np.empty(SKETCH, dtype=np.uint8)
+    step = max(1, 2_000_000 // len(members))        # bounds the table of a long text
+    for at in range(0, SKETCH, step):
+        seeds = slice(COORDS + at, COORDS + min(at + step, SKETCH))
+        values = (members[None, :] * _MULT[seeds, None] + _ADD[seeds, None]) >> np.uint64(32)
+        out[at:at + step] = values.min(axis=1).astype(np.uint8)
+    return out.tobytes()
+
+
 def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, t, n, node, sig): t hashes the text, node the shingle set
     (null for an empty one); sig holds coordinate-tagged values."""
@@ -118,7 +132,7 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, members array<long>) for ``wanted`` (id, t, node)."""
+    """Rows (node, members array<long>, sketch) for ``wanted`` (id, t, node)."""
     keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_t"), F.col(text_col).alias("text"))
     rows = keyed.join(wanted, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_t") == F.col("t"))).select("node", "text")
 
@@ -130,77 +144,106 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 sets = shingle_sets(texts, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(at, len(texts)),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                     pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "members", "sketch"])
                 at += len(texts)
-    return rows.mapInArrow(run, "node long, members array<long>")
+    return rows.mapInArrow(run, "node long, members array<long>, sketch binary")
 
 
-def postings(classes: DataFrame, least: int) -> DataFrame:
-    """Rows (cv, node, n, sig) of the prefixes."""
+def postings(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The prefixes as rows (cv, node), and (node, posted, weight) of the
+    classes in them: the posted coordinates as bits, and how common the shared
+    values are."""
     posted = classes.select("node", F.explode("sig").alias("cv"))
     shared = stage(posted.groupBy("cv").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "values", slim=True)
     # at most COORDS values per class
-    ordered = (posted.join(shared, "cv").groupBy("node")
-               .agg(F.sort_array(F.collect_list(F.struct("met", "cv"))).alias("v")).where(F.size("v") >= least)
-               .select("node", F.explode(F.slice("v", 1, F.size("v") - least + 1)["cv"]).alias("cv")))
-    out = stage(ordered.join(classes, "node").select("cv", "node", "n", "sig"), "postings", slim=True)
+    values = F.sort_array(F.collect_list(F.struct("met", "cv")))
+    kept = (posted.join(shared, "cv").groupBy("node").agg(values.alias("v"), F.sum("met").alias("weight"))
+            .where(F.size("v") >= least)
+            .select("node", "weight", F.slice("v", 1, F.size("v") - least + 1)["cv"].alias("prefix")))
+    kept = stage(kept.select("node", "weight", "prefix", F.aggregate(
+        "prefix", F.lit(0).cast("long"), lambda m, cv: m.bitwiseOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.shiftright(cv, 32).cast("int")))).alias("posted")), "prefixes", slim=True)
     drop_staged(shared)
-    return out
+    return kept.select(F.explode("prefix").alias("cv"), "node"), kept.select("node", "posted", "weight")
 
 
-def near_enough(percent: int):
-    """Sizes that allow the similarity at all."""
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return small * 100 >= large * percent
+def sharp_enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of two tables of sketches agree often enough."""
+    return (a == b).sum(axis=1) >= match_threshold(percent, SKETCH)
 
 
-def pivot_pairs(lists: DataFrame, rank: int, least: int, percent: int) -> DataFrame:
-    """Rows (a, b), a < b: members with the pivot of their list, the member of
-    smallest hash under this ``rank``, if they are in two components and share
-    enough coordinates."""
-    key = F.struct(F.xxhash64("node", F.lit(rank)).alias("h"), "node")
-    pivots = stage(lists.groupBy("cv").agg(F.min(key).alias("p")).select("cv", F.col("p.node").alias("b")), "pivots", slim=True)
-    pairs = (lists.select("cv", F.col("node").alias("a")).join(pivots, "cv").where("a <> b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    facts = lists.select("node", "n", "sig", "component").dropDuplicates(["node"])
-    return matched(pairs, facts, least, percent)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
 
-def matched(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> DataFrame:
-    sides = [facts.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sig").alias(f"{s}_sig"),
+def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) -> DataFrame:
+    """Rows (a, b), a < b: members with the pivot of their list -- the one of
+    most common values, then one by hash -- if they are in two components and
+    their sketches agree."""
+    weighed = lists.join(facts.select("node", "weight"), "node")
+    key = F.struct("weight", "node") if rank == 0 else F.struct(F.xxhash64("node", F.lit(rank)).alias("h"), "node")
+    pivots = stage(weighed.groupBy("cv").agg(F.max(key).alias("p")).select("cv", F.col("p.node").alias("b")), "pivots", slim=True)
+    pairs = (lists.select("cv", F.col("node").alias("a")).join(pivots, "cv").where("a <> b")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sides = [facts.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"),
                           F.col("component").alias(f"{s}_c")) for s in "ab"]
-    return (pairs.join(sides[0], "a").join(sides[1], "b").where(F.col("a_c") != F.col("b_c")).where(near_enough(percent))
-            .where(F.size(F.array_intersect("a_sig", "b_sig")) >= least).select("a", "b"))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    near = (pairs.join(sides[0], "a").join(sides[1], "b").where(F.col("a_c") != F.col("b_c")).where(small * 100 >= large * percent)
+            .select("a", "b", "a_sketch", "b_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = sharp_enough(_sketches(batch.column("a_sketch")), _sketches(batch.column("b_sketch")), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+    return near.mapInArrow(run, "a long, b long")
 
 
-def block_pairs(lists: DataFrame, least: int, percent: int) -> DataFrame:
+def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) -> DataFrame:
     """Rows (a, b), a < b: all pairs of a list's members that are in two
-    components and share enough coordinates. Lists are cut into blocks; each
-    pair of blocks is one small group, so no list meets in one task."""
+    components and share enough coordinates, each pair in the list of the
+    first coordinate under which both are posted alike. Lists are cut into
+    blocks; each pair of blocks is one small group, so no list meets in one
+    task."""
+    named = lists.join(facts.select("node", "component"), "node")
     block = F.greatest(F.lit(BLOCK), F.least(F.lit(MAX_BLOCK), F.col("size") / BLOCKS))
-    sizes = stage(lists.groupBy("cv").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
+    sizes = stage(named.groupBy("cv").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
                                           F.max("component").alias("high")).where("low <> high")
                   .select("cv", F.ceil(F.col("size") / block).cast("long").alias("blocks")), "open-lists", slim=True)
-    open_rows = lists.join(sizes, "cv").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     # a block meets itself and every other block once: (low, high) with low <= high
-    sent = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "cv", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "component", "sig")
+    sent = (lists.join(sizes, "cv").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .select("cv", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
+            .join(facts.select("node", "n", "component", "posted", "sig", "sketch"), "node"))
 
     def run(rows: pa.Table) -> pa.Table:
-        col = {c: rows.column(c).to_numpy() for c in ("low", "high", "own", "node", "n", "component")}
+        rows = rows.combine_chunks()
+        col = {c: rows.column(c).to_numpy() for c in ("cv", "low", "high", "own", "node", "n", "component", "posted")}
         sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        sharp = _sketches(rows.column("sketch").combine_chunks())
         left = np.flatnonzero(col["own"] == col["low"])
         right = np.flatnonzero(col["own"] == col["high"])
+        here = int(col["cv"][0] >> 32)
         same = np.zeros((len(left), len(right)), dtype=np.int8)
+        before = np.zeros(same.shape, dtype=bool)
         for c in range(COORDS):
-            same += sig[left, c][:, None] == sig[right, c][None, :]
-        i, j = np.nonzero(same >= least)
+            equal = sig[left, c][:, None] == sig[right, c][None, :]
+            same += equal
+            if c < here:
+                posted = (col["posted"] >> c) & 1 == 1
+                before |= equal & posted[left][:, None] & posted[right][None, :]
+        i, j = np.nonzero((same >= least) & ~before)
         i, j = left[i], right[j]
+        if col["low"][0] == col["high"][0]:
+            i, j = i[col["node"][i] < col["node"][j]], j[col["node"][i] < col["node"][j]]
         small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
         good = (col["component"][i] != col["component"][j]) & (small * 100 >= large * percent)
+        i, j = i[good], j[good]
+        good = np.concatenate([np.zeros(0, dtype=bool)] + [
+            sharp_enough(sharp[i[k:k + 4096]], sharp[j[k:k + 4096]], percent) for k in range(0, len(i), 4096)])
         a, b = col["node"][i[good]], col["node"][j[good]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,21 +269,20 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     least = match_threshold(percent)
     signed = stage(sign_documents(docs, id_col, text_col), "signed")
     classes = stage(signed.where("node IS NOT NULL").select("node", "n", "sig").dropDuplicates(["node"]), "classes", slim=True)
-    lists = postings(classes, least)
-    active = lists.select("node").distinct()
-    wanted = (signed.join(active, "node").groupBy("node").agg(F.min(F.struct("id", "t")).alias("r"))
+    lists, weights = postings(classes, least)
+    wanted = (signed.join(weights.select("node"), "node").groupBy("node").agg(F.min(F.struct("id", "t")).alias("r"))
               .select("node", F.col("r.id").alias("id"), F.col("r.t").alias("t")))
     sets = stage(full_sets(docs, stage(wanted, "wanted", slim=True), id_col, text_col).dropDuplicates(["node"]), "sets")
+    known = stage(weights.join(classes, "node").join(sets.select("node", "sketch"), "node"), "facts", slim=True)
     drop_staged(classes)
 
     links, labels = None, None
     for rank in [*range(PIVOTS), None]:
         if labels is None:
-            named = lists.withColumn("component", F.col("node"))
+            facts = known.withColumn("component", F.col("node"))
         else:
-            named = stage(lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")),
-                          "named", slim=True)
-        pairs = pivot_pairs(named, rank, least, percent) if rank is not None else block_pairs(named, least, percent)
+            facts = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = pivot_pairs(lists, facts, rank, percent) if rank is not None else block_pairs(lists, facts, least, percent)
         new = stage(confirmed(stage(pairs, "pairs", slim=True), sets, percent), "links", slim=True)
         if new.isEmpty():
             continue
@@ -248,7 +290,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         labels = connected_components(links)
 
     out = label_rows(signed.select("id", "t", "n", "node"), labels)
-    drop_staged(sets, lists)
+    drop_staged(sets, known)
     return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
