@@ -71,6 +71,31 @@ def with_results(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     return df.withColumn(tmp, result).select(*keep, *[F.col(tmp)[n].alias(n) for n in names])
 
 
+FILTER_BITS = 2**23
+
+
+def marked_if_met(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` plus the boolean ``name``: False only where ``key`` (a long
+    hash) is not among the values of the one column of ``keys``. A bitmap of
+    FILTER_BITS, at most 131,072 words of 64 bits, is broadcast; wide rows that
+    cannot match are thus known before any shuffle. More keys make it less
+    selective, never wrong."""
+    word, bit = f"w_{uuid.uuid4().hex}", f"b_{uuid.uuid4().hex}"
+
+    def at(k: Column) -> tuple[Column, Column]:
+        place = F.pmod(k, F.lit(FILTER_BITS))
+        return F.shiftright(place, 6), (place % 64).cast("int")
+
+    w, b = at(F.col(f"`{keys.columns[0]}`"))
+    one = F.lit(1).cast("long")
+    words = keys.select(w.alias(word), F.call_function("shiftleft", one, b).alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
+    w, b = at(key)
+    return (rows.withColumn(f"{word}_of", w).withColumn(f"{bit}_of", b)
+            .join(F.broadcast(words), F.col(f"{word}_of") == F.col(word), "left")
+            .withColumn(name, F.coalesce(F.call_function("shiftright", F.col(bit), F.col(f"{bit}_of")).bitwiseAND(one) == 1, F.lit(False)))
+            .drop(word, bit, f"{word}_of", f"{bit}_of"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of the undirected ``edges`` (a long, b long) as rows
     (node, component), component = the smallest node reachable. Nodes without

@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import comb
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import connected_components, drop_staged, label_rows, stage, text_slices
+from tessera.llm.common import connected_components, drop_staged, label_rows, marked_if_met, stage, text_slices
 from tessera.llm.perfect_hash import mix
 
 WORDS = 5
@@ -38,7 +39,7 @@ COORDS = 32
 SKETCH = 512            # coordinates of the sketch, a byte each
 MISS = 1e-5             # chance that a pair just at the limit shares too few coordinates
 PIVOTS = 2
-BLOCK, MAX_BLOCK, BLOCKS = 128, 4096, 64        # members of a block, blocks of a list
+BLOCK, MAX_BLOCK, BLOCKS = 256, 4096, 64        # members of a block, blocks of a list
 CACHE_WORDS = 300_000
 _SEEDS = mix(np.arange(1, 2 * (COORDS + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULT, _ADD = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -134,6 +135,8 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, members array<long>, sketch) for ``wanted`` (id, t, node)."""
     keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_t"), F.col(text_col).alias("text"))
+    # texts that are not wanted stay out of the shuffle
+    keyed = marked_if_met(keyed, F.col("d_t"), wanted.select("t"), "d_wanted").where("d_wanted")
     rows = keyed.join(wanted, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_t") == F.col("t"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,4 +302,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_dups(docs, id_col, text_col, percent)
     gone = stage(found.where("NOT kept").select(F.col(id_col).alias("g_id"), F.col("text_hash").alias("g_t")), "gone", slim=True)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("g_id")) & (F.xxhash64(text_col) == F.col("g_t"))
-    return docs.join(gone, same, "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"
+    marked = marked_if_met(docs, F.xxhash64(text_col), gone.select("g_t"), name)
+    # texts that surely stay are not shuffled
+    return marked.where(~F.col(name)).drop(name).unionByName(marked.where(name).drop(name).join(gone, same, "left_anti"))
