@@ -10,6 +10,7 @@ what rounding leaves over is packed first-fit, largest class first.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,6 +31,12 @@ END_ID = 1
 MAX_ROUNDS = 20_000
 EPS = 1e-9
 GAP = 1e-3          # stop at so much above the lower bound
+# The faster library's splitter gives up on a white-space run of about a
+# million characters; runs of this many are split off before. The class is
+# Unicode's White_Space, without the separators 1C-1F that ``re`` adds to \s.
+LONG_RUN = 100_000
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_RUN = re.compile(f"(?<!{SPACE}){SPACE}{{{LONG_RUN},}}")
 
 
 @lru_cache(maxsize=2)
@@ -41,14 +48,30 @@ def fast_encoder(vocab_path: str) -> tuple[tiktoken.Encoding, dict[str, int], ob
     return tiktoken.Encoding("file", pat_str=WORD_OR_SPACE, mergeable_ranks=ranks, special_tokens={}), vocab.specials, vocab.special_split
 
 
+def plain_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text without special strings. Of a long white-space run all
+    but its last character are one piece, by the split pattern's own rule; at
+    the end of the text the whole run is."""
+    if len(text) < LONG_RUN:
+        return encoding.encode_ordinary(text)
+    ids: list[int] = []
+    at = 0
+    for run in SPACE_RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():stop])
+        at = stop
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_ids(vocab_path: str, text: str) -> np.ndarray:
     """Ids of the whole text as uint32, special strings as their single id."""
     encoding, specials, split = fast_encoder(vocab_path)
     if "<|" not in text:
-        return np.array(encoding.encode_ordinary(text), dtype="<u4")
+        return np.array(plain_ids(encoding, text), dtype="<u4")
     ids: list[int] = []
     for part in split.split(text):
-        ids += [specials[part]] if part in specials else encoding.encode_ordinary(part)
+        ids += [specials[part]] if part in specials else plain_ids(encoding, part)
     return np.array(ids, dtype="<u4")
 
 

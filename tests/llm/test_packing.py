@@ -60,6 +60,15 @@ def test_hot_length_and_empty_table(spark):
     assert packing.padding(packing.pack_documents(frame(spark, data[:5]), BYTE, with_ids=False)).first().sequences >= 1
 
 
+def test_long_white_space_runs(spark):
+    """The splitter of the rank library alone raises on runs of a million."""
+    n = 2_000_000
+    texts = ["a" + " " * n + "x", "a" + "\n" * n + "x", "a\n" + " " * n, " " * n + "\u3000!<|endoftext|>" + "\t" * n + "7",
+             "b" + "\r\n \xa0" * (n // 4) + "\x1cx" + "\n" * (packing.LONG_RUN - 1) + " y" + " " * packing.LONG_RUN + "'s z"]
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    check(packing.pack_documents(frame(spark, data), BYTE, with_ids=False).collect(), list(enumerate(texts)))
+
+
 def test_solver_meets_demand_and_bound():
     rng = np.random.default_rng(1)
     for n in (1, 7, 300, 20_000):
