@@ -10,7 +10,9 @@ surely. Members of visited cells are verified by their cosine.
 
 Cells are cut into blocks, and so are the queries that visit them: a dense
 cell is many small matrix products. Such a block returns the number of links
-of each query and edges that span its linked vectors, never all pairs.
+of each query and edges that span its linked vectors, never all pairs. Visits
+are not mutual: where a member does not visit its query's cell, the block
+counts the link for the member too, so that both ends count each found link.
 """
 
 from __future__ import annotations
@@ -47,9 +49,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Squared distances of rows to codewords; in this thread, for the driver
-    fits with it beside a JVM."""
-    cross = np.einsum("ij,kj->ik", x, codes)
-    return np.maximum((x * x).sum(1)[:, None] - 2 * cross + (codes * codes).sum(1), 0)
+    fits with it beside a JVM. Summed column by column: a distance has the same
+    bits whatever other rows and codewords it is computed with."""
+    out = np.zeros((len(x), len(codes)))
+    for start in range(0, len(x), BLOCK):
+        part = out[start:start + BLOCK]
+        for a, b in zip(x[start:start + BLOCK].T, codes.T):
+            part += np.square(np.subtract.outer(a, b))
+    return out
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -95,6 +102,13 @@ class Grid:
         a, b = self.gaps(x)
         return a.argmin(axis=1) * self.k + b.argmin(axis=1)
 
+    def visited(self, x: np.ndarray, home: int, cells: np.ndarray) -> np.ndarray:
+        """Whether the traversal of each row, all of the cell ``home``, meets
+        each of ``cells``: the same sums against the same cutoff."""
+        gaps = [distances(h, codes[other]) - distances(h, codes[[own]]) for h, codes, own, other
+                in zip(self.halves(x), self.codes, divmod(home, self.k), divmod(cells, self.k))]
+        return gaps[0] + gaps[1] <= self.cutoff
+
     def visits(self, x: np.ndarray) -> list[list[int]]:
         """Cells of each query, nearest first, up to the cutoff."""
         out = []
@@ -154,7 +168,7 @@ def fit(classes: DataFrame, n_vectors: int, cosine: float) -> Grid:
 
 
 def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFrame:
-    """Rows (a, b, links): links of query a in one block, or an edge (a, b)."""
+    """Rows (a, b, links): links of vector a in one block, or an edge (a, b)."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(as_matrix(batch.column("vec"), width)) if len(batch) else np.zeros((0, width))
@@ -162,7 +176,7 @@ def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFra
                 [batch.column("node"), pa.array(grid.cells(x), pa.int64()), pa.array(grid.visits(x), pa.list_(pa.int64()))],
                 names=["node", "cell", "visits"])
     placed = stage(classes.select("node", "vec").mapInArrow(place, "node long, cell long, visits array<long>"), "cells")
-    visits = placed.select("node", F.explode("visits").alias("cell"))
+    visits = placed.select("node", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
     # at most MAX_CODES ** 2 rows each
     members = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("m_blocks"))
     queries = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("q_blocks"))
@@ -175,18 +189,33 @@ def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFra
 
     asked = (visits.join(blocks, "cell").withColumn("q", F.pmod(spread, "q_blocks")).withColumn("m", one_to("m_blocks")))
     held = (placed.select("node", "cell").join(blocks, "cell").withColumn("m", F.pmod(spread, "m_blocks")).withColumn("q", one_to("q_blocks")))
-    sent = (asked.select("node", "cell", "m", "q", F.lit(True).alias("query"))
-            .unionByName(held.select("node", "cell", "m", "q", F.lit(False).alias("query"))).join(whole, "node"))
+    sent = (asked.select("node", "home", "cell", "m", "q", F.lit(True).alias("query"))
+            .unionByName(held.select("node", F.col("cell").alias("home"), "cell", "m", "q", F.lit(False).alias("query"))).join(whole, "node"))
 
     def verify(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         node, weight = rows.column("node").to_numpy(), rows.column("weight").to_numpy()
         x = unit(as_matrix(rows.column("vec").combine_chunks(), width))
-        query = rows.column("query").to_numpy()
+        query, home = rows.column("query").to_numpy(), rows.column("home").to_numpy()
         q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        links = x[q] @ x[m].T >= cosine
+        near = x[q] @ x[m].T
+        i, j = np.nonzero(np.abs(near - cosine) < 1e-12)
+        if len(i):
+            near[i, j] = sum(v[q[i]] * v[m[j]] for v in x.T)        # the same bits both ways
+        links = near >= cosine
         links &= node[q][:, None] != node[m][None, :]
         count = links @ weight[m]
+        # links that the member's own traversal does not meet
+        cell = rows.column("cell")[0].as_py()
+        lone = links & (home[q] != cell)[:, None]
+        i, j = np.flatnonzero(lone.any(axis=1)), np.flatnonzero(lone.any(axis=0))
+        back = np.zeros(len(m), dtype=count.dtype)
+        if len(i):
+            cells, at = np.unique(home[q[i]], return_inverse=True)
+            met = grid.visited(x[m[j]], cell, cells)[:, at]
+            back[j] = (lone[np.ix_(i, j)].T & ~met) @ weight[q[i]]
+        count = np.concatenate((count, back))
+        counted = np.concatenate((node[q], node[m]))
         some = count > 0
         row_label, col_label = span(links)
         # each linked vector hangs on the query that names its component
@@ -195,7 +224,7 @@ def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFra
         real = ends != roots
         n_edges = int(real.sum())
         return pa.table({
-            "a": np.concatenate((node[q][some], ends[real])),
+            "a": np.concatenate((counted[some], ends[real])),
             "b": pa.array(np.concatenate((np.zeros(int(some.sum()), dtype=np.int64), roots[real])),
                           mask=np.concatenate((np.ones(int(some.sum()), dtype=bool), np.zeros(n_edges, dtype=bool)))),
             "links": np.concatenate((count[some], np.zeros(n_edges, dtype=count.dtype))).astype(np.int64)})

@@ -81,6 +81,26 @@ def test_small_blocks_and_whole_grid(spark, monkeypatch):
     assert result(multi_index.near_dup_vectors(frame(spark, data))) == brute(data)
 
 
+def test_both_ends_count_a_found_link(spark, monkeypatch):
+    """Lone pairs at the limit over many codes, one end repeated in every
+    second pair: found or not, both ends say the same."""
+    monkeypatch.setattr(multi_index, "CELL_MEMBERS", 4)
+    monkeypatch.setattr(multi_index, "TARGET_RECALL", 0.8)
+    rng = np.random.default_rng(6)
+    data = []
+    for i in range(600):
+        a, step = rng.normal(size=(2, 32))
+        a /= np.linalg.norm(a)
+        step -= (step @ a) * a
+        b = 0.951 * a + np.sqrt(1 - 0.951**2) * step / np.linalg.norm(step)
+        data += [(2 * i, a.tolist())] * (1 + i % 2) + [(2 * i + 1, b.tolist())]
+    got = {r.vec_id: r for r in multi_index.near_dup_vectors(frame(spark, data)).collect()}
+    found = [got[2 * i + 1].component_id == 2 * i for i in range(600)]
+    assert 0.5 < np.mean(found) < 1
+    for i, linked in enumerate(found):
+        assert (got[2 * i].n_links, got[2 * i + 1].n_links) == (i % 2 + linked, (1 + i % 2) * linked)
+
+
 def test_empty_and_unusable_tables(spark):
     assert multi_index.near_dup_vectors(frame(spark, [])).collect() == []
     data = [(1, None), (2, [0.0] * 8)]
