@@ -1,10 +1,12 @@
 """Sequence packing by cutting-stock column generation.
 
 Documents are cut into full pieces and one remainder. A histogram of piece
-lengths (in classes of CLASS_WIDTH tokens) is all that reaches the driver. A
-linear program over patterns -- sets of classes that fit a sequence -- is
-solved by column generation: a knapsack dynamic programme prices new patterns.
-Rounded-down pattern counts are dealt to pieces by their rank in their class;
+lengths is all that reaches the driver. Items are single pieces or, where that
+takes fewer sequences, bundles of one length, large enough that rounding up to
+a class of CLASS_WIDTH tokens costs little. A linear program over patterns --
+sets of classes that fit a sequence -- is solved by column generation: a
+knapsack dynamic programme prices new patterns.
+Rounded-down pattern counts are dealt to items by their rank in their class;
 what rounding leaves over is packed first-fit, largest class first.
 """
 
@@ -27,6 +29,7 @@ from tessera.llm.vocab import WORD_OR_SPACE, load
 
 CAPACITY = 2048
 CLASS_WIDTH = 8
+SLACK = 0.01        # share of an item, or of a sequence of such items, that rounding may cost
 END_ID = 1
 MAX_ROUNDS = 20_000
 EPS = 1e-9
@@ -106,6 +109,32 @@ def cut_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
         id_col, "p.*", "doc_tokens")
 
 
+def bundle(length: int, capacity: int, width: int) -> int:
+    """How many pieces of ``length`` go together: the fewest for which neither
+    their class nor a sequence filled with such items loses more than SLACK."""
+    fit = capacity // length
+    for n in range(1, fit):
+        size = -(-n * length // width)
+        if size * width <= (1 + SLACK) * n * length and capacity // width // size * n >= (1 - SLACK) * fit:
+            return n
+    return fit
+
+
+def bundles(counts: dict[int, int], capacity: int, width: int, together: bool = True) -> tuple[list[tuple[int, int, int, int, int, int]], dict[int, int]]:
+    """Rows (length, first_rank, last_rank, per_item, class, first_item): which
+    ranks of a length go to which items of a class; and the items per class."""
+    out: list[tuple[int, int, int, int, int, int]] = []
+    demand: dict[int, int] = defaultdict(int)
+    for length, n in sorted(counts.items()):
+        per = bundle(length, capacity, width) if together else 1
+        for first, stop, k in ((0, n - n % per, per), (n - n % per, n, 1)):
+            if stop > first:
+                size = -(-k * length // width)
+                out.append((length, first, stop - 1, k, size, demand[size]))
+                demand[size] += (stop - first) // k
+    return out, dict(demand)
+
+
 Pattern = tuple[tuple[int, int], ...]       # (class, how often), largest class first
 
 
@@ -197,7 +226,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.nda
 
 
 def plan_patterns(demand: dict[int, int], room: int) -> list[tuple[Pattern, int]]:
-    """Whole pattern counts that use up the demand (class -> pieces) exactly."""
+    """Whole pattern counts that use up the demand (class -> items) exactly."""
     sizes = np.array(sorted(demand), dtype=np.int64)
     if not len(sizes):
         return []
@@ -226,6 +255,18 @@ def plan_patterns(demand: dict[int, int], room: int) -> list[tuple[Pattern, int]
     return sorted(plans.items(), key=lambda p: (p[0], p[1]), reverse=True)
 
 
+def plan_pieces(counts: dict[int, int], capacity: int, width: int) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[Pattern, int]]]:
+    """Items and patterns of the better plan: short pieces need bundles, while
+    single pieces fill the gaps of mixed lengths better."""
+    tries = []
+    for together in (True, False):
+        items, demand = bundles(counts, capacity, width, together)
+        plans = plan_patterns(demand, capacity // width)
+        tries.append((sum(n for _, n in plans), items, plans))
+    _, items, plans = min(tries, key=lambda t: t[0])
+    return items, plans
+
+
 def slots(plans: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (class, first_rank, last_rank, first_sequence, per_sequence, slot):
     which ranks of a class go to which sequences, and where in them."""
@@ -252,32 +293,38 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, wi
     """
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    size = F.ceil(F.col("length") / width).cast("int")
-    rows = pieces.select(*keep, size.alias("p_class"))
-    # at most capacity / width rows reach the driver
-    demand = {r.p_class: r["count"] for r in rows.groupBy("p_class").count().collect()}
-    plans = plan_patterns(demand, capacity // width)
-    # ranks without a window over a whole class: classes are split into
+    rows = pieces.select(*keep, F.col("length").cast("int").alias("p_length"))
+    # at most `capacity` rows reach the driver
+    counts = {r.p_length: r["count"] for r in rows.groupBy("p_length").count().collect()}
+    dealt_items, plans = plan_pieces(counts, capacity, width)
+    # ranks without a window over a whole length: lengths are split into
     # buckets of near `share` rows, ranked inside, shifted by the rows before
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(64, sum(demand.values()) // (4 * tasks))
-    n_buckets = spark.createDataFrame([(k, -(-n // share)) for k, n in demand.items()], "p_class int, p_buckets long")
-    dealt = stage(rows.join(F.broadcast(n_buckets), "p_class").withColumn("p_row", F.monotonically_increasing_id())
+    share = max(64, sum(counts.values()) // (4 * tasks))
+    n_buckets = spark.createDataFrame([(k, -(-n // share)) for k, n in counts.items()], "p_length int, p_buckets long")
+    dealt = stage(rows.join(F.broadcast(n_buckets), "p_length").withColumn("p_row", F.monotonically_increasing_id())
                   .withColumn("p_bucket", F.pmod(F.xxhash64("p_row"), "p_buckets")).drop("p_buckets"), "pieces")
-    shift = (dealt.groupBy("p_class", "p_bucket").count()
-             .withColumn("p_shift", F.sum("count").over(Window.partitionBy("p_class").orderBy("p_bucket")) - F.col("count"))
+    shift = (dealt.groupBy("p_length", "p_bucket").count()
+             .withColumn("p_shift", F.sum("count").over(Window.partitionBy("p_length").orderBy("p_bucket")) - F.col("count"))
              .drop("count"))
-    local = F.row_number().over(Window.partitionBy("p_class", "p_bucket").orderBy(F.desc("length"), id_col, "start", "p_row"))
-    ranked = (dealt.withColumn("p_rank", local - 1).join(shift, ["p_class", "p_bucket"])
+    local = F.row_number().over(Window.partitionBy("p_length", "p_bucket").orderBy(id_col, "start", "p_row"))
+    ranked = (dealt.withColumn("p_rank", local - 1).join(shift, ["p_length", "p_bucket"])
               .withColumn("p_rank", F.col("p_rank") + F.col("p_shift")).drop("p_shift", "p_bucket"))
+    # two rows a length
+    items = spark.createDataFrame(dealt_items, "i_length int, i_first long, i_last long, i_per long, i_class int, i_item long")
+    inside = F.col("p_rank") - F.col("i_first")
+    bundled = (ranked.join(F.broadcast(items), (F.col("p_length") == F.col("i_length"))
+                           & F.col("p_rank").between(F.col("i_first"), F.col("i_last")))
+               .withColumn("p_item", F.col("i_item") + F.floor(inside / F.col("i_per")))
+               .withColumn("p_place", inside % F.col("i_per")))
     # patterns x classes rows: bounded by capacity and width, not by the data
     places = spark.createDataFrame(slots(plans), "s_class int, s_first long, s_last long, s_sequence long, s_per long, s_slot long")
-    within = F.col("p_rank") - F.col("s_first")
-    placed = (ranked.join(F.broadcast(places), (F.col("p_class") == F.col("s_class"))
-                          & F.col("p_rank").between(F.col("s_first"), F.col("s_last")))
+    within = F.col("p_item") - F.col("s_first")
+    placed = (bundled.join(F.broadcast(places), (F.col("i_class") == F.col("s_class"))
+                           & F.col("p_item").between(F.col("s_first"), F.col("s_last")))
               .withColumn("sequence_id", F.col("s_sequence") + F.floor(within / F.col("s_per")))
               .withColumn("p_slot", F.col("s_slot") + within % F.col("s_per")))
-    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("p_slot")) - F.col("length")
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("p_slot", "p_place")) - F.col("length")
     return placed.withColumn("offset", before).select(*keep, "sequence_id", "offset")
 
 

@@ -60,6 +60,23 @@ def test_hot_length_and_empty_table(spark):
     assert packing.padding(packing.pack_documents(frame(spark, data[:5]), BYTE, with_ids=False)).first().sequences >= 1
 
 
+def test_short_documents_fill_sequences(spark):
+    for tokens in (17, 9, 41):
+        data = [(i, "a" + " a" * (tokens - 2), None, None, None) for i in range(80_000 // tokens)]
+        out = packing.pack_documents(frame(spark, data), BYTE, with_ids=False).collect()
+        assert {r.length for r in out} == {tokens}
+        assert check(out, [(i, t) for i, t, *_ in data]) < 0.04
+
+
+def test_bundles_cover_each_length():
+    for length in range(1, 2049):
+        per = packing.bundle(length, 2048, 8)
+        assert 256 // -(-per * length // 8) * per >= 0.99 * (2048 // length)
+    items, demand = packing.bundles({17: 1003, 34: 2, 2048: 5}, 2048, 8)
+    assert sum(last - first + 1 for _, first, last, *_ in items) == 1010
+    assert sum((last - first + 1) // per for _, first, last, per, *_ in items) == sum(demand.values())
+
+
 def test_long_white_space_runs(spark):
     """The splitter of the rank library alone raises on runs of a million."""
     n = 2_000_000
