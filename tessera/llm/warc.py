@@ -8,7 +8,10 @@ of the reader, for instance ``spark.read.format("binaryFile")`` over real
 The reader checks each record: gzip checksum, version line, content length,
 record end, block digest, payload digest. After a failed check it searches for
 the next place where a whole valid record starts (a gzip member or a version
-line), goes on there, and logs the bytes between as a quarantined gap.
+line), goes on there, and logs the bytes between as a quarantined gap. A member
+may hold many records; of a member that is cut off the whole ones are kept. A
+member that fails its gzip checksum is quarantined whole: nothing tells which
+of its bytes are right.
 """
 
 from __future__ import annotations
@@ -104,6 +107,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return planned.mapInArrow(run, "archive string, n_records long, content binary")
 
 
+def agrees(given: str, name: str, raw: bytes) -> bool:
+    """Whether a labelled digest in hex, base32 or base64 is ``raw``. Digests
+    of other algorithms than ``name`` are not checked."""
+    label, _, value = given.partition(":")
+    if label.strip().lower().replace("-", "") != name:
+        return True
+    value = value.strip().rstrip("=")
+    return (value.lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower())
+            or value in (f(raw).decode().rstrip("=") for f in (base64.b64encode, base64.urlsafe_b64encode)))
+
+
 class Damaged(Exception):
     """A check failed; the message says which."""
 
@@ -127,36 +141,24 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if data[stop:stop + 4] != b"\r\n\r\n":
         raise Damaged("record end")
     block = data[end + 4:stop]
-    if head.get("warc-block-digest", "").startswith("sha1:") and head["warc-block-digest"] != block_digest(block):
+    if "warc-block-digest" in head and not agrees(head["warc-block-digest"], "sha1", sha1(block).digest()):
         raise Damaged("block digest")
     return head, block, stop + 4
 
 
-def gunzip(content: bytes, at: int) -> tuple[bytes, int]:
-    """The data of the gzip member at ``at`` and the member's end, fed step by
-    step so that no more than a step is copied behind the member."""
+def gunzip(content: bytes, at: int, stop: int) -> tuple[bytes, int | None]:
+    """The data of the gzip member at ``at`` and the member's end, None if it
+    does not end before ``stop``; fed step by step so that no more than a step
+    is copied behind the member."""
     member, out = zlib.decompressobj(31), []
     try:
-        while not member.eof and at < len(content):
-            step = content[at:at + GZIP_STEP]
+        while not member.eof and at < stop:
+            step = content[at:min(at + GZIP_STEP, stop)]
             out.append(member.decompress(step))
             at += len(step)
     except zlib.error as e:
         raise Damaged("gzip member") from e
-    if not member.eof:
-        raise Damaged("gzip member cut off")
-    return b"".join(out), at - len(member.unused_data)
-
-
-def take(content: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end offset of the record at ``at``."""
-    if not content.startswith(GZIP, at):
-        return parse(content, at)
-    data, end = gunzip(content, at)
-    head, block, size = parse(data)
-    if size != len(data):
-        raise Damaged("member holds more than a record")
-    return head, block, end
+    return b"".join(out), at - len(member.unused_data) if member.eof else None
 
 
 def described(head: dict[str, str], block: bytes) -> dict:
@@ -168,7 +170,7 @@ def described(head: dict[str, str], block: bytes) -> dict:
     if kind == "revisit":
         length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
         digest, payload, size = given.removeprefix("sha256:"), None, int(length[1]) if length else None
-    elif given.startswith("sha256:") and given != f"sha256:{digest}":
+    elif not agrees(given, "sha256", bytes.fromhex(digest)):
         raise Damaged("payload digest")
     page, refers = PAGE_ID.fullmatch(head.get("warc-record-id", "")), PAGE_ID.fullmatch(head.get("warc-refers-to", ""))
     return {"record_type": kind, "record_id": page[1] if page else head.get("warc-record-id"),
@@ -176,27 +178,82 @@ def described(head: dict[str, str], block: bytes) -> dict:
             "refers_to": refers[1] if refers else None}
 
 
+def inside(data: bytes) -> Iterator[dict | str]:
+    """Fields of the good records in a member's data, and the reasons of the
+    gaps between them with their place in the data."""
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        try:
+            head, block, end = parse(data, at)
+            fields = described(head, block)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            nxt = VERSION_LINE.search(data, at + 1)
+            at = nxt.start() if nxt else len(data)
+            continue
+        if gap is not None:
+            yield f"{reason} (bytes {gap} to {at} of the member's data)"
+            gap = None
+        yield fields
+        at = end
+    if gap is not None:
+        yield f"{reason} (bytes {gap} to {at} of the member's data)"
+
+
+def take(content: bytes, at: int) -> tuple[list[dict | str], int]:
+    """What the plain record or gzip member at ``at`` holds, and its end."""
+    if not content.startswith(GZIP, at):
+        head, block, end = parse(content, at)
+        return [described(head, block)], end
+    data, end = gunzip(content, at, len(content))
+    if end is None:
+        raise Damaged("gzip member cut off")
+    found = list(inside(data))
+    if not any(isinstance(f, dict) for f in found):
+        raise Damaged(found[0].partition(" (")[0] if found else "version line")
+    return found, end
+
+
+def rescued(content: bytes, starts: list[int], stop: int) -> Iterator[tuple[int, int, dict]]:
+    """Whole records of members that begin in a gap and are cut off at its
+    end. Their bytes are the gap's, so their length is 0."""
+    for at in starts:
+        try:
+            data, end = gunzip(content, at, stop)
+        except Damaged:
+            continue
+        if end is None:
+            yield from ((at, 0, f) for f in inside(data) if isinstance(f, dict))
+
+
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(offset, length, fields) of good records and (offset, length, reason) of
-    quarantined gaps; together they cover the whole content."""
+    quarantined gaps; together they cover the whole content. What shares a
+    gzip member has its offset; the first has its length and the others 0."""
     at, gap, reason = 0, None, ""
+    starts: list[int] = []
     while at < len(content):
         try:
-            head, block, end = take(content, at)
-            fields = described(head, block)
+            found, end = take(content, at)
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
+            if content.startswith(GZIP, at):
+                starts.append(at)
             nxt = START.search(content, at + 1)
             at = nxt.start() if nxt else len(content)
             continue
         if gap is not None:
             yield gap, at - gap, reason
-            gap = None
-        yield at, end - at, fields
+            yield from rescued(content, starts, at)
+            gap, starts = None, []
+        yield at, end - at, found[0]
+        yield from ((at, 0, f) for f in found[1:])
         at = end
     if gap is not None:
         yield gap, len(content) - gap, reason
+        yield from rescued(content, starts, len(content))
 
 
 FIELDS = ["record_type", "record_id", "target_uri", "payload", "payload_bytes", "payload_digest", "refers_to"]
@@ -206,7 +263,8 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
     """One row per record or gap: archive, byte_offset, byte_length,
     record_type, record_id, target_uri, payload (null for revisits),
     payload_bytes, payload_digest, refers_to, and for gaps record_type "gap"
-    and the failed check in gap_reason. A null or empty content gives no row;
+    and the failed check in gap_reason. Rows of one gzip member share its
+    offset; the first has its length, the others 0. A null or empty content gives no row;
     other columns of ``archives`` are not carried; rows are independent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()),

@@ -1,7 +1,8 @@
 """Archives: exact round trip, revisits, salvage of damaged files."""
 
 import random
-from hashlib import sha256
+from base64 import b32encode, b64encode
+from hashlib import sha1, sha256
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,47 @@ def test_salvage_recovers_later_records():
             assert [o for o, *_ in found] == sorted(o for o, *_ in found)
 
 
+def _salvaged(content):
+    found = list(warc.salvage(content))
+    assert sum(n for _, n, _ in found) == len(content) and [o for o, *_ in found] == sorted(o for o, *_ in found)
+    return [f["record_id"] for *_, f in found if isinstance(f, dict)], [f for *_, f in found if isinstance(f, str)]
+
+
+def test_members_of_many_records():
+    rnd = random.Random(3)
+    parts = []
+    for i in range(9):
+        body = rnd.randbytes(20_000).hex().encode()
+        parts.append(warc.record("response", i, f"http://x/{i}", body, sha256(body).hexdigest(), None))
+    ids = [str(i) for i in range(9)]
+    whole = warc.gzip_member(b"".join(parts))
+    after = warc.gzip_member(_records(12, True)[11])
+    assert _salvaged(whole) == (ids, [])
+    assert _salvaged(whole + after) == ([*ids, "11"], [])
+    hurt = b"".join([*parts[:4], parts[4].replace(b"HTTP/1.1 200", b"HTTP/1.1 404"), *parts[5:]])
+    good, gaps = _salvaged(warc.gzip_member(hurt))
+    assert good == ids[:4] + ids[5:] and len(gaps) == 1 and gaps[0].startswith("block digest (bytes ")
+    cut = whole[:len(whole) * 7 // 10]
+    good, gaps = _salvaged(cut)
+    assert good == ids[:6] and gaps == ["gzip member cut off"]
+    good, gaps = _salvaged(after + cut + after)
+    assert sorted(good) == sorted([*ids[:6], "11", "11"]) and len(gaps) == 1
+
+
+def test_digests_in_common_encodings():
+    plain = _records(1, True)[0]
+    block = plain[plain.index(b"HTTP/"):-4]
+    payload = block.partition(b"\r\n\r\n")[2]
+    old_block, old_payload = warc.block_digest(block).encode(), b"sha256:" + sha256(payload).hexdigest().encode()
+    for code in (bytes.hex, lambda d: d.hex().upper(), lambda d: b32encode(d).decode(), lambda d: b32encode(d).decode().lower(),
+                 lambda d: b64encode(d).decode()):
+        for label in ("sha1", "SHA-1"):
+            new = plain.replace(old_block, f"{label}:{code(sha1(block).digest())}".encode())
+            new = new.replace(old_payload, f"sha256:{code(sha256(payload).digest())}".encode())
+            assert _salvaged(new) == (["0"], []) and _salvaged(warc.gzip_member(new)) == (["0"], [])
+            assert _salvaged(new.replace(b"record 0", b"record 1", 1)) == ([], ["block digest"])
+
+
 def test_real_files(spark, scratch_dir):
     parts = _records(5, False)
     with open(f"{scratch_dir}/a.warc.gz", "wb") as f:
