@@ -54,7 +54,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
     return warc.read_archives(archives).where("record_type <> 'gap'").select(
-        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.nullif("record_id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"))
 
 

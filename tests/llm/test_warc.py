@@ -7,7 +7,7 @@ from hashlib import sha1, sha256
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import warc
+from tessera.llm import queries, warc
 
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                        T.StructField("html", T.StringType()), T.StructField("content", T.StringType())])
@@ -49,6 +49,13 @@ def test_round_trip(spark):
             assert payloads[str(i)] == (html or "").encode()
 
 
+def test_op6_with_null_ids(spark, scratch_dir):
+    pages(spark, DATA).write.parquet(f"{scratch_dir}/pages.parquet")
+    got = [(str(r.page_id) if r.page_id is not None else "", r.payload_bytes, r.payload_digest, r.record_type,
+            str(r.refers_to) if r.refers_to is not None else None) for r in queries.op6_warc(spark, scratch_dir).collect()]
+    assert sorted(got, key=repr) == brute(DATA)
+
+
 def test_empty(spark):
     assert warc.read_archives(warc.write_archives(pages(spark, []))).collect() == []
     odd = spark.createDataFrame([("a", None), ("b", b""), (None, b"junk")], "archive string, content binary")
