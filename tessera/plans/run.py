@@ -322,21 +322,21 @@ class Runner:
         """New / persistent / resolved per validation for the latest finished
         execution of ``table_id``, recomputed from the ledger alone (the
         separate persistence job of the original flow; useful for audits and
-        backfills). Reads two date partitions of the evidence ledger."""
+        backfills). Only validations that execution gave a verdict count, each
+        against the base the run itself takes (``_previous``)."""
         ex = (finished_executions(self.store.read(EXECUTIONS)).filter(F.col("table_id") == table_id)
               .orderBy(F.col("execution_timestamp").desc(), F.col("execution_id").desc())
-              .select("execution_id", "execution_date").limit(2).collect())     # two rows
-        vids = [r.validation_id for r in self.store.read(VALIDATIONS)
-                .filter(F.col("table_id") == table_id).select("validation_id").collect()]   # config-sized
-
-        def evidence_of(row) -> DataFrame:
-            return (self.store.read_day(EVIDENCES, row.execution_date)
-                    .filter((F.col("execution_id") == row.execution_id) & F.col("validation_id").isin(vids)))
-
+              .select("execution_id", "execution_date", "execution_timestamp").first())
         empty = self.spark.createDataFrame([], EVIDENCE_SCHEMA)
-        current = evidence_of(ex[0]) if ex else empty
-        previous = evidence_of(ex[1]) if len(ex) > 1 else empty
-        return counts_by_validation(classify(current, previous))
+        if ex is None:
+            return counts_by_validation(classify(empty, empty))
+        of_table = self.store.read(VALIDATIONS).filter(F.col("table_id") == table_id).select("validation_id")
+        vids = [r.validation_id for r in self.store.read(RESULTS)
+                .filter((F.col("execution_id") == ex.execution_id) & F.col("status").isin("PASSED", "FAILED"))
+                .join(of_table, "validation_id", "left_semi").select("validation_id").distinct().collect()]  # config-sized
+        current = (self.store.read_day(EVIDENCES, ex.execution_date)
+                   .filter((F.col("execution_id") == ex.execution_id) & F.col("validation_id").isin(vids)))
+        return counts_by_validation(classify(current, self._previous(table_id, vids, ex.execution_timestamp)))
 
     def store_exists(self, path: str) -> bool:
         return path_exists(self.spark, path)

@@ -225,3 +225,22 @@ def test_persistence_from_ledger_matches_run(spark, scratch_dir):
     audited = {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
                for r in runner.persistence_from_ledger("T1").collect()}
     assert audited == recorded == PERSISTENCE[("run1", "run2")]
+
+
+def test_persistence_from_ledger_around_a_filtered_run(spark, scratch_dir):
+    """Skipped validations neither resolve nor turn up as new one run later."""
+    store, resolver, runner = _setup(spark, scratch_dir)
+
+    def audit():
+        return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
+                for r in runner.persistence_from_ledger("T1").collect()}
+    assert audit() == {}
+    resolver.register("clientes", fx.run_frame(spark, "run1"))
+    runner.run("clientes", now=datetime(2024, 10, 1))
+    report = runner.run("clientes", validation_id="VAL_AGE", now=datetime(2024, 10, 2))
+    recorded = {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures)
+                for r in store.read(RESULTS).filter(F.col("execution_id") == report.execution_id).collect()}
+    assert audit() == recorded and set(recorded) == {"VAL_AGE"}
+    resolver.register("clientes", fx.run_frame(spark, "run2"))
+    runner.run("clientes", now=datetime(2024, 10, 3))
+    assert audit() == PERSISTENCE[("run1", "run2")]
