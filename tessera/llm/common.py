@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +71,43 @@ def with_results(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     return df.withColumn(tmp, result).select(*keep, *[F.col(tmp)[n].alias(n) for n in names])
 
 
+def first_per_group(rows: DataFrame, group: list[str], order: list[Column], limit: int, name: str, spread: Column) -> DataFrame:
+    """The first ``limit`` rows of each group in ``order``, numbered from 1 in
+    ``name`` (long). Groups are first dealt out by the hash ``spread``, and only
+    the first rows of each part meet: a group of any share of the rows costs one
+    task ``limit`` rows per shuffle partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, place = f"p_{uuid.uuid4().hex}", F.row_number()
+    few = rows.withColumn(part, F.pmod(spread, F.lit(parts)))
+    few = few.withColumn(name, place.over(Window.partitionBy(*group, part).orderBy(*order))).where(F.col(name) <= limit).drop(part)
+    return few.withColumn(name, place.over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col(name) <= limit)
+
+
 FILTER_BITS = 2**23
 
 
+def filter_words(keys: DataFrame, word: str, bit: str) -> DataFrame:
+    """The bitmap of FILTER_BITS that has the values of the one column of
+    ``keys`` (a long hash) set: at most 131,072 rows of 64 bits."""
+    place = F.pmod(F.col(f"`{keys.columns[0]}`"), F.lit(FILTER_BITS))
+    return (keys.select(F.shiftright(place, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias(bit))
+            .groupBy(word).agg(F.bit_or(bit).alias(bit)))
+
+
+def filter_bits(keys: DataFrame) -> np.ndarray:
+    """The same bitmap as an array of 1 MB, for ``in_filter``."""
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for r in filter_words(keys, "w", "b").collect():
+        bits[r.w] = np.uint64(r.b % 2**64)
+    return bits
+
+
+def in_filter(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among the keys; False is certain."""
+    place = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def marked_if_met(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` plus the boolean ``name``: False only where ``key`` (a long
     hash) is not among the values of the one column of ``keys``. A bitmap of
@@ -82,17 +116,11 @@ def marked_if_met(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> D
     selective, never wrong."""
     word, bit = f"w_{uuid.uuid4().hex}", f"b_{uuid.uuid4().hex}"
 
-    def at(k: Column) -> tuple[Column, Column]:
-        place = F.pmod(k, F.lit(FILTER_BITS))
-        return F.shiftright(place, 6), (place % 64).cast("int")
-
-    w, b = at(F.col(f"`{keys.columns[0]}`"))
-    one = F.lit(1).cast("long")
-    words = keys.select(w.alias(word), F.call_function("shiftleft", one, b).alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
-    w, b = at(key)
-    return (rows.withColumn(f"{word}_of", w).withColumn(f"{bit}_of", b)
-            .join(F.broadcast(words), F.col(f"{word}_of") == F.col(word), "left")
-            .withColumn(name, F.coalesce(F.call_function("shiftright", F.col(bit), F.col(f"{bit}_of")).bitwiseAND(one) == 1, F.lit(False)))
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    held = F.call_function("shiftright", F.col(bit), F.col(f"{bit}_of")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return (rows.withColumn(f"{word}_of", F.shiftright(place, 6)).withColumn(f"{bit}_of", (place % 64).cast("int"))
+            .join(F.broadcast(filter_words(keys, word, bit)), F.col(f"{word}_of") == F.col(word), "left")
+            .withColumn(name, F.coalesce(held, F.lit(False)))
             .drop(word, bit, f"{word}_of", f"{bit}_of"))
 
 

@@ -13,6 +13,7 @@ from tessera.llm import (
     minhash,
     multi_index,
     packing,
+    phrases,
     secret_scan,
     token_count,
     toxicity,
@@ -95,9 +96,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs).withColumnRenamed("grp", "lang")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash, op3_packing, op4_multi_index, op5_bpe_codec, op6_warc, op7_toxicity, op8_secret_scan,
-    op9_line_dedup, op10_token_counts)}
+    op9_line_dedup, op10_token_counts, op11_phrases)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
@@ -148,4 +154,25 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op11_phrases": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+             i AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+             w AS (SELECT lang, id, unnest(words) AS a, generate_subscripts(words, 1) AS pos FROM i),
+             s AS (SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+             g AS (SELECT lang, 1 AS d, a AS phrase, NULL AS l1, NULL AS r1, NULL AS l2, NULL AS r2, count(*) AS f FROM s GROUP BY lang, a
+                   UNION ALL SELECT lang, 2, a || ' ' || b, a, b, NULL, NULL, count(*) FROM s WHERE b IS NOT NULL GROUP BY lang, a, b
+                   UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, a, b || ' ' || c, a || ' ' || b, c, count(*)
+                   FROM s WHERE c IS NOT NULL GROUP BY lang, a, b, c),
+             n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+             c AS (SELECT * FROM g WHERE d > 1 AND f >= 10),
+             cuts AS (SELECT lang, phrase, d, f AS a, 1 AS k, l1 AS lp, r1 AS rp FROM c
+                      UNION ALL SELECT lang, phrase, d, f, 2, l2, r2 FROM c WHERE d = 3),
+             x AS (SELECT cuts.*, gl.f AS l, gr.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(gl.f AS HUGEINT) * gr.f) AS BIGINT) AS score
+                   FROM cuts JOIN g gl ON gl.lang = cuts.lang AND gl.phrase = lp JOIN g gr ON gr.lang = cuts.lang AND gr.phrase = rp),
+             b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, l2 AS phrase, f FROM c WHERE d = 3
+                        UNION ALL SELECT lang, r1, f FROM c WHERE d = 3) GROUP BY lang, phrase)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n.n, score
+        FROM b JOIN n ON n.lang = b.lang LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase
+        WHERE d = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * a QUALIFY rank <= 2000""",
 }
