@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
@@ -13,6 +13,7 @@ from tessera.llm import (
     minhash,
     multi_index,
     packing,
+    periodic_runs,
     phrases,
     secret_scan,
     token_count,
@@ -101,9 +102,40 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs).withColumnRenamed("grp", "lang")
 
 
+def looped_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by h = crc32(doc_id), the n words
+    from a on become repeats of the first p words from a, where
+    a = floor(h / 10) % n and p = 1 + floor((n - a) / (3 + floor(h / 10) % 8))."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    chosen = docs.select("doc_id", "text", F.coalesce(h % 10 == 0, F.lit(False)).alias("chosen"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    counted = chosen.withColumn("words", words).withColumn("n", F.size("words"))
+    placed = counted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    loop = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(loop, F.lit(1), rest)), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(looped_documents(table(spark, sf_dir, "documents"))).select("doc_id", "runs", "collapsed_text")
+
+    def better(best: Column, run: Column) -> Column:
+        return F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best)
+
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), better)
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+                    F.call_function("div", 1000 * F.col("best")["length"], F.col("best")["period"]).alias("exponent_milli"),
+                    F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+                    F.sha2(F.encode("collapsed_text", "UTF-8"), 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash, op3_packing, op4_multi_index, op5_bpe_codec, op6_warc, op7_toxicity, op8_secret_scan,
-    op9_line_dedup, op10_token_counts, op11_phrases)}
+    op9_line_dedup, op10_token_counts, op11_phrases, op13_periodic_runs)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
