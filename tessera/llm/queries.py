@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import (
     bpe,
     exact_dedup,
+    language_id,
     line_dedup,
     minhash,
     multi_index,
@@ -102,6 +103,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs).withColumnRenamed("grp", "lang")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def looped_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text): of every tenth document by h = crc32(doc_id), the n words
     from a on become repeats of the first p words from a, where
@@ -135,7 +143,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash, op3_packing, op4_multi_index, op5_bpe_codec, op6_warc, op7_toxicity, op8_secret_scan,
-    op9_line_dedup, op10_token_counts, op11_phrases, op13_periodic_runs)}
+    op9_line_dedup, op10_token_counts, op11_phrases, op12_language_id, op13_periodic_runs)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
