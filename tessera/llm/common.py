@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,28 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]
             yield [t or "" for t in texts.slice(start, stop - start).to_pylist()]
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # a C library without it
+        pass
+
+
+def frees_memory(run: Callable) -> Callable:
+    """``run``, a function over the batches of a task, that gives freed memory
+    back to the system when the task ends. Workers are reused: without it each
+    keeps the peak of all stages it served."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+    return wrapped
+
+
 def with_results(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     """``df`` plus the fields ``names`` of the struct ``result``; a result
     column replaces an input column of the same name."""
@@ -124,6 +149,21 @@ def marked_if_met(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> D
             .drop(word, bit, f"{word}_of", f"{bit}_of"))
 
 
+def class_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, check, ...) without check, node made different for rows
+    whose ``check`` differs. Together they are a hash of 128 bits, of which
+    components use the 64 of node: a node met with several checks keeps the
+    smallest, and the rows of the others get a new one."""
+    clash = stage(rows.where("node IS NOT NULL").groupBy(F.col("node").alias("c_node"))
+                  .agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most").select("c_node", "least"), "clashes", slim=True)
+    if clash.isEmpty():                     # as good as always
+        drop_staged(clash)
+        return rows.drop("check")
+    other = F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(clash, F.col("node") == F.col("c_node"), "left").withColumn(
+        "node", F.when(F.col("least").isNull(), F.col("node")).otherwise(other)).drop("check", "c_node", "least")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of the undirected ``edges`` (a long, b long) as rows
     (node, component), component = the smallest node reachable. Nodes without

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_staged, stage, with_results
+from tessera.llm.common import drop_staged, frees_memory, stage, text_slices, with_results
 from tessera.llm.perfect_hash import PerfectHash
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -50,19 +50,22 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     schema = T.StructType([slim.schema["id"], slim.schema["t"],
                            T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes = [], []
-            for text in batch.column("text").to_pylist():
-                lines = (text or "").encode().split(b"\n")
-                keys = dict.fromkeys(k for k in (line_key(x, min_chars) for x in lines) if k is not None)
-                sizes.append(len(keys))
-                hashes += map(_hash, keys)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("t").take(at), pa.array(h[:, 0]), pa.array(h[:, 1])],
-                names=["id", "t", "h1", "h2"])
+            start = 0
+            for texts in text_slices(batch.column("text")):
+                sizes, hashes = [], []
+                for text in texts:
+                    keys = dict.fromkeys(k for k in (line_key(x, min_chars) for x in text.encode().split(b"\n")) if k is not None)
+                    sizes.append(len(keys))
+                    hashes += map(_hash, keys)
+                at = pa.array(start + np.repeat(np.arange(len(sizes)), sizes))
+                h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(at), batch.column("t").take(at), pa.array(h[:, 0]), pa.array(h[:, 1])],
+                    names=["id", "t", "h1", "h2"])
+                start += len(texts)
     return slim.mapInArrow(run, schema)
 
 
@@ -104,14 +107,14 @@ def probe(hashes: DataFrame, shards: DataFrame, n_shards: int, copies: DataFrame
         rows = rows.select([*names])
         if not len(arrays) or not len(rows):
             return rows.slice(0, 0)
-        a = arrays.slice(0, 1).to_pydict()
-        table = PerfectHash.load(a["sizes"][0], a["bits"][0])
+        a = {c: arrays.column(c)[0].as_py() for c in ("sizes", "bits", "fingerprints", "counts")}
+        table = PerfectHash.load(a["sizes"], a["bits"])
         h1, h2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         at = table.index(h1, h2)
         found = at >= 0
         at = np.where(found, at, 0)
-        found &= np.frombuffer(a["fingerprints"][0], dtype="<u8")[at] == h2
-        found &= np.frombuffer(a["counts"][0], dtype="<i8")[at] >= min_docs
+        found &= np.frombuffer(a["fingerprints"], dtype="<u8")[at] == h2
+        found &= np.frombuffer(a["counts"], dtype="<i8")[at] >= min_docs
         rows, at = rows.filter(pa.array(found)), at[found]
         last = arrays.column("last").combine_chunks().slice(0, 1).flatten().take(pa.array(at))
         ids = rows.column("id").combine_chunks()
@@ -152,19 +155,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop_staged(hashes, entries, shards, copies)
 
     @F.arrow_udf("struct<kept_text:string,n_lines:bigint,n_dropped:bigint>")
-    def apply(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
-        kept, total, dropped = [], [], []
-        for t, a, b in zip(text, h1, h2):
-            lines = (t.as_py() or "").encode().split(b"\n")
-            total.append(len(lines))
-            if a.is_valid:
-                raw = np.stack((a.values.to_numpy(), b.values.to_numpy()), axis=1).astype("<i8").tobytes()
-                out = {raw[i:i + 16] for i in range(0, len(raw), 16)}
-                lines = [x for x in lines if (k := line_key(x, min_chars)) is None or _hash(k) not in out]
-            dropped.append(total[-1] - len(lines))
-            kept.append(b"\n".join(lines))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()),
-                                           pa.array(dropped, pa.int64())], names=["kept_text", "n_lines", "n_dropped"])
+    @frees_memory
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, h1, h2 in batches:
+            at = 0
+            for texts in text_slices(text):
+                kept, total, dropped = [], [], []
+                for t, a, b in zip(texts, h1.slice(at), h2.slice(at)):
+                    lines = t.encode().split(b"\n")
+                    total.append(len(lines))
+                    if a.is_valid:
+                        raw = np.stack((a.values.to_numpy(), b.values.to_numpy()), axis=1).astype("<i8").tobytes()
+                        out = {raw[i:i + 16] for i in range(0, len(raw), 16)}
+                        lines = [x for x in lines if (k := line_key(x, min_chars)) is None or _hash(k) not in out]
+                    dropped.append(total[-1] - len(lines))
+                    kept.append(b"\n".join(lines))
+                at += len(texts)
+                yield pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()),
+                                                  pa.array(dropped, pa.int64())], names=["kept_text", "n_lines", "n_dropped"])
 
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("g_id")) & (F.xxhash64(text_col) == F.col("g_t"))
     joined = docs.join(gone, same, "left")

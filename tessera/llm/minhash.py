@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from math import comb
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import connected_components, drop_staged, label_rows, marked_if_met, stage, text_slices
+from tessera.llm.common import class_keys, connected_components, drop_staged, frees_memory, label_rows, marked_if_met, stage, text_slices
 from tessera.llm.perfect_hash import mix
 
 WORDS = 5
@@ -108,13 +109,20 @@ def sketch(members: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def set_key(members: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a shingle set, as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(members.tobytes()))
+
+
 def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, t, n, node, sig): t hashes the text, node the shingle set
-    (null for an empty one); sig holds coordinate-tagged values."""
+    """Rows (id, t, n, node, check, sig): t hashes the text, node and check the
+    shingle set (null for an empty one); sig holds coordinate-tagged values."""
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     schema = T.StructType([slim.schema["id"], slim.schema["t"], T.StructField("n", T.LongType()),
-                           T.StructField("node", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
+                           T.StructField("node", T.LongType()), T.StructField("check", T.LongType()),
+                           T.StructField("sig", T.ArrayType(T.LongType()))])
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -123,11 +131,11 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = shingle_sets(texts, hashes)
                 rows = iter(signatures(sets))
                 sig = [next(rows) if len(s) else None for s in sets]
-                node = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None for s in sets]
+                keys = [set_key(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, len(texts)), batch.column("t").slice(at, len(texts)),
-                     pa.array(map(len, sets), pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                    names=["id", "t", "n", "node", "sig"])
+                     pa.array(map(len, sets), pa.int64()), *(pa.array(k, pa.int64()) for k in zip(*keys)), pa.array(sig, pa.list_(pa.int64()))],
+                    names=["id", "t", "n", "node", "check", "sig"])
                 at += len(texts)
     return slim.mapInArrow(run, schema)
 
@@ -139,6 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     keyed = marked_if_met(keyed, F.col("d_t"), wanted.select("t"), "d_wanted").where("d_wanted")
     rows = keyed.join(wanted, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_t") == F.col("t"))).select("node", "text")
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -180,8 +189,8 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
 
-def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) -> DataFrame:
-    """Rows (a, b), a < b: members with the pivot of their list -- the one of
+def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b), a < b, and a table they are read from: members with the pivot of their list -- the one of
     most common values, then one by hash -- if they are in two components and
     their sketches agree."""
     weighed = lists.join(facts.select("node", "weight"), "node")
@@ -195,15 +204,16 @@ def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) ->
     near = (pairs.join(sides[0], "a").join(sides[1], "b").where(F.col("a_c") != F.col("b_c")).where(small * 100 >= large * percent)
             .select("a", "b", "a_sketch", "b_sketch"))
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = sharp_enough(_sketches(batch.column("a_sketch")), _sketches(batch.column("b_sketch")), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
-    return near.mapInArrow(run, "a long, b long")
+    return near.mapInArrow(run, "a long, b long"), pivots
 
 
-def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) -> DataFrame:
-    """Rows (a, b), a < b: all pairs of a list's members that are in two
+def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b), a < b, and a table they are read from: all pairs of a list's members that are in two
     components and share enough coordinates, each pair in the list of the
     first coordinate under which both are posted alike. Lists are cut into
     blocks; each pair of blocks is one small group, so no list meets in one
@@ -246,7 +256,7 @@ def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) ->
             sharp_enough(sharp[i[k:k + 4096]], sharp[j[k:k + 4096]], percent) for k in range(0, len(i), 4096)])
         a, b = col["node"][i[good]], col["node"][j[good]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long")
+    return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long"), sizes
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,30 +280,35 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     component's smallest id all stay. An empty table gives an empty result.
     """
     least = match_threshold(percent)
-    signed = stage(sign_documents(docs, id_col, text_col), "signed")
+    hashed = stage(sign_documents(docs, id_col, text_col), "signed")
+    signed = class_keys(hashed)
     classes = stage(signed.where("node IS NOT NULL").select("node", "n", "sig").dropDuplicates(["node"]), "classes", slim=True)
     lists, weights = postings(classes, least)
     wanted = (signed.join(weights.select("node"), "node").groupBy("node").agg(F.min(F.struct("id", "t")).alias("r"))
               .select("node", F.col("r.id").alias("id"), F.col("r.t").alias("t")))
-    sets = stage(full_sets(docs, stage(wanted, "wanted", slim=True), id_col, text_col).dropDuplicates(["node"]), "sets")
+    wanted = stage(wanted, "wanted", slim=True)
+    sets = stage(full_sets(docs, wanted, id_col, text_col).dropDuplicates(["node"]), "sets")
     known = stage(weights.join(classes, "node").join(sets.select("node", "sketch"), "node"), "facts", slim=True)
-    drop_staged(classes)
+    drop_staged(classes, wanted)
 
-    links, labels = None, None
+    links, labels, written = None, None, []
     for rank in [*range(PIVOTS), None]:
         if labels is None:
             facts = known.withColumn("component", F.col("node"))
         else:
             facts = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = pivot_pairs(lists, facts, rank, percent) if rank is not None else block_pairs(lists, facts, least, percent)
-        new = stage(confirmed(stage(pairs, "pairs", slim=True), sets, percent), "links", slim=True)
+        pairs, inner = pivot_pairs(lists, facts, rank, percent) if rank is not None else block_pairs(lists, facts, least, percent)
+        pairs = stage(pairs, "pairs", slim=True)
+        new = stage(confirmed(pairs, sets, percent), "links", slim=True)
+        drop_staged(pairs, inner)
+        written.append(new)
         if new.isEmpty():
             continue
         links = new if links is None else links.union(new)
         labels = connected_components(links)
 
     out = label_rows(signed.select("id", "t", "n", "node"), labels)
-    drop_staged(sets, known)
+    drop_staged(hashed, lists, sets, known, *written)
     return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_staged, stage, text_slices
+from tessera.llm.common import drop_staged, frees_memory, stage, text_slices
 from tessera.llm.vocab import WORD_OR_SPACE, load
 
 CAPACITY = 2048
@@ -89,6 +89,7 @@ def cut_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     piece = pa.struct(list(zip(["start", "length", "ids_crc32", "input_ids"], kinds)))
 
     @F.arrow_udf(f"struct<doc_tokens:bigint,pieces:array<struct<{fields}>>>")
+    @frees_memory
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for texts in text_slices(batch):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import UPPER, text_slices, with_results
+from tessera.llm.common import UPPER, frees_memory, text_slices, with_results
 
 KINDS = ["assign", "access", "hex", "github", "npm"]
 BASE = KINDS[:3]
@@ -131,6 +131,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     @F.arrow_udf("struct<secrets:array<struct<start:bigint,end:bigint,kind:string>>,redacted_text:string>")
+    @frees_memory
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for texts in text_slices(batch):

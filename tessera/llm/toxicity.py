@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_staged, stage, text_slices, with_results
+from tessera.llm.common import drop_staged, frees_memory, stage, text_slices, with_results
 
 SAMPLE_PER_CLASS = 3000     # labelled rows used of each class, chosen by hash: the bound of the fit
-MAX_FEATURES = 4096
+MAX_FEATURES = 4096         # the size of the model, not of the fit: the most telling features
 MIN_ROWS = 4                # sampled rows that hold a feature
 MIN_CHI2 = 20.0             # far beyond chance even for a million candidate features
 PREFIXES = (4, 5, 6)
@@ -110,7 +110,8 @@ def counterfactual(text: str, seed: int) -> tuple[set[str], set[str]]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """Rows (label, text): at most SAMPLE_PER_CLASS labelled documents of each
-    class. A document labelled more than once counts by its highest label."""
+    class. A document labelled more than once counts by its highest label; of
+    rows that repeat an id the smallest text counts."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(
         F.max(F.col(label_col).cast("int")).alias("label"))
     order = F.xxhash64(F.col("l_id").cast("string"))
@@ -120,11 +121,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         picked = part if picked is None else picked.unionByName(part)
     # two times SAMPLE_PER_CLASS ids: a bound that does not grow
     return (docs.select(F.col(id_col).alias("l_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .join(F.broadcast(picked), "l_id").dropDuplicates(["l_id"]).select("label", "text"))
+            .join(F.broadcast(picked), "l_id").groupBy("l_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
 
 
 def telling_features(sample: DataFrame) -> list[int]:
     """Features whose presence differs most between the classes."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column("label").to_pylist()
@@ -152,18 +154,22 @@ def telling_features(sample: DataFrame) -> list[int]:
 def sparse_rows(sample: DataFrame, known: dict[int, int]) -> list:
     """Per sampled document: label, its feature columns, and the columns that
     differ between a sentence and its swapped twin (only in the one / the other)."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                def columns(words: set[str]) -> set[int]:
-                    return {known[f] for f in features(words) if f in known}
-                a, b = counterfactual(text, xxhash.xxh32_intdigest(text))
-                one, two = columns(a - b), columns(b - a)
-                rest = columns(a & b)
-                rows.append({"y": y, "x": sorted(columns(words_of(text))), "one": sorted(one - two - rest), "two": sorted(two - one - rest)})
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("y", pa.int32()), ("x", kind), ("one", kind), ("two", kind)]))
+            label, at = batch.column("label").to_pylist(), 0
+            for texts in text_slices(batch.column("text")):
+                rows = []
+                for text, y in zip(texts, label[at:]):
+                    def columns(words: set[str]) -> set[int]:
+                        return {known[f] for f in features(words) if f in known}
+                    a, b = counterfactual(text, xxhash.xxh32_intdigest(text))
+                    one, two = columns(a - b), columns(b - a)
+                    rest = columns(a & b)
+                    rows.append({"y": y, "x": sorted(columns(words_of(text))), "one": sorted(one - two - rest), "two": sorted(two - one - rest)})
+                at += len(texts)
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("y", pa.int32()), ("x", kind), ("one", kind), ("two", kind)]))
     return sample.mapInArrow(run, "y int, x array<int>, one array<int>, two array<int>").collect()
 
 
@@ -223,6 +229,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
     columns of those names; an empty table gives an empty result.
     """
     @F.arrow_udf("struct<score:double,predicted:int>")
+    @frees_memory
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
