@@ -2,8 +2,8 @@
 
 The kernel of two texts is the blended spectrum of presences: how many letter
 n-grams of 1 to 4 letters both hold, over the root of the product of how many
-each holds. N-grams are taken from words between blanks, so "_w" and "d_" mark
-their ends. A bounded, balanced sample of labelled rows is learnt from: some of
+each holds. N-grams lie within words; a blank before and after a word counts as
+a letter of it. A bounded, balanced sample of labelled rows is learnt from: some of
 its texts are the landmarks of a Nyström approximation, and kernel ridge
 regressions, one language against the rest, are solved in their span.
 
@@ -15,14 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_staged, first_per_group, stage, with_results
-from tessera.llm.words import array_slices, split_words
+from tessera.llm.common import drop_staged, first_per_group, frees_memory, stage, with_results
+from tessera.llm.words import array_slices
 
 # The bounds of the fit: labelled rows of a language, chosen by hash, and rows of
 # all languages together (beyond SAMPLE_ROWS / SAMPLE_PER_LANGUAGE languages,
@@ -33,73 +34,85 @@ SAMPLE_ROWS = 12_000
 # kernel counts, those of most sampled texts.
 LANDMARKS_PER_LANGUAGE = 64
 LANDMARKS = 512
-GRAMS = 8192
+GRAMS = 6000
 SIZES = (1, 2, 3, 4)
 RIDGE = 1e-3
 BATCH = 256             # texts scored by one product
-CACHE_WORDS = 200_000
-CACHE_BYTES = 64
 UNKNOWN = "und"
 
 
-def letter_words(token: str) -> list[str]:
-    """The runs of letters of a token, in lower case."""
-    if token.isascii() and token.isalpha():
-        return [token.lower()]
-    return "".join(c if c.isalpha() else " " for c in token.lower()).split()
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """By code point: the letter in lower case, 0 for all that is no letter.
+    Letters outside the basic plane count as one and the same letter, 1."""
+    out = np.zeros(0x110000, dtype=np.uint64)
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            low = ord(chr(c).lower()[0])
+            out[c] = low if low < 0x10000 else 1
+    return out
 
 
-def grams_of(token: str) -> set[str]:
-    """The n-grams of a token's words; none if it has no letter."""
-    found = set()
-    for word in letter_words(token):
-        padded = f"_{word}_"
-        for n in SIZES:
-            found.update(padded[i:i + n] for i in range(len(padded) - n + 1))
-    return found - {"_"}
+def letter_sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of the texts with one 0 before, between and after them, and the
+    number of each letter's text (a 0 goes with the word before it)."""
+    joined = "\n".join(texts) + "\n"
+    x = letters()[np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")]
+    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    keep = x > 0
+    keep[1:] |= keep[:-1] & ~keep[1:]
+    return np.concatenate((np.zeros(1, dtype=np.uint64), x[keep])), np.concatenate((np.zeros(1, dtype=np.int64), text[keep]))
+
+
+def grams_at(x: np.ndarray, n: int) -> np.ndarray:
+    """The n-gram that ends at each place from n - 1 on, 16 bits a letter."""
+    out = x[:len(x) - n + 1].copy()
+    for k in range(1, n):
+        out = out << np.uint64(16) | x[k:len(x) - n + 1 + k]
+    return out
+
+
+def inside_word(grams: np.ndarray, n: int) -> np.ndarray:
+    """N-grams of one word: some letter, and no blank but at the ends."""
+    good = grams > 0 if n < 3 else np.ones(len(grams), dtype=bool)
+    for k in range(1, n - 1):
+        good &= (grams >> np.uint64(16 * k)) & np.uint64(0xFFFF) > 0
+    return good
 
 
 class Presence:
-    """Which n-grams of a fixed list the texts hold."""
-
-    def __init__(self, grams: list[str]):
-        self.known = {g: i for i, g in enumerate(grams)}
-        self.cache: dict[str, np.ndarray] = {}
-
-    def indices(self, token: str) -> np.ndarray:
-        """Places of the token's n-grams; -1 stands for a letter as such."""
-        held = self.cache.get(token)
-        if held is None:
-            found = grams_of(token)
-            held = np.array(([-1] if found else []) + sorted(self.known[g] for g in found if g in self.known), dtype=np.int64)
-            if len(token) <= CACHE_BYTES:
-                self.cache[token] = held
-        return held
+    """Which n-grams of a fixed list (n, gram), sorted, the texts hold."""
+
+    def __init__(self, grams: list[tuple[int, int]]):
+        self.size = len(grams)
+        self.known = {n: np.array([g for m, g in grams if m == n], dtype=np.uint64) for n in SIZES}
+        self.first = {n: sum(m < n for m, _ in grams) for n in SIZES}
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Presence matrix and whether there is any letter, BATCH texts at a time."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found = split_words(texts)
-        code, words = found.codes()
-        pairs = np.unique(found.text * np.int64(len(words) + 1) + code)
-        text, code = np.divmod(pairs, np.int64(len(words) + 1))
-        lists = [self.indices(w) for w in words.to_pylist()]
-        size = np.array([len(x) for x in lists], dtype=np.int64)
-        flat, first = np.concatenate([*lists, np.zeros(0, dtype=np.int64)]), np.cumsum(size) - size
         for start in range(0, len(texts), BATCH):
-            stop = min(start + BATCH, len(texts))
-            low, high = np.searchsorted(text, (start, stop))
-            c, n = code[low:high], size[code[low:high]]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[c], n)
-            held = np.zeros((stop - start, len(self.known) + 1), dtype=np.float32)
-            held[np.repeat(text[low:high] - start, n), flat[at]] = 1        # -1 is the last column
-            yield held[:, :-1], held[:, -1] > 0
+            part = [t or "" for t in texts.slice(start, BATCH).to_pylist()]
+            x, text = letter_sequence(part)
+            held, some = np.zeros((len(part), self.size), dtype=np.float32), np.zeros(len(part), dtype=bool)
+            some[text[x > 0]] = True
+            for n in SIZES:
+                known = self.known[n]
+                if len(known) and len(x) >= n:
+                    grams = grams_at(x, n)
+                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    hit = np.flatnonzero(known[at] == grams)
+                    held[text[hit + n - 1], self.first[n] + at[hit]] = 1
+            yield held, some
+
+
+def norms(held: np.ndarray) -> np.ndarray:
+    """The root of the number of n-grams of each row."""
+    return np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
 
 
 def normed(held: np.ndarray) -> np.ndarray:
-    """Rows divided by the root of their number of n-grams: products are kernels."""
-    return held / np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
+    """Rows divided by their norms: products are kernels."""
+    return held / norms(held)
 
 
 @dataclass
@@ -108,13 +121,13 @@ class Model:
     weights of the margins (landmarks x languages) and their constants."""
 
     languages: list[str]
-    grams: list[str]
+    grams: list[tuple[int, int]]
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
 
     def margins(self, held: np.ndarray) -> np.ndarray:
-        return (normed(held) @ self.landmarks) @ self.weights + self.bias
+        return (held @ self.landmarks / norms(held)) @ self.weights + self.bias
 
 
 def labelled_sample(docs: DataFrame, label_col: str, text_col: str) -> DataFrame:
@@ -131,24 +144,30 @@ def labelled_sample(docs: DataFrame, label_col: str, text_col: str) -> DataFrame
     return met.where(order[1] == F.col("sha")).dropDuplicates(["label", "sha"]).select("label", "text", "place", "sha")
 
 
-def frequent_grams(sample: DataFrame) -> list[str]:
-    """The GRAMS n-grams that most sampled texts hold, at least two."""
+def frequent_grams(sample: DataFrame) -> list[tuple[int, int]]:
+    """The GRAMS n-grams (n, gram) that most sampled texts hold, at least two."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in array_slices(batch.column("text")):
-                counts: dict[str, int] = {}
+                found: dict[int, list[np.ndarray]] = {n: [] for n in SIZES}
                 for text in texts.to_pylist():
-                    grams = set().union(*(grams_of(t) for t in set(text.split())))
-                    for g in grams:
-                        counts[g] = counts.get(g, 0) + 1
-                yield pa.RecordBatch.from_pydict({"gram": list(counts), "n": list(counts.values())},
-                                                 schema=pa.schema([("gram", pa.string()), ("n", pa.int64())]))
-    counted = sample.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    return sorted(r.gram for r in counted.orderBy(F.desc("n"), "gram").limit(GRAMS).collect())
-
-
-def landmark_rows(sample: DataFrame, grams: list[str]) -> np.ndarray:
+                    x, _ = letter_sequence([text])
+                    for n in SIZES:
+                        if len(x) >= n:
+                            grams = np.unique(grams_at(x, n))
+                            found[n].append(grams[inside_word(grams, n)])
+                for n, lists in found.items():
+                    grams, count = np.unique(np.concatenate([*lists, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n, dtype=np.int32)), pa.array(grams.view(np.int64)), pa.array(count)],
+                                                     names=["size", "gram", "n"])
+    counted = sample.select("text").mapInArrow(run, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    return sorted((r.size, r.gram % 2**64) for r in counted.orderBy(F.desc("n"), "size", "gram").limit(GRAMS).collect())
+
+
+def landmark_rows(sample: DataFrame, grams: list[tuple[int, int]]) -> np.ndarray:
     """The presences (n-grams x landmarks) of the first texts of each language."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(grams)
         for batch in batches:
@@ -165,8 +184,9 @@ def landmark_rows(sample: DataFrame, grams: list[str]) -> np.ndarray:
     return normed(held).T
 
 
-def kernel_rows(sample: DataFrame, grams: list[str], landmarks: np.ndarray) -> list:
+def kernel_rows(sample: DataFrame, grams: list[tuple[int, int]], landmarks: np.ndarray) -> list:
     """(label, k): the kernels of each sampled text with the landmarks."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(grams)
         for batch in batches:
@@ -176,7 +196,7 @@ def kernel_rows(sample: DataFrame, grams: list[str], landmarks: np.ndarray) -> l
     return sorted(sample.mapInArrow(run, "label string, k array<float>").collect(), key=lambda r: (r.label, r.k))
 
 
-def solve(rows: list, grams: list[str], landmarks: np.ndarray) -> Model:
+def solve(rows: list, grams: list[tuple[int, int]], landmarks: np.ndarray) -> Model:
     """Ridge regressions, one language against the rest, in the features
     k(x, landmarks) K^-1/2 whose products approximate the kernel. The constant is
     not punished."""
@@ -214,6 +234,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     table gives an empty result.
     """
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @frees_memory
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         presence = Presence(model.grams) if model else None
         names = np.array([*(model.languages if model else []), UNKNOWN], dtype=object)

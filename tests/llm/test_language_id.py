@@ -12,11 +12,14 @@ from tests.llm.oddities import empty, frame, rows
 
 
 def grams(text):
+    """(n, letters as numbers of 16 bits) of a text, letter by letter."""
     out = set()
-    for token in text.split():
-        for w in "".join(c if c.isalpha() else " " for c in token.lower()).split():
-            out |= {f"_{w}_"[i:i + n] for n in L.SIZES for i in range(len(w) + 3 - n)}
-    return out - {"_"}
+    for w in "".join(c.lower()[0] if c.isalpha() else " " for c in text).split():
+        codes = [0, *(ord(c) if ord(c) < 65536 else 1 for c in w), 0]
+        for n in L.SIZES:
+            for i in range(len(codes) - n + 1):
+                out.add((n, sum(c << 16 * (n - 1 - k) for k, c in enumerate(codes[i:i + n]))))
+    return {(n, g) for n, g in out if g}
 
 
 @pytest.fixture(scope="module")
@@ -38,14 +41,22 @@ def test_margins_equal_the_plain_kernel(learnt):
     docs, model = learnt
     known = set(model.grams)
     landmarks = [{model.grams[i] for i in np.flatnonzero(c)} for c in model.landmarks.T]
-    texts = [r.text for r in docs.where("doc_id < 30").collect()] + ["Grüße, ÉTÉ 12", "x"]
+    texts = [r.text for r in docs.where("doc_id < 30").collect()] + ["Grüße, ÉTÉ 12", "x", "", None, "𝔄b 𐐀 İx 12 ½ ǅ"]
     got = np.concatenate([model.margins(held) for held, _ in L.Presence(model.grams).batches(pa.array(texts))])
     for text, margins in zip(texts, got):
-        own = grams(text) & known
+        own = grams(text or "") & known
         k = np.array([len(own & z) / np.sqrt(max(len(own), 1) * max(len(z), 1)) for z in landmarks])
         assert np.allclose(k @ model.weights + model.bias, margins, atol=1e-3)
 
 
+def test_presence_of_every_gram():
+    texts = ["Ab c", "𝔄b 𐐀x İx", None, "12", "c-c ab", "", "a" * 5000]
+    every = sorted(set().union(*(grams(t or "") for t in texts)))
+    parts = [(held, some) for held, some in L.Presence(every).batches(pa.array(texts))]
+    for text, row, some in zip(texts, parts[0][0], parts[0][1]):
+        assert {every[i] for i in np.flatnonzero(row)} == grams(text or "") and some == bool(grams(text or ""))
+
+
 def test_ridge_is_the_minimum():
     rng = np.random.default_rng(1)
     marks = L.normed((rng.random((6, 40)) < 0.4).astype(np.float32)).T
@@ -54,7 +65,7 @@ def test_ridge_is_the_minimum():
         def __init__(self, label, k):
             self.label, self.k = label, k
     data = [Row("ab"[i % 2], (L.normed((rng.random((1, 40)) < 0.4).astype(np.float32)) @ marks)[0]) for i in range(60)]
-    model = L.solve(data, [str(i) for i in range(40)], marks)
+    model = L.solve(data, [(1, i) for i in range(40)], marks)
     k = np.array([r.k for r in data], dtype=np.float64)
     y = np.array([1.0 if r.label == "a" else -1.0 for r in data])
     gram = (marks.T @ marks).astype(np.float64)
