@@ -5,10 +5,11 @@
 3. Of the surviving (length, prefix) groups, read the full content and group by
    its SHA-256.
 
-Only counts per key cross the first two shuffles (partial aggregation), and
-only full hashes of survivors the third. Each step's keys are a written table,
-so Spark knows its size: small ones are broadcast, others joined by a shuffle
-whose hot keys the adaptive skew join splits.
+No text is ever shuffled: counts per key cross the first two shuffles (partial
+aggregation), and (length, prefix, full hash) of rows that may survive the
+others. Those rows are known where they are by a bitmap of the surviving keys,
+whose size is bounded; what it lets through in error is taken out by a join of
+the slim rows, whose hot keys the adaptive skew join splits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, stage
+from tessera.llm.common import ascii_lower, drop_staged, marked_if_met, stage
 
 PREFIX_CHARS = 128
 
@@ -38,12 +39,17 @@ def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("len"))
     lengths = stage(rows.groupBy("len").count().where("count > 1").select("len"), "lengths", slim=True)
     prefix = F.xxhash64(normalised(F.substring("text", 1, PREFIX_CHARS)))
-    keyed = rows.join(lengths, "len", "left_semi").withColumn("prefix", prefix)
+    shared = marked_if_met(rows, F.col("len").cast("long"), lengths.select(F.col("len").cast("long")), "met").where("met").drop("met")
+    keyed = shared.select("len", prefix.alias("prefix"))
     prefixes = stage(keyed.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix"), "prefixes", slim=True)
-    full = (rows.withColumn("prefix", prefix).join(prefixes, ["len", "prefix"], "left_semi")
-            .select("id", digest(F.col("text")).alias("text_sha256")))
-    return stage(full.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-                 .where("group_size > 1"), "copies", slim=True)
+    start = F.xxhash64("len", "prefix")
+    alike = marked_if_met(rows.withColumn("prefix", prefix), start, prefixes.select(start), "met").where("met")
+    full = (alike.select("id", "len", "prefix", digest(F.col("text")).alias("text_sha256"))
+            .join(prefixes, ["len", "prefix"], "left_semi"))
+    copies = stage(full.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+                   .where("group_size > 1"), "copies", slim=True)
+    drop_staged(lengths, prefixes)
+    return copies
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
