@@ -8,6 +8,9 @@ cutoff. The cutoff is set so that, for pairs right at the cosine limit, the
 partner's cell is visited with the target recall; closer pairs are found more
 surely. Members of visited cells are verified by their cosine.
 
+Vectors of each length have a grid of their own; those of a length with at most
+one block of distinct vectors are compared directly.
+
 Cells are cut into blocks, and so are the queries that visit them: a dense
 cell is many small matrix products. Such a block returns the number of links
 of each query and edges that span its linked vectors, never all pairs. Visits
@@ -17,6 +20,7 @@ counts the link for the member too, so that both ends count each found link.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import connected_components, drop_staged, label_rows, stage
+from tessera.llm.common import class_keys, connected_components, drop_staged, label_rows, stage
 
 SAMPLE = 8192           # vectors the codebooks and the cutoff are fitted on
 MAX_CODES = 256         # codewords of a half: 32 sampled vectors each at least
@@ -144,20 +148,24 @@ def span(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vector_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows (id, vec, node): node hashes a usable vector's values, else null."""
+    """Rows (id, vec, node, check, width): node and check hash a usable vector's
+    values, else null."""
     slim = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    schema = T.StructType([slim.schema["id"], T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("node", T.LongType())])
+    schema = T.StructType([slim.schema["id"], T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("node", T.LongType()),
+                           T.StructField("check", T.LongType()), T.StructField("width", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, vecs = [], []
+            keys, vecs = [], []
             for v in batch.column("vec"):
                 x = np.array(v.as_py() if v.is_valid else [], dtype=np.float64) + 0.0      # None is nan; -0.0 is 0.0
                 good = len(x) > 0 and np.isfinite(x).all() and x.any()
-                nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())))) if good else None)
+                keys.append((*struct.unpack("<qq", xxhash.xxh3_128_digest(x.tobytes())), len(x)) if good else (None, None, None))
                 vecs.append(x if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vecs, pa.list_(pa.float64())), pa.array(nodes, pa.int64())],
-                                             names=["id", "vec", "node"])
+            node, check, width = zip(*keys) if keys else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(vecs, pa.list_(pa.float64())), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
+                 pa.array(width, pa.int32())], names=["id", "vec", "node", "check", "width"])
     return slim.mapInArrow(run, schema)
 
 
@@ -167,33 +175,49 @@ def fit(classes: DataFrame, n_vectors: int, cosine: float) -> Grid:
     return Grid(np.array([r.vec for r in rows], dtype=np.float64), n_vectors, cosine)
 
 
-def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFrame:
-    """Rows (a, b, links): links of vector a in one block, or an edge (a, b)."""
+def search(classes: DataFrame, grids: dict[int, Grid], cosine: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (a, b, links): links of vector a in one block, or an edge (a, b);
+    and the tables they are read from. Vectors of a length without a grid are
+    all in one cell of one block."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(as_matrix(batch.column("vec"), width)) if len(batch) else np.zeros((0, width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(grid.cells(x), pa.int64()), pa.array(grid.visits(x), pa.list_(pa.int64()))],
-                names=["node", "cell", "visits"])
-    placed = stage(classes.select("node", "vec").mapInArrow(place, "node long, cell long, visits array<long>"), "cells")
-    visits = placed.select("node", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
-    # at most MAX_CODES ** 2 rows each
-    members = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("m_blocks"))
-    queries = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("q_blocks"))
-    blocks = F.broadcast(stage(members.join(queries, "cell"), "blocks", slim=True))
+            width = batch.column("width").to_numpy(zero_copy_only=False)
+            for w in np.unique(width).tolist():
+                part = batch.filter(pa.array(width == w))
+                if w in grids:
+                    x = unit(as_matrix(part.column("vec"), w))
+                    cells, visits = grids[w].cells(x), grids[w].visits(x)
+                else:
+                    cells, visits = np.zeros(len(part), dtype=np.int64), [[0]] * len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), part.column("width"), pa.array(cells, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
+                    names=["node", "width", "cell", "visits"])
+    placed = stage(classes.select("node", "vec", "width").mapInArrow(place, "node long, width int, cell long, visits array<long>"), "cells")
+    visits = placed.select("node", "width", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+    gridded = F.col("width").isin(list(grids))
+    # at most MAX_CODES ** 2 rows each and grid
+    members = placed.where(gridded).groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("m_blocks"))
+    queries = visits.where(gridded).groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("q_blocks"))
+    sizes = stage(members.join(queries, ["width", "cell"]), "blocks", slim=True)
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        one = F.lit(1).cast("long")
+        met = rows.join(F.broadcast(sizes), ["width", "cell"], "left").where(~gridded | F.col("m_blocks").isNotNull())
+        return met.withColumn("m_blocks", F.coalesce("m_blocks", one)).withColumn("q_blocks", F.coalesce("q_blocks", one))
     whole = classes.select("node", "vec", "weight")
     spread = F.xxhash64("node")
 
     def one_to(n: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    asked = (visits.join(blocks, "cell").withColumn("q", F.pmod(spread, "q_blocks")).withColumn("m", one_to("m_blocks")))
-    held = (placed.select("node", "cell").join(blocks, "cell").withColumn("m", F.pmod(spread, "m_blocks")).withColumn("q", one_to("q_blocks")))
-    sent = (asked.select("node", "home", "cell", "m", "q", F.lit(True).alias("query"))
-            .unionByName(held.select("node", F.col("cell").alias("home"), "cell", "m", "q", F.lit(False).alias("query"))).join(whole, "node"))
+    asked = (in_blocks(visits).withColumn("q", F.pmod(spread, "q_blocks")).withColumn("m", one_to("m_blocks")))
+    held = (in_blocks(placed.select("node", "width", "cell")).withColumn("m", F.pmod(spread, "m_blocks")).withColumn("q", one_to("q_blocks")))
+    sent = (asked.select("node", "home", "width", "cell", "m", "q", F.lit(True).alias("query"))
+            .unionByName(held.select("node", F.col("cell").alias("home"), "width", "cell", "m", "q", F.lit(False).alias("query"))).join(whole, "node"))
 
     def verify(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
+        width = rows.column("width")[0].as_py()
         node, weight = rows.column("node").to_numpy(), rows.column("weight").to_numpy()
         x = unit(as_matrix(rows.column("vec").combine_chunks(), width))
         query, home = rows.column("query").to_numpy(), rows.column("home").to_numpy()
@@ -212,7 +236,7 @@ def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFra
         back = np.zeros(len(m), dtype=count.dtype)
         if len(i):
             cells, at = np.unique(home[q[i]], return_inverse=True)
-            met = grid.visited(x[m[j]], cell, cells)[:, at]
+            met = grids[width].visited(x[m[j]], cell, cells)[:, at]
             back[j] = (lone[np.ix_(i, j)].T & ~met) @ weight[q[i]]
         count = np.concatenate((count, back))
         counted = np.concatenate((node[q], node[m]))
@@ -228,7 +252,7 @@ def search(classes: DataFrame, grid: Grid, width: int, cosine: float) -> DataFra
             "b": pa.array(np.concatenate((np.zeros(int(some.sum()), dtype=np.int64), roots[real])),
                           mask=np.concatenate((np.ones(int(some.sum()), dtype=bool), np.zeros(n_edges, dtype=bool)))),
             "links": np.concatenate((count[some], np.zeros(n_edges, dtype=count.dtype))).astype(np.int64)})
-    return sent.groupBy("cell", "m", "q").applyInArrow(verify, "a long, b long, links long")
+    return sent.groupBy("width", "cell", "m", "q").applyInArrow(verify, "a long, b long, links long"), [placed, sizes]
 
 
 def near_dup_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -237,31 +261,29 @@ def near_dup_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
 
     Two vectors are linked when their cosine, in double precision, is at least
     ``cosine``. Vectors that are null, empty or zero, or hold null or
-    non-finite values, link with nothing, nor do vectors of another length than
-    the most frequent one (ties: the longest). Equal vectors are linked.
+    non-finite values, link with nothing; vectors of different lengths are not
+    linked. Equal vectors are linked. Lengths with more than BLOCK distinct
+    vectors, each of which is fitted on the driver in turn, should be few.
     n_links counts the other rows linked directly. component_id is the smallest
     id reachable; rows with that id stay. A null id is larger than any other;
     a component of null ids only has a null component_id and all its rows stay.
     Rows that repeat an id are vectors of their own. An empty table gives an
     empty result.
     """
-    spark = vectors.sparkSession
-    rows = stage(vector_rows(vectors, id_col, vec_col), "vectors")
-    lengths = rows.where("node IS NOT NULL").groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if lengths is None:
-        return label_rows(rows.select("id", "node"), None).select(
-            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), "component_id", "kept")
-    width = lengths.width
-    usable = F.col("node").isNotNull() & (F.size("vec") == width)
-    classes = stage(rows.where(usable).groupBy("node").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight")), "classes")
-    grid = fit(classes, classes.count(), cosine)
-    found = stage(search(classes, grid, width, cosine), "found", slim=True)
+    hashed = stage(vector_rows(vectors, id_col, vec_col), "vectors")
+    rows = class_keys(hashed)
+    classes = stage(rows.where("node IS NOT NULL").groupBy("node", "width").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight")), "classes")
+    lengths = classes.groupBy("width").count().where(F.col("count") > BLOCK).orderBy("width").collect()
+    grids = {r.width: fit(classes.where(F.col("width") == r.width), r["count"], cosine) for r in lengths}
+    links, inner = search(classes, grids, cosine)
+    found = stage(links, "found", slim=True)
+    drop_staged(*inner)
     edges = found.where("b IS NOT NULL").select("a", "b").distinct()
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     facts = stage(classes.select("node", "weight").join(counts, F.col("node") == F.col("a"), "left")
                   .select(F.col("node").alias("f_node"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
                   "facts", slim=True)
-    labelled = label_rows(rows.select("id", F.when(usable, F.col("node")).alias("node")), connected_components(edges))
-    drop_staged(rows, classes, found)
+    labelled = label_rows(rows.select("id", "node"), connected_components(edges))
+    drop_staged(hashed, classes, found)
     return labelled.join(facts, F.col("node") == F.col("f_node"), "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", "kept")

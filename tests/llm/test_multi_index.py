@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import multi_index, queries
+from tessera.llm.common import class_keys
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                        T.StructField("label", T.IntegerType())])
@@ -12,11 +13,13 @@ SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("emb
 
 def brute(data, cosine=0.95):
     """{row number: (linked row numbers)} and components by smallest id."""
-    good = [v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float)) for _, v in data]
-    x = np.array([v if g else [0.0] * 8 for (_, v), g in zip(data, good)], dtype=np.float32).astype(float)
-    norm = np.linalg.norm(x, axis=1)
-    c = (x @ x.T) / np.maximum(np.outer(norm, norm), 1e-300)
-    links = (c >= cosine - 1e-12) & np.outer(good, good)
+    good = [v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float)) for _, v in data]
+    links = np.zeros((len(data), len(data)), dtype=bool)
+    for width in {len(v) for (_, v), g in zip(data, good) if g}:
+        at = np.array([i for i, ((_, v), g) in enumerate(zip(data, good)) if g and len(v) == width])
+        x = np.array([data[i][1] for i in at], dtype=np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links[np.ix_(at, at)] = x @ x.T >= cosine - 1e-12
     np.fill_diagonal(links, False)
     root = list(range(len(data)))
 
@@ -47,6 +50,7 @@ def vectors():
     same = [1.0] + [0.0] * 7
     data += [(None, same), (9000, same), (9000, same), (9001, [-0.0, *same[1:]]), (9002, None), (9003, []), (9004, [0.0] * 8),
              (9005, [float("nan")] * 8), (9006, [None] + same[1:]), (9007, [float("inf")] + same[1:]), (9008, [1.0, 2.0]), (9009, [1.0, 2.0]),
+             (9010, [2.0, 4.0]), (9011, [1.0, 2.0, 0.0]), (9012, [1.0]), (9013, [3.0]), (9014, [-3.0]),
              (None, [0.0] * 7 + [1.0])]
     return data
 
@@ -101,6 +105,33 @@ def test_both_ends_count_a_found_link(spark, monkeypatch):
         assert (got[2 * i].n_links, got[2 * i + 1].n_links) == (i % 2 + linked, (1 + i % 2) * linked)
 
 
+def test_several_lengths_with_grids(spark):
+    """Two lengths of many vectors, thousands of lengths of one pair each."""
+    rng = np.random.default_rng(9)
+    data = []
+    for width in (6, 24):
+        base = rng.normal(size=(500, width))
+        for v in (*base, *(base[:200] * 3), *(base[:100] + rng.normal(size=(100, width)) * 1e-3)):
+            data.append((len(data), v.tolist()))
+    for width in range(40, 90):
+        v = rng.normal(size=width)
+        data += [(len(data), v.tolist()), (len(data) + 1, (2 * v).tolist())]
+    got, want = result(multi_index.near_dup_vectors(frame(spark, data))), brute(data)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
+    short = {i for i, v in data if len(v) >= 40}
+    assert [g for g in got if g[0] in short] == [w for w in want if w[0] in short]
+
+
+def test_class_keys_part_equal_hashes(spark):
+    rows = [(1, 5, 7), (2, 5, 7), (3, 5, 8), (4, 5, 9), (5, 5, 9), (6, 6, 7), (7, None, None)]
+    got = {r.id: r.node for r in class_keys(spark.createDataFrame(rows, "id int, node long, check long")).collect()}
+    assert got[1] == got[2] == 5 and got[4] == got[5] and got[6] == 6 and got[7] is None
+    assert len({got[1], got[3], got[4]}) == 3
+    same = class_keys(spark.createDataFrame(rows[:2], "id int, node long, check long")).collect()
+    assert [r.node for r in same] == [5, 5]
+
+
 def test_empty_and_unusable_tables(spark):
     assert multi_index.near_dup_vectors(frame(spark, [])).collect() == []
     data = [(1, None), (2, [0.0] * 8)]
