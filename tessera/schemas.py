@@ -105,12 +105,21 @@ EVIDENCE_SCHEMA = StructType([
     _s("execution_date", DateType()),
 ])
 
-# evidence before classification (no flag yet)
+# START and END of a table's validation within an execution
+EVENTS_SCHEMA = StructType([
+    _s("execution_id", S, False),
+    _s("table_id", S, False),
+    _s("event", S, False),                # START | END
+    _s("event_timestamp", TimestampType()),
+    _s("status", S),                      # of the END: SKIPPED | SUCCESS | FAILED | ERROR
+    _s("execution_date", DateType()),
+])
 
 LEDGER_SCHEMAS = {
     "dq_execution_traceability": EXECUTIONS_SCHEMA,
     "dq_validations_traceability": RESULTS_SCHEMA,
     "dq_evidences": EVIDENCE_SCHEMA,
+    "dq_execution_events": EVENTS_SCHEMA,
 }
 
 CONFIG_SCHEMAS = {

@@ -35,6 +35,17 @@ class TableResolver:
     def _path(self, name: str) -> str:
         return f"{self.parquet_dir.rstrip('/')}/{name}.parquet"
 
+    def drop(self, name: str) -> None:
+        """Remove a table of the folder or of the session catalog; registered
+        DataFrames are the caller's."""
+        if name in self.frames:
+            return
+        if self.parquet_dir and path_exists(self.spark, self._path(name)):
+            hpath = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+            hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
+        elif self.spark.catalog.tableExists(name):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def __call__(self, name: str) -> DataFrame:
         if name in self.frames:
             return self.frames[name]
