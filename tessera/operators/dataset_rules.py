@@ -8,12 +8,15 @@ Scale notes:
 * joins are semi/anti joins so no row is multiplied; a side that is not an
   aggregate is left a plain exchange, which the adaptive skew join can split;
 * where a side is an aggregate, the heaviest keys are salted (is_unique);
+* a reference too large to broadcast is met through a bounded sketch of its keys
+  and the distinct keys that pass it, so checked rows are not shuffled;
 * NULL keys are dropped before shuffling (they can never fail a key rule and
   would otherwise form one hot group);
 * whether a pre-aggregated side is broadcast is left to AQE, which decides
   from the measured size at run time;
-* aggregate rules use a scalar subquery (computed once, then a literal), so
-  there is no cross join and no single-task window.
+* aggregate rules are expressions of one common aggregate (``broken_aggregate``)
+  or, where they cannot be, use a scalar subquery (computed once, then a
+  literal), so there is no cross join and no single-task window.
 """
 
 from __future__ import annotations
@@ -24,8 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
+    DataType,
     DateType,
+    DecimalType,
+    IntegralType,
+    LongType,
     NumericType,
+    StringType,
     StructType,
     TimestampNTZType,
     TimestampType,
@@ -33,6 +41,7 @@ from pyspark.sql.types import (
 
 from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext, operand
+from tessera.operators.sketch import marked_if_met
 
 
 def _list(params: dict, key: str) -> list[str]:
@@ -65,16 +74,22 @@ HEAVY_KEYS = 1000
 
 def _spread_semi(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
     """Semi join of ``rows`` with ``counted`` (keys, _n), whose rows are one
-    per key. The HEAVY_KEYS most frequent keys -- a fixed bound, broadcast --
-    are repeated per salt and their rows dealt over the salts, so a key of a
-    large share of the rows is not one task's work."""
+    per key. The HEAVY_KEYS most frequent keys are repeated per salt and their
+    rows dealt over the salts, so a key of a large share of the rows is not one
+    task's work. They are known by a 64-bit hash -- a fixed bound in bytes,
+    broadcast -- and chosen by count and hash; a row's salt follows from its own
+    values. Both are the same however often and in which order rows are read."""
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = counted.orderBy(F.desc("_n")).limit(HEAVY_KEYS).select(*keys, F.lit(salts).alias("_salts"))
-    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
-    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", own).drop("_salts")
-    spread = (counted.select(*keys).join(F.broadcast(heavy), keys, "left")
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    return dealt.join(spread, [*keys, "_salt"], "left_semi").drop("_salt")
+    key = F.xxhash64(*[F.col(k) for k in keys])
+    heavy = (counted.select(key.alias("_heavy"), "_n").orderBy(F.desc("_n"), "_heavy").limit(HEAVY_KEYS)
+             .groupBy("_heavy").agg(F.lit(salts).alias("_salts")))
+    values = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    own = F.pmod(F.xxhash64(*values), F.coalesce("_salts", F.lit(1))).cast("int")
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        return (df.withColumn("_heavy", key).join(F.broadcast(heavy), "_heavy", "left").withColumn("_salt", salt).drop("_salts", "_heavy"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    return salted(rows, own).join(salted(counted.select(*keys), every), [*keys, "_salt"], "left_semi").drop("_salt")
 
 
 def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
@@ -144,13 +159,24 @@ _AGG_COMPARE = {
 }
 
 
-def _aggregate_expr(params: dict) -> Column:
+def _aggregate_expr(params: dict, perimeter: Column | None = None) -> Column:
+    """The rule's aggregate, of the rows inside ``perimeter`` if one is given:
+    all aggregates skip NULLs, so rows outside count as NULL."""
     column = params.get("column")
     aggr = str(params.get("aggr_type") or "count").strip().lower()
     if aggr not in AGGREGATES:
         raise ValueError(f"unknown aggr_type '{aggr}'")
     target = F.lit(1) if column in (None, "", "*") else F.col(column)
-    return AGGREGATES[aggr](target).alias("aggregate")
+    return AGGREGATES[aggr](target if perimeter is None else F.when(perimeter, target)).alias("aggregate")
+
+
+def broken_aggregate(name: str, params: dict, ctx: RuleContext, perimeter: Column | None) -> Column | None:
+    """Whether an aggregate rule is broken, to be computed in an aggregate with
+    others; None for other rules and for exact distinct counts."""
+    if name not in _AGG_COMPARE or "limit" not in params or str(params.get("aggr_type")).strip().lower() == "count_distinct":
+        return None
+    limit = operand(params["limit"], literal=name in ctx.literal_rules)
+    return F.coalesce(_AGG_COMPARE[name](_aggregate_expr(params, perimeter), limit), F.lit(False))
 
 
 def aggregate_value(df: DataFrame, params: dict) -> Column:
@@ -194,14 +220,48 @@ def _reference(params: dict, ctx: RuleContext, rule: str) -> tuple[list[str], li
 
 
 def foreign_key(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
-    """Rows whose key is absent from the reference table; NULL keys pass."""
+    """Rows whose key is absent from the reference table; NULL keys pass.
+
+    A reference small enough to broadcast takes a plain anti join. Of a larger
+    one, a bounded bitmap of the key hashes is broadcast: a row that misses it is
+    an orphan, known without a shuffle. Of the other rows only the distinct
+    keys (combined before the shuffle, so no key is hot) meet the reference
+    exactly; rows of keys found missing there, few as long as the bitmap is
+    selective, are told by a bitmap of those keys and confirmed by a semi join.
+    """
     cols, ref_cols, ref = _reference(params, ctx, "foreign_key")
     checked = _row_filter(df, params).filter(_and([F.col(c).isNotNull() for c in cols]))
-    # no distinct: an anti join only tests existence, and with a plain exchange
-    # on both sides the skew join can split a hot key
     ref_keys = ref.select(*[F.col(r).alias(f"_ref{i}") for i, r in enumerate(ref_cols)])
-    cond = _and([F.col(c) == ref_keys[f"_ref{i}"] for i, c in enumerate(cols)])
-    return checked.join(ref_keys, on=cond, how="left_anti")
+
+    def absent(rows: DataFrame) -> DataFrame:
+        cond = _and([F.col(c) == ref_keys[f"_ref{i}"] for i, c in enumerate(cols)])
+        return rows.join(ref_keys, on=cond, how="left_anti")
+    kinds = [_hashed_as(checked.schema[c].dataType, ref_keys.schema[f"_ref{i}"].dataType) for i, c in enumerate(cols)]
+    if None in kinds or _broadcastable(ref_keys):
+        # no distinct: an anti join only tests existence, and with a plain
+        # exchange on both sides the skew join can split a hot key
+        return absent(checked)
+    key = F.xxhash64(*[F.col(c).cast(t) for c, t in zip(cols, kinds)])
+    sketch = ref_keys.select(F.xxhash64(*[F.col(r).cast(t) for r, t in zip(ref_keys.columns, kinds)]))
+    marked = marked_if_met(checked, key, sketch, "_met")
+    orphans, rest = marked.filter(~F.col("_met")).drop("_met"), marked.filter("_met").drop("_met")
+    missing = absent(rest.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
+    lost = marked_if_met(rest, key, missing.select(key), "_met").filter("_met").drop("_met")
+    return orphans.unionByName(_spread_semi(lost, missing, cols))
+
+
+def _hashed_as(a: DataType, b: DataType) -> DataType | None:
+    """A type in which equal values of both types have equal hashes."""
+    if isinstance(a, IntegralType) and isinstance(b, IntegralType):
+        return LongType()
+    exact = (StringType(), DateType(), TimestampType(), TimestampNTZType(), BooleanType())
+    return a if a == b and (a in exact or isinstance(a, DecimalType)) else None
+
+
+def _broadcastable(df: DataFrame) -> bool:
+    """Whether the planner would broadcast ``df`` by its size (no job runs)."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= threshold
 
 
 def has_valid_schema(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:

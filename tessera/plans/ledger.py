@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import evidence_id
@@ -64,19 +64,23 @@ def unify_evidences(staged: list[DataFrame], ledger_evidences: DataFrame) -> Dat
 def unify_job(spark: SparkSession, store, resolver) -> dict[str, int]:
     """Read the staging table of every configured table (absent ones are
     skipped), append what the ledger does not hold, then drop the staging
-    tables that live in the catalog. Returns the number of rows appended per
-    run and the tables read."""
+    tables, those of the catalog and those of the folder. Returns the number of
+    rows appended per run and the tables read.
+
+    Only the ledger's partitions of the staged dates are listed and read, and
+    the appended rows are counted by the write itself."""
     from tessera.sources.ledger_store import EVIDENCES, TABLES
     names = sorted({r.staging_evidences_table for r in store.read(TABLES).select("staging_evidences_table").collect()
                     if r.staging_evidences_table})                   # config-sized
     present = [n for n in names if resolver.exists(n)]
     if not present:
         return {"tables": 0, "appended": 0}
-    fresh = unify_evidences([resolver(n) for n in present], store.read(EVIDENCES))
-    before = store.read(EVIDENCES).count()
-    store.append(EVIDENCES, fresh)
-    appended = store.read(EVIDENCES).count() - before
+    staged = [resolver(n) for n in present]
+    dates = reduce(lambda a, b: a.unionByName(b), [s.select(F.col("execution_date").cast("string").alias("d")) for s in staged])
+    days = [r.d or "__HIVE_DEFAULT_PARTITION__" for r in dates.distinct().collect()]      # a row per staged day
+    written = Observation()
+    fresh = unify_evidences(staged, store.read_days(EVIDENCES, days))
+    store.append(EVIDENCES, fresh.observe(written, F.count(F.lit(1)).alias("n")))
     for n in present:                                                # only after the append
-        if n not in resolver.frames and spark.catalog.tableExists(n):
-            spark.sql(f"DROP TABLE IF EXISTS {n}")
-    return {"tables": len(present), "appended": appended}
+        resolver.drop(n)
+    return {"tables": len(present), "appended": written.get["n"]}

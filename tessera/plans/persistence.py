@@ -54,6 +54,26 @@ def latest_execution(executions: DataFrame) -> DataFrame:
                  F.max("execution_timestamp").alias("execution_timestamp")))
 
 
+def execution_states(events: DataFrame, now=None, lost_after_hours: float = 24.0) -> DataFrame:
+    """The state of every (execution, table) in a log of START and END events:
+    the status of its last END; without one RUNNING, or LOST when its last START
+    lies more than ``lost_after_hours`` before ``now`` (default: the clock).
+    Columns: started_at, ended_at, seconds (NULL while open) and state. An event
+    may be logged repeatedly or out of order; a START after the last END opens
+    the table again (a rerun). Ends of equal time: the greatest status counts."""
+    now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    at = F.col("event_timestamp")
+    last = F.max_by(F.struct("event", "status"), F.struct(at, F.col("event") == "END", "status"))      # an END follows its START
+    open_ = F.col("last.event") == "START"
+    lost = F.col("last_start") < now - F.make_dt_interval(hours=F.lit(lost_after_hours).cast("int"))
+    return (events.groupBy("execution_id", "table_id")
+            .agg(last.alias("last"), F.min(F.when(F.col("event") == "START", at)).alias("started_at"),
+                 F.max(F.when(F.col("event") == "START", at)).alias("last_start"), F.max(F.when(F.col("event") == "END", at)).alias("last_end"))
+            .select("execution_id", "table_id", "started_at", F.when(~open_, F.col("last_end")).alias("ended_at"),
+                    F.when(~open_, F.round((F.col("last_end").cast("double") - F.col("last_start").cast("double")), 2).cast("decimal(10,2)")).alias("seconds"),
+                    F.when(~open_, F.col("last.status")).when(lost, F.lit("LOST")).otherwise(F.lit("RUNNING")).alias("state")))
+
+
 def _tagged(current: DataFrame, previous: DataFrame) -> DataFrame:
     cur = current.select(*EVIDENCE_KEY, F.lit(1).alias("_tag"))
     prev = previous.select(*EVIDENCE_KEY, F.lit(2).alias("_tag"))

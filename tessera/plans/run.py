@@ -7,8 +7,10 @@ Per table and execution:
    than collecting the same counts through an ``Observation``). It is also
    the first plan to evaluate every rule, so a rule raising at run time
    (ANSI) is isolated here before anything is written.
-2. Each dataset-level rule writes its failing rows once to the execution's
-   staging folder under the shared checkpoint directory.
+   Aggregate rules are part of it; a broken one goes on as a row rule.
+2. Each other dataset-level rule writes its failing rows once to the execution's
+   staging folder under the shared checkpoint directory, several rules at a
+   time; their counts come from the writes.
 3. ONE aggregate classifies the evidence -- the row-rule evidence plan (scan
    -> filter -> generate, never staged), the staged dataset evidence and the
    previous execution's evidence of the same table -- into new / persistent /
@@ -16,18 +18,22 @@ Per table and execution:
 4. Counts per validation are read from it and the new and persistent rows
    are appended to the ledger with their flag; results and the execution row
    follow. The ledger is append-only; nothing is updated afterwards, and the
-   staging folder is removed only after every append succeeded.
+   staging folder is removed only after every append succeeded. Every append is
+   a leaf of its own, so runs may overlap; a START event before and an END event
+   after each table tell runs that died.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import Future
 from functools import reduce
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lists import parse_comma_list
@@ -43,12 +49,13 @@ from tessera.plans.validate import (
     prepare,
     row_counts,
     row_evidence,
+    settle_aggregates,
     with_helpers,
 )
-from tessera.schemas import EVIDENCE_KEY, EVIDENCE_SCHEMA, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
+from tessera.schemas import EVENTS_SCHEMA, EVIDENCE_KEY, EVIDENCE_SCHEMA, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver, path_exists
-from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, RULES, TABLES, VALIDATIONS, Store
+from tessera.sources.ledger_store import EVENTS, EVIDENCES, EXECUTIONS, RESULTS, RULES, TABLES, VALIDATIONS, Store, leaf_name
 
 STATUS_RANK = {"SKIPPED": 0, "SUCCESS": 1, "FAILED": 2, "ERROR": 3}
 
@@ -96,7 +103,7 @@ class RunReport:
 class Runner:
     def __init__(self, spark: SparkSession, store: Store, resolver: TableResolver | None = None,
                  custom: CustomRules | None = None, as_of=None, aggregate_evidence: str = "rows",
-                 keep_staging: bool = False):
+                 keep_staging: bool = False, parallel_rules: int = 4):
         self.spark = spark
         self.store = store
         self.resolver = resolver or TableResolver(spark)
@@ -105,6 +112,7 @@ class Runner:
         self.aggregate_evidence = aggregate_evidence
         self.step_seconds: dict[str, dict[str, float]] = {}   # per table: seconds per step
         self.keep_staging = keep_staging
+        self.parallel_rules = max(parallel_rules, 1)          # dataset rules of a table under way at once
 
     # -- public -----------------------------------------------------------
     def run(self, tables: str | None = None, severity: str | None = None,
@@ -120,16 +128,19 @@ class Runner:
         outcomes = []
         for name in names:
             t0 = time.time()
+            cfg = next((r for r in config if r.table_name == name), None)
+            table_id = cfg.table_id if cfg else name
+            self.log_event(execution_id, table_id, "START", started)
             try:
                 out = self.run_table(name, config, execution_id, started, severity, validation_id)
             except Exception as exc:                        # noqa: BLE001 - one table must not end the others
-                cfg = next((r for r in config if r.table_name == name), None)
                 out = TableOutcome(name, cfg.table_id if cfg else None, "ERROR", error=str(exc))
             out.seconds = round(time.time() - t0, 2)
             outcomes.append(out)
             # a row per table as soon as it ends: a run that dies later leaves a
             # trace, and the tables done are a base for the next run
             self.log_executions(execution_id, started, [out])
+            self.log_event(execution_id, table_id, "END", started, out.status)
         status = max((o.status for o in outcomes), key=STATUS_RANK.get, default="SKIPPED")
         return RunReport(execution_id, status, outcomes)
 
@@ -174,7 +185,8 @@ class Runner:
         # row evidence is not staged: its plan (scan -> generate) feeds the
         # classification aggregate directly, so it crosses one shuffle and no
         # per-scan-task files are written
-        row_ev = row_evidence(df, prepared, primary_key) if any(p.kind == "row" for p in prepared) else None
+        rows = [p for p in prepared if p.kind == "row"]
+        row_ev = row_evidence(df, rows, primary_key) if rows else None
         counts = self._classify_and_append(table_id, [p.validation.validation_id for p in prepared],
                                            execution_id, started, staging, row_ev)
         clock.lap("classify_append")
@@ -192,7 +204,7 @@ class Runner:
                 rule_id=p.validation.rule_id, status=status, perimeter=int(perimeters.get(vid, 0)),
                 failed_records_count=failed, persistent_failures=persistent, new_failures=new,
                 resolved_failures=resolved, execution_date=day))
-        self.store.append(RESULTS, self.spark.createDataFrame(results, RESULTS_SCHEMA))
+        self.store.append(RESULTS, self.spark.createDataFrame(results, RESULTS_SCHEMA).coalesce(1), leaf_name(execution_id, table_id), day)
         clock.lap("results")
         if not self.keep_staging:
             _delete(self.spark, staging)       # only after every append succeeded
@@ -233,7 +245,9 @@ class Runner:
                 perimeters[vid] = got[name]
             if f"f{i}" in got:
                 failures[vid] = got[f"f{i}"]
-        return perimeters, failures, prepared
+            elif got.get(f"b{i}"):
+                failures[vid] = got[name]
+        return perimeters, failures, settle_aggregates(prepared, got)
 
     def _isolate(self, df: DataFrame, prepared: list[Prepared]) -> dict:
         """Re-run each perimeter and each row rule alone to find the ones that
@@ -251,20 +265,46 @@ class Runner:
                 bad[i] = None
             elif p.kind == "row" and raises(with_helpers(df, [p]), _fails_inside(p)):
                 bad[i] = p.perimeter
+            elif p.kind == "aggregate" and raises(df.agg(p.broken.alias("broken")), F.col("broken")):
+                bad[i] = p.perimeter
         return bad
 
     def _stage_datasets(self, prepared: list[Prepared], execution_id: str, day, staging: str) -> dict:
-        """Each dataset rule: write its evidence, count what was written."""
+        """Each dataset rule: write its evidence; the write counts the rows.
+
+        ``parallel_rules`` rules are under way at once, each in a thread with a
+        scheduler pool of its own (shares are equal where the deployment sets
+        ``spark.scheduler.mode`` to FAIR); one that fails is marked ERROR."""
+        waiting = [(i, p) for i, p in enumerate(prepared) if p.kind == "dataset"]
+        done: dict[int, Future] = {i: Future() for i, _ in waiting}
+        context = self.spark.sparkContext
+
+        def work() -> None:
+            while True:
+                try:
+                    i, p = waiting.pop(0)                   # atomic
+                except IndexError:
+                    return
+                context.setLocalProperty("spark.scheduler.pool", f"tessera-rule-{i}")
+                try:
+                    counted = Observation()
+                    p.failing.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{staging}/dataset_{i}")
+                    done[i].set_result(counted.get["n"])
+                except Exception as exc:                    # noqa: BLE001 - reported per validation
+                    done[i].set_exception(exc)
+        threads = [InheritableThread(target=work) for _ in range(min(self.parallel_rules, len(waiting)))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
         failures = {}
-        for i, p in enumerate(prepared):
-            if p.kind != "dataset":
-                continue
-            path = f"{staging}/dataset_{i}"
-            try:
-                p.failing.write.mode("overwrite").parquet(path)
-                failures[p.validation.validation_id] = self.spark.read.parquet(path).count()
-            except Exception as exc:                        # noqa: BLE001
-                prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(exc))
+        for i, result in done.items():
+            p = prepared[i]
+            if result.exception() is None:
+                failures[p.validation.validation_id] = result.result()
+            else:
+                _delete(self.spark, f"{staging}/dataset_{i}")
+                prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(result.exception()))
         return failures
 
     def _previous(self, table_id: str, validation_ids: list[str], started: datetime) -> DataFrame:
@@ -279,13 +319,14 @@ class Runner:
                     .select("execution_id", "validation_id"))
         last = F.max(F.struct("execution_timestamp", "execution_id", "execution_date"))
         base = verdicts.join(runs, "execution_id").groupBy("validation_id").agg(last.alias("run")).collect()    # config-sized
-        by_run: dict[tuple, list[str]] = {}
-        for r in base:
-            by_run.setdefault((r.run.execution_id, r.run.execution_date), []).append(r.validation_id)
-        frames = [self.store.read_day(EVIDENCES, day)
-                  .filter((F.col("execution_id") == execution) & F.col("validation_id").isin(vids))
-                  for (execution, day), vids in sorted(by_run.items(), key=str)]
-        return reduce(lambda a, b: a.unionByName(b), frames) if frames else self.spark.createDataFrame([], EVIDENCE_SCHEMA)
+        if not base:
+            return self.spark.createDataFrame([], EVIDENCE_SCHEMA)
+        # one scan, however many bases: only their days are listed and read, and
+        # the rows meet the (validation, execution) pairs
+        days, runs = ({getattr(r.run, c) for r in base} for c in ("execution_date", "execution_id"))
+        pairs = self.spark.createDataFrame([(r.validation_id, r.run.execution_id) for r in base], "validation_id string, execution_id string")
+        held = self.store.read_days(EVIDENCES, days).filter(F.col("execution_date").isin(*days) & F.col("execution_id").isin(*runs))
+        return held.join(pairs, ["validation_id", "execution_id"], "left_semi").select(*EVIDENCE_SCHEMA.names)
 
     def _classify_and_append(self, table_id: str, validation_ids: list[str], execution_id: str,
                              started: datetime, staging: str, row_ev: DataFrame | None = None) -> dict:
@@ -315,7 +356,7 @@ class Runner:
         staged = self.spark.read.parquet(f"{staging}/classified")
         rows = counts_by_validation(staged).collect()        # one row per validation
         flagged = flag_classified(staged, execution_id, started.date())
-        self.store.append(EVIDENCES, flagged)
+        self.store.append(EVIDENCES, flagged, leaf_name(execution_id, table_id), started.date())
         return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
 
     def persistence_from_ledger(self, table_id: str) -> DataFrame:
@@ -348,4 +389,11 @@ class Runner:
                      duration_seconds=Decimal(str(o.seconds)), validations_executed=o.executed,
                      validations_failed=o.failed, validations_errors=o.errors) for o in outcomes]
         if rows:
-            self.store.append(EXECUTIONS, self.spark.createDataFrame(rows, EXECUTIONS_SCHEMA))
+            self.store.append(EXECUTIONS, self.spark.createDataFrame(rows, EXECUTIONS_SCHEMA).coalesce(1),
+                              leaf_name(execution_id, *(r["table_id"] for r in rows)), started.date())
+
+    def log_event(self, execution_id: str, table_id: str, event: str, started: datetime, status: str | None = None) -> None:
+        """One START or END event; ``execution_states`` makes states of them.
+        A repeated event replaces the earlier one of the same kind."""
+        row = (execution_id, table_id, event, datetime.now(timezone.utc), status, started.date())
+        self.store.append(EVENTS, self.spark.createDataFrame([row], EVENTS_SCHEMA).coalesce(1), leaf_name(execution_id, table_id, event), started.date())

@@ -9,7 +9,10 @@ rules) are folded into ONE scan of the source:
 
 so V row rules cost one pass instead of V passes, and their counts come from
 one aggregate with map-side partial aggregation (one row per task crosses
-the shuffle). Dataset-level validations are separate plans, each restricted
+the shuffle). Aggregate rules are part of that same aggregate: each is an
+aggregate filtered by its perimeter, compared with its limit; a broken one joins
+the row scan as a rule that every row of its perimeter fails. The other
+dataset-level validations are separate plans, each restricted
 to its perimeter, projected to the same evidence shape and unioned.
 
 Everything here is lazy; analysis errors of single validations are caught
@@ -19,7 +22,7 @@ per validation (status ERROR) without running a job.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +32,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tessera.functions.keys import as_text, pk_text
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules
-from tessera.operators.dataset_rules import DATASET_RULES
+from tessera.operators.dataset_rules import DATASET_RULES, broken_aggregate
 from tessera.operators.row_rules import ROW_RULES
 
 EVIDENCE_COLUMNS = ["validation_id", "table_pk", "failed_value"]
@@ -72,11 +75,12 @@ class Validation:
 @dataclass
 class Prepared:
     validation: Validation
-    kind: str                               # row | dataset | error
+    kind: str                               # row | aggregate | dataset | error
     perimeter: Column | None = None         # TRUE inside the perimeter
     fail: Column | None = None              # row kinds: TRUE = failing row
     value: Column | None = None             # row kinds: failed value text
     failing: DataFrame | None = None        # dataset kinds: failing rows, projected
+    broken: Column | None = None            # aggregate kinds: the rule is broken, over the whole table
     error: str | None = None
     # columns to add before evaluation (SQL functions are not allowed inside
     # a Generate, so their verdict is computed in a projection below it)
@@ -166,6 +170,12 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
                 (df.withColumns(helpers) if helpers else df).select(perimeter, fail, value).schema
                 out.append(Prepared(v, "row", perimeter=perimeter, fail=fail, value=value, helpers=helpers))
             else:
+                broken = fused_aggregate(df, v, perimeter, ctx)
+                if broken is not None:
+                    value = _value_column(params, primary_key)
+                    df.select(value).schema
+                    out.append(Prepared(v, "aggregate", perimeter=perimeter, value=value, broken=broken))
+                    continue
                 scoped = df.filter(perimeter) if v.perimeter else df      # analyses the perimeter
                 if v.implementation == "CUSTOM":
                     failing = custom.failing_frame(v.rule_name, scoped, list(params.get("columns") or []))
@@ -185,6 +195,38 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
     return out
 
 
+def fused_aggregate(df: DataFrame, v: Validation, perimeter: Column, ctx: RuleContext) -> Column | None:
+    """Whether an aggregate rule is broken, as one expression over all of
+    ``df``; None where that is not the rule's meaning: other rules, evidence in
+    summary form, a limit that is a column, an exact distinct count (it would
+    multiply the rows of the common aggregate)."""
+    if v.implementation == "CUSTOM" or ctx.aggregate_evidence == "summary":
+        return None
+    broken = broken_aggregate(v.rule_name, v.params, ctx, perimeter if v.perimeter else None)
+    try:
+        if broken is not None:
+            df.agg(broken).schema
+        return broken
+    except Exception:                                       # noqa: BLE001 - the plain plan tells what is wrong
+        return None
+
+
+def resolve_aggregates(df: DataFrame, prepared: list[Prepared]) -> list[Prepared]:
+    """Aggregate kinds as row kinds of a lazy plan: all of them are computed by
+    one scalar subquery, and every row of the perimeter of a broken one fails."""
+    at = [i for i, p in enumerate(prepared) if p.kind == "aggregate"]
+    if not at:
+        return prepared
+    flags = df.agg(F.struct(*[prepared[i].broken.alias(f"b{i}") for i in at]).alias("broken")).scalar()
+    return [replace(p, kind="row", fail=flags[f"b{i}"]) if p.kind == "aggregate" else p for i, p in enumerate(prepared)]
+
+
+def settle_aggregates(prepared: list[Prepared], counts: dict) -> list[Prepared]:
+    """Aggregate kinds after the count aggregate has run: passing ones have no
+    evidence and are left as they are, broken ones become row kinds."""
+    return [replace(p, kind="row", fail=F.lit(True)) if p.kind == "aggregate" and counts.get(f"b{i}") else p for i, p in enumerate(prepared)]
+
+
 def _analyses(df: DataFrame, c: Column) -> bool:
     try:
         df.select(c).schema
@@ -198,7 +240,9 @@ def _fails_inside(p: Prepared) -> Column:
 
 
 def row_evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> DataFrame:
-    """Evidence of all row-level validations in one scan of ``df``."""
+    """Evidence of all row-level and aggregate validations in one scan of
+    ``df`` (and one more for the aggregates that are not settled yet)."""
+    prepared = resolve_aggregates(df, prepared)
     rows = [p for p in prepared if p.kind == "row"]
     spark = df.sparkSession
     if not rows:
@@ -229,14 +273,15 @@ def dataset_evidence(prepared: list[Prepared]) -> list[DataFrame]:
 def evidence(df: DataFrame, prepared: list[Prepared], primary_key: str) -> DataFrame:
     """(validation_id, table_pk, failed_value) for every failing record."""
     frames = dataset_evidence(prepared)
-    if any(p.kind == "row" for p in prepared) or not frames:
+    if any(p.kind in ("row", "aggregate") for p in prepared) or not frames:
         frames = [row_evidence(df, prepared, primary_key)] + frames
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def count_columns(prepared: list[Prepared]) -> list[Column]:
-    """Aggregate expressions for perimeter and row-rule failure counts,
-    named p<i> / f<i> by position in ``prepared``. Validations without a
+    """Aggregate expressions for perimeter and row-rule failure counts and
+    for broken aggregate rules, named p<i> / f<i> / b<i> by position in
+    ``prepared``. Validations without a
     perimeter share the one row count ``_rows`` (see ``perimeter_name``)."""
     cols = [F.count(F.lit(1)).alias("_rows")]
     for i, p in enumerate(prepared):
@@ -244,6 +289,8 @@ def count_columns(prepared: list[Prepared]) -> list[Column]:
             cols.append(F.count_if(p.perimeter).alias(f"p{i}"))
         if p.kind == "row":
             cols.append(F.count_if(_fails_inside(p)).alias(f"f{i}"))
+        elif p.kind == "aggregate":
+            cols.append(p.broken.alias(f"b{i}"))
     return cols
 
 
@@ -255,8 +302,8 @@ def perimeter_name(i: int, p: Prepared) -> str | None:
 
 
 def row_counts(df: DataFrame, prepared: list[Prepared]) -> dict:
-    """Run the count aggregate: {p<i>: perimeter, f<i>: failures} (one job,
-    one row back to the driver)."""
+    """Run the count aggregate: {p<i>: perimeter, f<i>: failures, b<i>: broken}
+    (one job, one row back to the driver)."""
     cols = count_columns(prepared)
     if not cols:
         return {}
@@ -266,8 +313,8 @@ def row_counts(df: DataFrame, prepared: list[Prepared]) -> dict:
 def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
     """One row per validation: status, perimeter and failed counts.
 
-    Perimeters and row-rule failures come from ONE aggregate over ``df``;
-    each dataset rule adds a count over its (small) failing frame. The pieces
+    Perimeters, row-rule failures and aggregate rules come from ONE aggregate
+    over ``df``; each other dataset rule adds a count over its (small) failing frame. The pieces
     are unioned and summed per validation -- no join.
     """
     spark = df.sparkSession
@@ -280,7 +327,11 @@ def results(df: DataFrame, prepared: list[Prepared]) -> DataFrame:
         for i, p in enumerate(prepared):
             if p.perimeter is None:
                 continue
-            failed = F.col(f"f{i}") if p.kind == "row" else F.lit(None).cast(LongType())
+            failed = F.lit(None).cast(LongType())
+            if p.kind == "row":
+                failed = F.col(f"f{i}")
+            elif p.kind == "aggregate":
+                failed = F.when(F.col(f"b{i}"), F.col(perimeter_name(i, p))).otherwise(F.lit(0))
             structs.append(F.struct(F.lit(p.validation.validation_id).alias("validation_id"),
                                     F.col(perimeter_name(i, p)).cast(LongType()).alias("perimeter"),
                                     failed.cast(LongType()).alias("failed")))

@@ -1,6 +1,7 @@
 """Registered queries for whole jobs and for the cases that lose results
 easily: keys with separators and NULLs, hot keys, query rows without a
-perimeter row, foreign evidence ids, runs with raising or skipped validations.
+perimeter row, foreign evidence ids, runs with raising or skipped validations,
+histories written back, late evidence, event logs with lost runs.
 ``SQL`` has the DuckDB statement of each, written on its own."""
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.config import sync_config
+from tessera.plans.history import persistence_job
+from tessera.plans.ledger import unify_job as _unify_job
+from tessera.plans.persistence import execution_states as _execution_states
 from tessera.plans.run import Runner
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver
-from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, Store
+from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, TABLES as TABLES_CONFIG, VALIDATIONS as VALIDATIONS_CONFIG, Store
 from tessera.suite import _ctx, _custom_rules, _dedup, _failing, _pk_value, _staged_lineitem, _t
 from tessera.suite_sql import _pk, _pv, _sha
 
@@ -118,7 +122,86 @@ def run_executions(spark: SparkSession, sf: str) -> DataFrame:
                                          F.col("validations_errors").cast("int").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
+# ---- history --------------------------------------------------------------
+# a ledger of one execution per quarter, in which some validations ended in an
+# error, one execution failed as a whole, and no flag or counter is filled yet
+QUARTER = "date_trunc('quarter', l_shipdate)"
+UNFINISHED = "DATE '1995-04-01'"
+NO_VERDICT = "validation_id = 'V_R' AND month(execution_date) = 7"
+
+
+def _history_store(spark: SparkSession, sf: str) -> Store:
+    store = Store(spark, scratch_path(spark, f"suite-history-{uuid.uuid4().hex}"))
+    lines = _t(spark, sf, "lineitem").selectExpr(
+        f"CAST({QUARTER} AS DATE) AS execution_date", "'V_' || l_returnflag AS validation_id", "CAST(l_suppkey AS STRING) AS table_pk",
+        "CAST(l_linenumber AS STRING) AS failed_value", "l_quantity").withColumn("execution_id", F.col("execution_date").cast("string"))
+    runs = lines.select("execution_id", "execution_date").distinct()
+    store.append(EXECUTIONS, runs.selectExpr(
+        "*", "'T1' AS table_id", "CAST(execution_date AS TIMESTAMP) AS execution_timestamp",
+        f"IF(execution_date = {UNFINISHED}, 'ERROR', 'FAILED') AS status").coalesce(1))
+    verdicts = lines.select("execution_id", "execution_date", "validation_id").distinct()
+    store.append(RESULTS, verdicts.selectExpr(
+        "*", "execution_id || validation_id AS validation_trace_id", "'R' AS rule_id", f"IF({NO_VERDICT}, 'ERROR', 'FAILED') AS status").coalesce(1))
+    found = lines.where("l_quantity > 45").drop("l_quantity").distinct()
+    store.append(EVIDENCES, found.selectExpr("*", "uuid() AS evidence_id").coalesce(1))
+    store.replace(VALIDATIONS_CONFIG, verdicts.select("validation_id").distinct().selectExpr("*", "'T1' AS table_id", "'R' AS rule_id", "'{}' AS validation_definition"))
+    return store
+
+
+def persistence_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags of all evidence after the write-back job."""
+    store = _history_store(spark, sf)
+    persistence_job(spark, store)
+    return store.read(EVIDENCES).select("execution_id", "validation_id", "table_pk", "failed_value", "is_new_failure")
+
+
+def persistence_history_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of all verdicts after the write-back job."""
+    store = _history_store(spark, sf)
+    persistence_job(spark, store)
+    return store.read(RESULTS).select("execution_id", "validation_id", "status", "new_failures", "persistent_failures", "resolved_failures")
+
+
+def unify_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Two staged tables, one of an execution that the ledger holds already."""
+    folder = scratch_path(spark, f"suite-unify-{uuid.uuid4().hex}")
+    store, resolver = Store(spark, f"{folder}/store"), TableResolver(spark, f"{folder}/staged")
+    staged = _t(spark, sf, "lineitem").where("l_quantity > 30").selectExpr(
+        "uuid() AS evidence_id", "'exec-' || l_returnflag AS execution_id", "'V_QTY' AS validation_id", "CAST(l_orderkey AS STRING) AS table_pk",
+        "CAST(l_linenumber AS STRING) AS failed_value", "CASE l_returnflag WHEN 'A' THEN DATE '2024-01-01' WHEN 'N' THEN DATE '2024-01-02' END AS execution_date")
+    held, fresh = "execution_id = 'exec-A'", "execution_id <> 'exec-A'"
+    store.append(EVIDENCES, staged.where(held).dropDuplicates(["table_pk", "failed_value"]).withColumn("is_new_failure", F.lit(True)))
+    staged.where(held).write.parquet(f"{folder}/staged/stg_a.parquet")
+    staged.where(fresh).unionByName(staged.where(fresh)).write.parquet(f"{folder}/staged/stg_b.parquet")
+    names = spark.createDataFrame([(f"T{i}", f"t{i}", f"t{i}", "k", n) for i, n in enumerate(("stg_a", "stg_b", "stg_absent"))],
+                                  "table_id string, table_name string, table_name_tech string, primary_key string, staging_evidences_table string")
+    store.replace(TABLES_CONFIG, names)
+    _unify_job(spark, store, resolver)
+    return store.read(EVIDENCES).groupBy("execution_id", "validation_id", "table_pk", "failed_value").agg(
+        F.count(F.lit(1)).alias("rows_held"), F.count("is_new_failure").alias("flagged"))
+
+
+# orders as executions: all start, some end, some start again a day later
+STARTED = "CAST(o_orderdate AS TIMESTAMP)"
+SECONDS = "o_orderkey % 5000"
+ENDED, AGAIN = "o_orderstatus <> 'P'", "o_orderkey % 7 = 0"
+STATE_CLOCK = datetime(1998, 8, 3)
+
+
+def execution_states(spark: SparkSession, sf: str) -> DataFrame:
+    orders = _t(spark, sf, "orders")
+    ids = "CAST(o_orderkey AS STRING) AS execution_id", "CAST(o_custkey AS STRING) AS table_id"
+    end = f"{STARTED} + make_dt_interval(0, 0, 0, {SECONDS})"
+    events = (orders.selectExpr(*ids, "'START' AS event", f"{STARTED} AS event_timestamp", "CAST(NULL AS STRING) AS status")
+              .unionByName(orders.where(ENDED).selectExpr(*ids, "'END' AS event", f"{end} AS event_timestamp",
+                                                          "IF(o_orderstatus = 'F', 'FAILED', 'SUCCESS') AS status"))
+              .unionByName(orders.where(AGAIN).selectExpr(*ids, "'START' AS event", f"{STARTED} + INTERVAL 1 DAY AS event_timestamp",
+                                                          "CAST(NULL AS STRING) AS status")))
+    return _execution_states(events, STATE_CLOCK, lost_after_hours=24 * 1000).select(
+        "execution_id", "table_id", F.col("started_at").cast("date").cast("string").alias("started"), F.col("seconds").cast("double").alias("seconds"), "state")
+
+
+QUERIES = {f.__name__: f for f in (persistence_history, persistence_history_counts, unify_job, execution_states, pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
                                    sql_query_null_key, run_evidence, run_results, run_executions)}
 
 _ODD = f"(SELECT *, {ODD_PARTS}, {ODD_REST} FROM supplier)".replace("\\\\", "\\")
@@ -143,6 +226,13 @@ _RUNS = f"""WITH later AS (SELECT c_custkey, c_name, c_nationkey, {LATER} FROM c
                 AND o.failed_value = c.failed_value) AS is_new_failure FROM cur c),
     gone AS (SELECT * FROM old EXCEPT SELECT * FROM cur)"""
 
+_HISTORY = f"""WITH li AS (SELECT CAST({QUARTER} AS DATE) AS execution_date, 'V_' || l_returnflag AS validation_id,
+            CAST(l_suppkey AS VARCHAR) AS table_pk, CAST(l_linenumber AS VARCHAR) AS failed_value, l_quantity FROM lineitem),
+        ev AS (SELECT DISTINCT CAST(execution_date AS VARCHAR) AS execution_id, validation_id, table_pk, failed_value FROM li WHERE l_quantity > 45),
+        q AS (SELECT DISTINCT CAST(execution_date AS VARCHAR) AS execution_id, execution_date, validation_id, {NO_VERDICT} AS broken FROM li),
+        v AS (SELECT execution_id, validation_id, lag(execution_id) OVER (PARTITION BY validation_id ORDER BY execution_id) AS before
+              FROM q WHERE NOT broken AND execution_date <> {UNFINISHED})"""
+
 SQL = {
     "pk_text_composite": _pv(_pk("k1", "k2", "s_nationkey"), "CAST(s_acctbal AS VARCHAR)", _ODD, "s_acctbal < 5000"),
     "dedup_foreign_ids": f"""WITH s AS (SELECT 'exec-' || l_linestatus AS execution_id, 'V_LSTAT' AS validation_id,
@@ -169,4 +259,31 @@ SQL = {
         SELECT 'T1' AS table_id, '2024-01-01' AS day, 'FAILED' AS status, 4 AS executed, CAST(n_old AS INTEGER) AS failed, 1 AS errors FROM b
         UNION ALL SELECT 'T1', '2024-01-02', CASE WHEN n_c1 > 0 THEN 'FAILED' ELSE 'SUCCESS' END, 1, CAST(n_c1 > 0 AS INTEGER), 0 FROM b
         UNION ALL SELECT 'T1', '2024-01-03', 'FAILED', 4, CAST(n_cur AS INTEGER), 1 FROM b""",
+    "persistence_history": f"""{_HISTORY}
+        SELECT ev.execution_id, ev.validation_id, table_pk, failed_value,
+               CASE WHEN v.execution_id IS NOT NULL THEN NOT EXISTS (SELECT 1 FROM ev o WHERE o.validation_id = ev.validation_id
+                    AND o.execution_id = v.before AND o.table_pk = ev.table_pk AND o.failed_value = ev.failed_value) END AS is_new_failure
+        FROM ev LEFT JOIN v ON v.execution_id = ev.execution_id AND v.validation_id = ev.validation_id""",
+    "persistence_history_counts": f"""{_HISTORY},
+        here AS (SELECT v.execution_id, v.validation_id, count(*) AS n, count(o.table_pk) AS n_old
+                 FROM v JOIN ev ON ev.execution_id = v.execution_id AND ev.validation_id = v.validation_id
+                 LEFT JOIN ev o ON o.validation_id = v.validation_id AND o.execution_id = v.before AND o.table_pk = ev.table_pk
+                      AND o.failed_value = ev.failed_value GROUP BY ALL),
+        old AS (SELECT execution_id, validation_id, count(*) AS n FROM ev GROUP BY ALL)
+        SELECT q.execution_id, q.validation_id, CASE WHEN q.broken THEN 'ERROR' ELSE 'FAILED' END AS status,
+               CASE WHEN v.execution_id IS NOT NULL THEN coalesce(here.n - here.n_old, 0) END AS new_failures,
+               CASE WHEN v.execution_id IS NOT NULL THEN coalesce(here.n_old, 0) END AS persistent_failures,
+               CASE WHEN v.execution_id IS NOT NULL THEN coalesce(old.n, 0) - coalesce(here.n_old, 0) END AS resolved_failures
+        FROM q LEFT JOIN v USING (execution_id, validation_id) LEFT JOIN here USING (execution_id, validation_id)
+        LEFT JOIN old ON old.validation_id = v.validation_id AND old.execution_id = v.before""",
+    "unify_job": """SELECT DISTINCT 'exec-' || l_returnflag AS execution_id, 'V_QTY' AS validation_id, CAST(l_orderkey AS VARCHAR) AS table_pk,
+            CAST(l_linenumber AS VARCHAR) AS failed_value, CAST(1 AS BIGINT) AS rows_held, CAST(CASE l_returnflag WHEN 'A' THEN 1 ELSE 0 END AS BIGINT) AS flagged
+        FROM lineitem WHERE l_quantity > 30""",
+    "execution_states": f"""SELECT CAST(o_orderkey AS VARCHAR) AS execution_id, CAST(o_custkey AS VARCHAR) AS table_id,
+            CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS started,
+            CASE WHEN {ENDED} AND NOT ({AGAIN}) THEN CAST({SECONDS} AS DOUBLE) END AS seconds,
+            CASE WHEN {ENDED} AND NOT ({AGAIN}) THEN CASE o_orderstatus WHEN 'F' THEN 'FAILED' ELSE 'SUCCESS' END
+                 WHEN CAST(o_orderdate AS TIMESTAMP) + CASE WHEN {AGAIN} THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END
+                      < TIMESTAMP '1998-08-03' - INTERVAL 1000 DAY THEN 'LOST' ELSE 'RUNNING' END AS state
+        FROM orders""",
 }

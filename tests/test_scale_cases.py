@@ -142,3 +142,76 @@ def test_unify_job_appends_once_and_drops(spark, scratch_dir):
     again = TableResolver(spark, frames={"stg_one": staged})
     assert unify_job(spark, store, again) == {"tables": 1, "appended": 0}
     assert store.read(EVIDENCES).select("evidence_id").distinct().count() == 2
+
+
+def _without_broadcast(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("-1", "false", "32")):
+        spark.conf.set(k, v)
+    return old
+
+
+def _shuffled_rows(spark, df) -> int:
+    """Rows written to exchanges by ``df``'s final plan (its SQL metrics)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_foreign_key_does_not_shuffle_the_checked_rows(spark):
+    """A reference beyond broadcast: orphans are told by the sketch, hits by
+    their distinct keys; half of the rows share one orphan key."""
+    from tessera.operators.dataset_rules import foreign_key
+    from tessera.sources.catalog import TableResolver
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").withColumn(
+        "k", F.expr("CASE WHEN l_linenumber <= 3 THEN -1 WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey % 2000 END"))
+    params = {"columns": ["k"], "ref_columns": ["o_orderkey"], "ref_table": "orders"}
+    ctx = RuleContext(spark, TableResolver(spark, frames={"orders": orders}))
+    want = lines.join(orders.select("o_orderkey"), F.expr("k = o_orderkey"), "left_anti").where("k IS NOT NULL").count()
+    checked = lines.where("k IS NOT NULL").count()
+    assert foreign_key(lines, params, ctx).count() == want > 0
+    old = _without_broadcast(spark)
+    try:
+        out = foreign_key(lines, params, ctx)
+        assert out.columns == lines.columns and out.count() == want
+        assert _shuffled_rows(spark, foreign_key(lines, params, ctx)) < 0.75 * checked
+        from tessera.operators import sketch
+        bits, sketch.FILTER_BITS = sketch.FILTER_BITS, 64       # a sketch that tells nothing
+        try:
+            parts = foreign_key(lines, params, ctx)
+            assert sorted(map(repr, parts.collect())) == sorted(map(repr, out.collect()))
+        finally:
+            sketch.FILTER_BITS = bits
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_salts_do_not_depend_on_row_order(spark):
+    """The semi join of hot keys gives the same rows however they are dealt."""
+    from tessera.operators.dataset_rules import is_unique
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("k", F.expr("concat('key ', l_linenumber % 3)"))
+    old = _without_broadcast(spark)
+    try:
+        for n in (1, 7, 40):
+            out = is_unique(df.repartition(n), {"columns": ["k"]}, RuleContext(spark))
+            assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+            assert out.count() == df.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
