@@ -92,6 +92,14 @@ def _spread_semi(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
     return salted(rows, own).join(salted(counted.select(*keys), every), [*keys, "_salt"], "left_semi").drop("_salt")
 
 
+def key_columns(params: dict) -> list[str]:
+    """The columns that must be unique together."""
+    keys = _list(params, "columns")
+    if not keys:
+        raise ValueError("is_unique needs 'columns'")
+    return keys
+
+
 def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     """Rows whose key occurs more than once; a key with a NULL part passes.
 
@@ -101,9 +109,7 @@ def is_unique(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     comparison then runs on the rows whose hash repeats (true duplicates
     plus rare collisions) -- the result is exact either way.
     """
-    keys = _list(params, "columns")
-    if not keys:
-        raise ValueError("is_unique needs 'columns'")
+    keys = key_columns(params)
     non_null = df.filter(_and([F.col(k).isNotNull() for k in keys]))
     if _wide(df, keys):
         h = F.xxhash64(*[F.col(k) for k in keys])

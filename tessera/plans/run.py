@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tessera.functions.lists import parse_comma_list
 from tessera.operators.context import RuleContext
 from tessera.operators.custom import CustomRules, default_custom_rules
+from tessera.operators.dataset_rules import key_columns
+from tessera.operators.uniqueness import UniqueRule, combinable, is_unique_many
 from tessera.plans.config import active_validations, validation_plan
 from tessera.plans.persistence import classify, counts_by_validation, finished_executions, flag_classified
 from tessera.plans.validate import (
@@ -50,6 +52,7 @@ from tessera.plans.validate import (
     row_counts,
     row_evidence,
     settle_aggregates,
+    value_column,
     with_helpers,
 )
 from tessera.schemas import EVENTS_SCHEMA, EVIDENCE_KEY, EVIDENCE_SCHEMA, EXECUTIONS_SCHEMA, RESULTS_SCHEMA
@@ -57,6 +60,7 @@ from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver, path_exists
 from tessera.sources.ledger_store import EVENTS, EVIDENCES, EXECUTIONS, RESULTS, RULES, TABLES, VALIDATIONS, Store, leaf_name
 
+UNIQUE = "dataset_unique"       # staged evidence of all uniqueness rules
 STATUS_RANK = {"SKIPPED": 0, "SUCCESS": 1, "FAILED": 2, "ERROR": 3}
 
 
@@ -180,7 +184,7 @@ class Runner:
         clock = _Clock()
         perimeters, failures, prepared = self._count_rows(df, prepared)
         clock.lap("row_counts")
-        failures.update(self._stage_datasets(prepared, execution_id, day, staging))
+        failures.update(self._stage_datasets(df, prepared, primary_key, staging))
         clock.lap("dataset_rules")
         # row evidence is not staged: its plan (scan -> generate) feeds the
         # classification aggregate directly, so it crosses one shuffle and no
@@ -269,13 +273,15 @@ class Runner:
                 bad[i] = p.perimeter
         return bad
 
-    def _stage_datasets(self, prepared: list[Prepared], execution_id: str, day, staging: str) -> dict:
+    def _stage_datasets(self, df: DataFrame, prepared: list[Prepared], primary_key: str, staging: str) -> dict:
         """Each dataset rule: write its evidence; the write counts the rows.
+        Several uniqueness rules are one plan.
 
         ``parallel_rules`` rules are under way at once, each in a thread with a
         scheduler pool of its own (shares are equal where the deployment sets
         ``spark.scheduler.mode`` to FAIR); one that fails is marked ERROR."""
-        waiting = [(i, p) for i, p in enumerate(prepared) if p.kind == "dataset"]
+        failures = self._stage_unique(df, prepared, primary_key, staging)
+        waiting = [(i, p) for i, p in enumerate(prepared) if p.kind == "dataset" and p.validation.validation_id not in failures]
         done: dict[int, Future] = {i: Future() for i, _ in waiting}
         context = self.spark.sparkContext
 
@@ -297,7 +303,6 @@ class Runner:
             t.start()
         for t in threads:
             t.join()
-        failures = {}
         for i, result in done.items():
             p = prepared[i]
             if result.exception() is None:
@@ -307,6 +312,29 @@ class Runner:
                 prepared[i] = Prepared(p.validation, "error", perimeter=p.perimeter, error=str(result.exception()))
         return failures
 
+    def _stage_unique(self, df: DataFrame, prepared: list[Prepared], primary_key: str, staging: str) -> dict:
+        """Evidence and counts of the uniqueness rules, if there are several;
+        none of them where they cannot be taken together or one raises, which is
+        then found rule by rule."""
+        rules = []
+        for p in prepared:
+            v = p.validation
+            if p.kind == "dataset" and v.implementation == "BUILT-IN" and v.rule_name == "is_unique":
+                columns = key_columns(v.params)
+                if combinable(df, columns):
+                    rules.append(UniqueRule(v.validation_id, columns, value_column(v.params, primary_key), p.perimeter if v.perimeter else None))
+        if len(rules) < 2 or len({r.validation_id for r in rules}) < len(rules):
+            return {}
+        counted, path = Observation(), f"{staging}/{UNIQUE}"
+        try:
+            found = is_unique_many(df, rules, primary_key)
+            counts = [F.count_if(F.col("validation_id") == r.validation_id).alias(f"n{i}") for i, r in enumerate(rules)]
+            found.observe(counted, *counts).write.mode("overwrite").parquet(path)
+        except Exception:                                   # noqa: BLE001 - run-time error in a rule
+            _delete(self.spark, path)
+            return {}
+        return {r.validation_id: counted.get[f"n{i}"] for i, r in enumerate(rules)}
+
     def _previous(self, table_id: str, validation_ids: list[str], started: datetime) -> DataFrame:
         """Evidence to compare with: per validation, that of the latest earlier
         execution of the table that gave it a verdict. A run of some of the
@@ -340,7 +368,7 @@ class Runner:
                     .filter((F.col("execution_id") == execution_id) & F.col("validation_id").isin(validation_ids)))
             rows = counts_by_validation(classify(held, self._previous(table_id, validation_ids, started))).collect()
             return {r.validation_id: (r.new_failures, r.persistent_failures, r.resolved_failures) for r in rows}
-        parts = [f"{staging}/dataset_{i}" for i in range(len(validation_ids))]
+        parts = [f"{staging}/{UNIQUE}", *[f"{staging}/dataset_{i}" for i in range(len(validation_ids))]]
         parts = [p for p in parts if self.store_exists(p)]
         frames = ([row_ev] if row_ev is not None else []) + ([self.spark.read.parquet(*parts)] if parts else [])
         if not frames:

@@ -106,7 +106,7 @@ def failed_field(params: dict, primary_key: str) -> str | None:
     return cols[0] if cols else None
 
 
-def _value_column(params: dict, primary_key: str) -> Column:
+def value_column(params: dict, primary_key: str) -> Column:
     name = failed_field(params, primary_key)
     return pk_text(primary_key) if name is None else as_text(F.col(name))
 
@@ -119,7 +119,7 @@ def _project(failing: DataFrame, validation_id: str, params: dict, primary_key:
                               as_text(F.col("aggregate")).alias("failed_value"))
     return failing.select(F.lit(validation_id).alias("validation_id"),
                           pk_text(primary_key).alias("table_pk"),
-                          _value_column(params, primary_key).alias("failed_value"))
+                          value_column(params, primary_key).alias("failed_value"))
 
 
 def _level(v: Validation, custom: CustomRules | None, ctx: RuleContext) -> str:
@@ -165,14 +165,14 @@ def prepare(df: DataFrame, validations: list[Validation], primary_key: str,
                         fail = custom.failing_condition(ctx.spark, v.rule_name, columns)
                 else:
                     fail = ROW_RULES[v.rule_name](df, params, ctx)
-                value = _value_column(params, primary_key)
+                value = value_column(params, primary_key)
                 # one analysis for perimeter, rule and value together
                 (df.withColumns(helpers) if helpers else df).select(perimeter, fail, value).schema
                 out.append(Prepared(v, "row", perimeter=perimeter, fail=fail, value=value, helpers=helpers))
             else:
                 broken = fused_aggregate(df, v, perimeter, ctx)
                 if broken is not None:
-                    value = _value_column(params, primary_key)
+                    value = value_column(params, primary_key)
                     df.select(value).schema
                     out.append(Prepared(v, "aggregate", perimeter=perimeter, value=value, broken=broken))
                     continue

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.uniqueness import UniqueRule, is_unique_many as _unique_many
 from tessera.plans.config import sync_config
 from tessera.plans.history import persistence_job
 from tessera.plans.ledger import unify_job as _unify_job
@@ -50,6 +51,20 @@ def is_unique_hot(spark: SparkSession, sf: str) -> DataFrame:
     return _pk_value(_failing(df, "is_unique", {"columns": ["k"]}, "l_orderkey, l_linenumber", _ctx(spark, sf)))
 
 
+UNIQUE_RULES = {"U1": (["l_partkey", "l_suppkey"], None), "U2": (["l_extendedprice"], "l_returnflag <> 'N'"),
+                "U3": (["l_shipdate", "l_quantity", "l_partkey"], None), "U4": (["l_orderkey", "l_linenumber"], None), "U5": (["k"], None)}
+_HOT_KEY = "IF(l_linenumber <= 4, 0, l_orderkey * 10 + l_linenumber)"
+
+
+def is_unique_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Five uniqueness rules in one plan: composite and date keys, a perimeter,
+    a rule that passes, a key of most rows."""
+    df = _t(spark, sf, "lineitem").withColumn("k", F.expr(_HOT_KEY))
+    rules = [UniqueRule(v, columns, F.col(columns[0]).cast("string"), None if where is None else F.expr(where))
+             for v, (columns, where) in UNIQUE_RULES.items()]
+    return _unique_many(df, rules, "l_orderkey, l_linenumber")
+
+
 def foreign_key_hot(spark: SparkSession, sf: str) -> DataFrame:
     df = _t(spark, sf, "lineitem").withColumn("k", F.expr("IF(l_linenumber <= 4, -1, l_orderkey)"))
     return _pk_value(_failing(df, "foreign_key", {"columns": ["k"], "ref_columns": ["o_orderkey"], "ref_table": "orders"},
@@ -201,7 +216,7 @@ def execution_states(spark: SparkSession, sf: str) -> DataFrame:
         "execution_id", "table_id", F.col("started_at").cast("date").cast("string").alias("started"), F.col("seconds").cast("double").alias("seconds"), "state")
 
 
-QUERIES = {f.__name__: f for f in (persistence_history, persistence_history_counts, unify_job, execution_states, pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
+QUERIES = {f.__name__: f for f in (is_unique_many, persistence_history, persistence_history_counts, unify_job, execution_states, pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
                                    sql_query_null_key, run_evidence, run_results, run_executions)}
 
 _ODD = f"(SELECT *, {ODD_PARTS}, {ODD_REST} FROM supplier)".replace("\\\\", "\\")
@@ -242,6 +257,10 @@ SQL = {
     "is_in_list_decimal": _pv(_pk("o_orderkey"), "CAST(d AS VARCHAR)", _DECIMAL,
                               "d NOT IN (SELECT CAST((12345678901234000 + i) || '.89' AS DECIMAL(20,2)) FROM range(1, 400) r(i))"),
     "is_unique_hot": _pv(_LI, "CAST(k AS VARCHAR)", _HOT, f"k IN (SELECT k FROM {_HOT} GROUP BY k HAVING count(*) > 1)"),
+    "is_unique_many": " UNION ALL ".join(
+        f"""SELECT '{v}' AS validation_id, {_LI} AS table_pk, CAST({columns[0]} AS VARCHAR) AS failed_value
+            FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(columns)}) AS met FROM {_HOT} WHERE {where or 'TRUE'}) WHERE met > 1"""
+        for v, (columns, where) in UNIQUE_RULES.items()),
     "foreign_key_hot": _pv(_LI, "CAST(k AS VARCHAR)", _LOST, "k NOT IN (SELECT o_orderkey FROM orders)"),
     "sql_query_null_key": """SELECT CAST(c_custkey AS VARCHAR) AS table_pk, CAST(c_custkey AS VARCHAR) AS failed_value
         FROM customer WHERE c_nationkey IN (3, 7) UNION ALL SELECT NULL, NULL""",
