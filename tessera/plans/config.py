@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessera.functions.lists import split_tags
+from tessera.functions.lists import comma_list, split_tags
+from tessera.operators.dataset_rules import AGGREGATES
 from tessera.operators.upsert import conform, reflect
 from tessera.schemas import RULES_SCHEMA, TABLES_SCHEMA, VALIDATIONS_SCHEMA
 from tessera.sources.sheets import as_sheet, require_columns
@@ -147,6 +148,114 @@ def build_definition(technical_name: str, rule_type: str, columns: str, value: s
                   f"WHEN {rt} = 'CUSTOM' THEN {obj(frag('columns', col_list))} ELSE '{{}}' END")
 
 
+# Parameters each built-in rule needs; "a|b" = at least one of.
+REQUIRED_PARAMS = {
+    "is_not_null": ["column"],
+    "is_not_empty": ["column"],
+    "is_not_null_and_not_empty": ["column"],
+    "is_not_in_future": ["column"],
+    "is_in_list": ["column", "allowed"],
+    "is_not_null_and_is_in_list": ["column", "allowed"],
+    "regex_match": ["column", "regex"],
+    "is_equal_to": ["column", "value"],
+    "is_not_equal_to": ["column", "value"],
+    "is_valid_date": ["column"],
+    "is_valid_timestamp": ["column"],
+    "is_in_range": ["column", "min_limit|max_limit"],
+    "is_not_in_range": ["column", "min_limit|max_limit"],
+    "is_not_less_than": ["column", "limit"],
+    "is_not_greater_than": ["column", "limit"],
+    "sql_expression": ["expression"],
+    "is_unique": ["columns"],
+    "sql_query": ["query", "merge_columns"],
+    "is_aggr_not_greater_than": ["limit"],
+    "is_aggr_not_less_than": ["limit"],
+    "is_aggr_equal": ["limit"],
+    "is_aggr_not_equal": ["limit"],
+    "foreign_key": ["columns", "ref_table"],
+    "has_valid_schema": ["expected_schema"],
+    "compare_datasets": ["columns", "ref_table"],
+}
+
+
+# Declared data types a sheet may name, by what is parsed.
+DECLARED_TYPES = {
+    "number": ["number", "int", "integer", "bigint", "long", "float", "double", "decimal"],
+    "date": ["date"],
+    "timestamp": ["timestamp", "datetime"],
+}
+_SPARK_TYPE = {"number": "DOUBLE", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+def parsed_fields(technical_name: str, columns: str, value: str, vmin: str, vmax: str, value_set: str, expression: str,
+                  data_type: str, merge_columns: str) -> Column:
+    """The outcome of parsing each field of a built-in rule that has a type or a
+    set of allowed values: array<struct<field, text, error>>, error NULL where
+    the text is usable. A value is held against the declared data type, an
+    aggregate against the known ones, lists and limits against each other."""
+    name = F.trim(F.col(technical_name))
+    kind = F.lower(F.trim(F.col(data_type)))
+    empty = F.lit(None).cast("array<struct<field:string,text:string,error:string>>")
+
+    def outcome(field: str, text: Column, error: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), text.alias("text"), error.cast("string").alias("error"))
+
+    def typed(field: str, text: Column) -> Column:
+        wrong = F.lit(None).cast("string")
+        for what, names in DECLARED_TYPES.items():
+            unread = kind.isin(*names) & (text != "") & text.try_cast(_SPARK_TYPE[what]).isNull()
+            wrong = F.when(unread, F.concat(F.lit(field + " '"), text, F.lit(f"' is not a {what}"))).otherwise(wrong)
+        return outcome(field, text, wrong)
+
+    low, high = F.col(vmin), F.col(vmax)
+    crossed = low.try_cast("double") > high.try_cast("double")
+    order = outcome("min_limit", low, F.when(crossed, F.lit("min_limit above max_limit")))
+    aggregate = F.lower(F.trim(F.col(expression)))
+    known = outcome("aggr_type", aggregate, F.when((aggregate != "") & ~aggregate.isin(*AGGREGATES),
+                                                   F.concat(F.lit("unknown aggr_type '"), aggregate, F.lit("'"))))
+    own, ref = comma_list(F.col(columns)), comma_list(F.col(merge_columns))
+    paired = outcome("ref_columns", F.col(merge_columns), F.when((F.size(ref) > 0) & (F.size(ref) != F.size(own)),
+                                                                 F.lit("columns and ref_columns differ in length")))
+    allowed = F.transform(comma_list(F.col(value_set)), lambda x: typed("allowed", x))
+    by_rule = [
+        (["is_in_range", "is_not_in_range"], F.array(typed("min_limit", low), typed("max_limit", high), order)),
+        (["is_not_less_than"], F.array(typed("limit", low))),
+        (["is_not_greater_than"], F.array(typed("limit", high))),
+        (["is_equal_to", "is_not_equal_to"], F.array(typed("value", F.col(value)))),
+        (["is_aggr_not_greater_than", "is_aggr_not_less_than", "is_aggr_equal", "is_aggr_not_equal"], F.array(known, typed("limit", F.col(value)))),
+        (["is_in_list", "is_not_null_and_is_in_list"], allowed),
+        (["foreign_key", "compare_datasets"], F.array(paired)),
+    ]
+    out = empty
+    for names, fields in by_rule:
+        out = F.when(name.isin(*names), fields).otherwise(out)
+    return out
+
+
+def definition_error(technical_name: str, rule_type: str, definition: Column, parsed: Column) -> Column:
+    """What makes a validation of a known rule unusable, '; '-joined, or NULL:
+    missing parameters and the errors of its parsed fields. Unknown rules and
+    rule types have no parameters; ``definition_problems`` reports them."""
+    name, kind = F.trim(F.col(technical_name)), F.upper(F.trim(F.col(rule_type)))
+    missing = F.transform(absent_params(name, F.from_json(definition, "map<string,string>")), lambda g: F.concat(F.lit("missing "), g))
+    wrong = F.filter(F.transform(parsed, lambda p: p["error"]), lambda e: e.isNotNull())
+    none = F.array().cast("array<string>")
+    errors = (F.when(kind == "BUILT-IN", F.concat(F.coalesce(missing, none), F.coalesce(wrong, none)))
+              .when((kind == "CUSTOM") & F.try_element_at(F.from_json(definition, "map<string,string>"), F.lit("columns")).isNull(),
+                    F.array(F.lit("missing columns")))
+              .otherwise(none))
+    return F.nullif(F.array_join(errors, "; "), F.lit(""))
+
+
+def absent_params(name: Column, given: Column) -> Column:
+    """The parameter groups that the built-in rule ``name`` needs and ``given``
+    (a map) has none of."""
+    needs = F.create_map(*[x for rule, groups in REQUIRED_PARAMS.items()
+                           for x in (F.lit(rule), F.array(*[F.lit(g) for g in groups]))])
+    return F.filter(F.try_element_at(needs, name), lambda group: ~F.coalesce(
+        F.exists(F.split(group, "[|]"), lambda key: F.try_element_at(given, key).isNotNull()), F.lit(False)))
+
+
 def shape_tables(sheet: DataFrame) -> DataFrame:
     s = _rename(sheet, TABLES_HEADERS)
     require_columns(s, list(TABLES_HEADERS.values()), "tables")
@@ -169,22 +278,27 @@ def shape_validations(sheet: DataFrame) -> DataFrame:
     s = _rename(sheet, VALIDATIONS_HEADERS)
     require_columns(s, list(VALIDATIONS_HEADERS.values()), "validations")
     c = F.col
-    out = s.filter(c("validation_id") != "").select(
+    s = s.filter(c("validation_id") != "")
+    s = s.withColumn("_definition", build_definition(
+        "technical_name", "rule_type", "param_columns", "param_value", "param_min", "param_max", "param_set",
+        "param_expression", "param_data_type", "param_query", "param_merge_columns"))
+    s = s.withColumn("_parsed", parsed_fields("technical_name", "param_columns", "param_value", "param_min", "param_max", "param_set",
+                                              "param_expression", "param_data_type", "param_merge_columns"))
+    out = s.select(
         "validation_id", "rule_id", "table_id",
         c("perimeter_definition"),
         # a blank or unreadable flag is NULL, i.e. inactive
         c("is_active").try_cast(BooleanType()).alias("is_active"),
         "severity",
-        build_definition("technical_name", "rule_type", "param_columns", "param_value", "param_min",
-                             "param_max", "param_set", "param_expression", "param_data_type", "param_query",
-                             "param_merge_columns").alias("validation_definition"),
+        c("_definition").alias("validation_definition"),
         "owner", split_tags("tags").alias("tags"), F.current_timestamp().alias("updated_at"),
         "updated_by", c("table_domain").alias("domain"),
         split_tags("param_columns").alias("Param_columns"),
         c("param_value").alias("Param_value"), c("param_min").alias("Param_value_min"),
         c("param_max").alias("Param_value_max"), c("param_set").alias("Param_range"),
         c("param_data_type").alias("Param_data_type"), c("param_expression").alias("Param_expression"),
-        c("param_query").alias("Param_query_SQL"), c("param_merge_columns").alias("Param_merge_columns"))
+        c("param_query").alias("Param_query_SQL"), c("param_merge_columns").alias("Param_merge_columns"),
+        definition_error("technical_name", "rule_type", c("_definition"), c("_parsed")).alias("definition_error"))
     return conform(out, VALIDATIONS_SCHEMA)
 
 
@@ -254,36 +368,6 @@ def validation_plan(validations: DataFrame, rules: DataFrame) -> DataFrame:
     return validations.join(lib, "rule_id", "left")
 
 
-# Parameters each built-in rule needs; "a|b" = at least one of.
-REQUIRED_PARAMS = {
-    "is_not_null": ["column"],
-    "is_not_empty": ["column"],
-    "is_not_null_and_not_empty": ["column"],
-    "is_not_in_future": ["column"],
-    "is_in_list": ["column", "allowed"],
-    "is_not_null_and_is_in_list": ["column", "allowed"],
-    "regex_match": ["column", "regex"],
-    "is_equal_to": ["column", "value"],
-    "is_not_equal_to": ["column", "value"],
-    "is_valid_date": ["column"],
-    "is_valid_timestamp": ["column"],
-    "is_in_range": ["column", "min_limit|max_limit"],
-    "is_not_in_range": ["column", "min_limit|max_limit"],
-    "is_not_less_than": ["column", "limit"],
-    "is_not_greater_than": ["column", "limit"],
-    "sql_expression": ["expression"],
-    "is_unique": ["columns"],
-    "sql_query": ["query", "merge_columns"],
-    "is_aggr_not_greater_than": ["limit"],
-    "is_aggr_not_less_than": ["limit"],
-    "is_aggr_equal": ["limit"],
-    "is_aggr_not_equal": ["limit"],
-    "foreign_key": ["columns", "ref_table"],
-    "has_valid_schema": ["expected_schema"],
-    "compare_datasets": ["columns", "ref_table"],
-}
-
-
 def definition_problems(plan: DataFrame) -> DataFrame:
     """Config errors of validations joined with their rule (see
     ``validation_plan``): unknown rule id, unknown built-in rule, missing
@@ -292,10 +376,7 @@ def definition_problems(plan: DataFrame) -> DataFrame:
     name = F.col("technical_rule_name")
     impl = F.upper(F.trim(F.coalesce(F.col("implementation_type"), F.lit(""))))
     given = F.from_json(F.coalesce(F.col("validation_definition"), F.lit("{}")), "map<string,string>")
-    needs = F.create_map(*[x for rule, groups in REQUIRED_PARAMS.items()
-                           for x in (F.lit(rule), F.array(*[F.lit(g) for g in groups]))])
-    absent = F.filter(F.try_element_at(needs, name), lambda group: ~F.coalesce(
-        F.exists(F.split(group, "[|]"), lambda key: F.try_element_at(F.col("_given"), key).isNotNull()), F.lit(False)))
+    absent = absent_params(name, F.col("_given"))
     problem = (F.when(name.isNull(), F.lit("unknown rule id"))
                .when((impl == "CUSTOM") & F.try_element_at(F.col("_given"), F.lit("columns")).isNull(), F.lit("missing columns"))
                .when((impl == "BUILT-IN") & ~name.isin(*REQUIRED_PARAMS), F.lit("unknown rule"))

@@ -62,6 +62,8 @@ class Validation:
             params = json.loads(raw)
         except (TypeError, ValueError):
             params = {"error": f"unreadable definition: {raw!r}"}
+        if d.get("definition_error"):
+            params = {"error": d["definition_error"]}
         return cls(
             validation_id=d["validation_id"],
             rule_name=d.get("technical_rule_name") or "",

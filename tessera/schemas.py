@@ -67,6 +67,7 @@ VALIDATIONS_SCHEMA = StructType([
     _s("Param_expression", S),
     _s("Param_query_SQL", S),
     _s("Param_merge_columns", S),
+    _s("definition_error", S),            # why the parameters cannot be used; NULL: they can
 ])
 
 EXECUTIONS_SCHEMA = StructType([

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.uniqueness import UniqueRule, is_unique_many as _unique_many
-from tessera.plans.config import sync_config
+from tessera.plans.config import shape_validations, sync_config
 from tessera.plans.history import persistence_job
 from tessera.plans.ledger import unify_job as _unify_job
 from tessera.plans.persistence import execution_states as _execution_states
@@ -21,8 +21,8 @@ from tessera.plans.run import Runner
 from tessera.session import scratch_path
 from tessera.sources.catalog import TableResolver
 from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, TABLES as TABLES_CONFIG, VALIDATIONS as VALIDATIONS_CONFIG, Store
-from tessera.suite import _ctx, _custom_rules, _dedup, _failing, _pk_value, _staged_lineitem, _t
-from tessera.suite_sql import _pk, _pv, _sha
+from tessera.suite import _ctx, _custom_rules, _dedup, _failing, _pk_value, _staged_lineitem, _t, _validations_sheet
+from tessera.suite_sql import NAMES_26, REQUIRED, _comma_list, _pk, _pv, _sha
 
 # ---- keys -----------------------------------------------------------------
 ODD_PARTS = "CASE s_suppkey % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a' WHEN 2 THEN 'c\\\\N' ELSE NULL END AS k1"
@@ -137,6 +137,21 @@ def run_executions(spark: SparkSession, sf: str) -> DataFrame:
                                          F.col("validations_errors").cast("int").alias("errors"))
 
 
+# ---- definitions ----------------------------------------------------------
+DATA_TYPE = "CASE p_partkey % 4 WHEN 0 THEN 'Number' WHEN 1 THEN ' date ' WHEN 2 THEN 'timestamp' ELSE 'text' END"
+AGGREGATE = "CASE p_partkey % 3 WHEN 0 THEN 'avg' WHEN 1 THEN ' MAX ' ELSE 'median' END"
+MERGE = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'a, b' ELSE 'a' END"
+
+
+def definition_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The parse outcome of every validation of a sheet with wrong numbers,
+    dates, aggregates, lists and limits."""
+    odd = _t(spark, sf, "part").selectExpr("concat('V', p_partkey) AS validation_id", f"{DATA_TYPE} AS param_data_type",
+                                           f"{AGGREGATE} AS param_expression", f"{MERGE} AS param_merge_columns")
+    sheet = _validations_sheet(spark, sf).drop("param_data_type", "param_expression", "param_merge_columns").join(odd, "validation_id")
+    return shape_validations(sheet).select("validation_id", "definition_error")
+
+
 # ---- history --------------------------------------------------------------
 # a ledger of one execution per quarter, in which some validations ended in an
 # error, one execution failed as a whole, and no flag or counter is filled yet
@@ -216,7 +231,7 @@ def execution_states(spark: SparkSession, sf: str) -> DataFrame:
         "execution_id", "table_id", F.col("started_at").cast("date").cast("string").alias("started"), F.col("seconds").cast("double").alias("seconds"), "state")
 
 
-QUERIES = {f.__name__: f for f in (is_unique_many, persistence_history, persistence_history_counts, unify_job, execution_states, pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
+QUERIES = {f.__name__: f for f in (definition_errors, is_unique_many, persistence_history, persistence_history_counts, unify_job, execution_states, pk_text_composite, dedup_foreign_ids, is_in_list_decimal, is_unique_hot, foreign_key_hot,
                                    sql_query_null_key, run_evidence, run_results, run_executions)}
 
 _ODD = f"(SELECT *, {ODD_PARTS}, {ODD_REST} FROM supplier)".replace("\\\\", "\\")
@@ -241,6 +256,45 @@ _RUNS = f"""WITH later AS (SELECT c_custkey, c_name, c_nationkey, {LATER} FROM c
                 AND o.failed_value = c.failed_value) AS is_new_failure FROM cur c),
     gone AS (SELECT * FROM old EXCEPT SELECT * FROM cur)"""
 
+def _definition_errors() -> str:
+    quote = "chr(39)"
+
+    def wrong(param: str, text: str) -> str:
+        return f"""CASE WHEN {text} <> '' AND CASE kind WHEN 'number' THEN TRY_CAST({text} AS DOUBLE) IS NULL WHEN 'date' THEN TRY_CAST({text} AS DATE) IS NULL
+                   WHEN 'timestamp' THEN TRY_CAST({text} AS TIMESTAMP) IS NULL ELSE false END
+                   THEN '{param} ' || {quote} || {text} || {quote} || ' is not a ' || kind END"""
+
+    val, vmin, vmax = "val <> ''", "vmin <> ''", "vmax <> ''"
+    filled = {"column": "len(col_list) > 0", "columns": "len(col_list) > 0", "allowed": "len(set_list) > 0", "regex": val, "value": val, "limit": val,
+              "min_limit|max_limit": f"({vmin} OR {vmax})", "expression": "true", "query": "true", "merge_columns": "len(merge_list) > 0",
+              "ref_table": val, "expected_schema": "cols <> ''"}
+    limits = {"is_not_less_than": vmin, "is_not_greater_than": vmax}
+    missing = [f"CASE WHEN tn = '{rule}' AND NOT {limits[rule] if g == 'limit' and rule in limits else filled[g]} THEN 'missing {g}' END"
+               for rule, groups in REQUIRED.items() for g in groups]
+    checks = [("'is_in_range', 'is_not_in_range'", [wrong("min_limit", "vmin"), wrong("max_limit", "vmax"),
+               "CASE WHEN TRY_CAST(vmin AS DOUBLE) > TRY_CAST(vmax AS DOUBLE) THEN 'min_limit above max_limit' END"]),
+              ("'is_not_less_than'", [wrong("limit", "vmin")]), ("'is_not_greater_than'", [wrong("limit", "vmax")]),
+              ("'is_equal_to', 'is_not_equal_to'", [wrong("value", "val")]),
+              ("'is_aggr_not_greater_than', 'is_aggr_not_less_than', 'is_aggr_equal', 'is_aggr_not_equal'",
+               [f"CASE WHEN agg = 'median' THEN 'unknown aggr_type ' || {quote} || agg || {quote} END", wrong("limit", "val")]),
+              ("'is_in_list', 'is_not_null_and_is_in_list'",
+               [f"nullif(array_to_string(list_filter(list_transform(set_list, lambda x: {wrong('allowed', 'x')}), lambda e: e IS NOT NULL), '; '), '')"]),
+              ("'foreign_key', 'compare_datasets'",
+               ["CASE WHEN len(merge_list) > 0 AND len(merge_list) <> len(col_list) THEN 'columns and ref_columns differ in length' END"])]
+    parsed = [f"CASE WHEN tn IN ({names}) THEN {c} END" for names, cs in checks for c in cs]
+    return f"""WITH s AS (SELECT 'V' || CAST(p_partkey AS VARCHAR) AS validation_id, ({NAMES_26})[CAST((p_size - 1) % 26 + 1 AS INTEGER)] AS tn,
+            CASE WHEN p_type = 'PROMO' THEN 'CUSTOM' WHEN p_type = 'SMALL' AND p_size > 40 THEN 'other' ELSE 'BUILT-IN' END AS rt,
+            CASE WHEN p_type = 'STANDARD' THEN ' p_name, p_brand ,, ' WHEN p_type = 'ECONOMY' THEN '' ELSE 'p_name' END AS cols,
+            CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN p_brand ELSE CAST(p_retailprice AS VARCHAR) END AS val,
+            CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) WHEN p_size > 10 THEN 'abc' ELSE '' END AS vmin,
+            CASE WHEN p_size < 30 THEN CAST(p_size * 10 AS VARCHAR) ELSE '' END AS vmax,
+            {_comma_list("(replace(p_name, ' ', ', ') || ', , ')")} AS set_list, {_comma_list(MERGE)} AS merge_list,
+            lower(trim({DATA_TYPE})) AS kind, lower(trim({AGGREGATE})) AS agg FROM part),
+        l AS (SELECT *, {_comma_list('cols')} AS col_list FROM s)
+        SELECT validation_id, nullif(CASE rt WHEN 'BUILT-IN' THEN concat_ws('; ', {', '.join(missing + parsed)})
+               WHEN 'CUSTOM' THEN CASE WHEN len(col_list) = 0 THEN 'missing columns' ELSE '' END ELSE '' END, '') AS definition_error FROM l"""
+
+
 _HISTORY = f"""WITH li AS (SELECT CAST({QUARTER} AS DATE) AS execution_date, 'V_' || l_returnflag AS validation_id,
             CAST(l_suppkey AS VARCHAR) AS table_pk, CAST(l_linenumber AS VARCHAR) AS failed_value, l_quantity FROM lineitem),
         ev AS (SELECT DISTINCT CAST(execution_date AS VARCHAR) AS execution_id, validation_id, table_pk, failed_value FROM li WHERE l_quantity > 45),
@@ -257,6 +311,7 @@ SQL = {
     "is_in_list_decimal": _pv(_pk("o_orderkey"), "CAST(d AS VARCHAR)", _DECIMAL,
                               "d NOT IN (SELECT CAST((12345678901234000 + i) || '.89' AS DECIMAL(20,2)) FROM range(1, 400) r(i))"),
     "is_unique_hot": _pv(_LI, "CAST(k AS VARCHAR)", _HOT, f"k IN (SELECT k FROM {_HOT} GROUP BY k HAVING count(*) > 1)"),
+    "definition_errors": _definition_errors(),
     "is_unique_many": " UNION ALL ".join(
         f"""SELECT '{v}' AS validation_id, {_LI} AS table_pk, CAST({columns[0]} AS VARCHAR) AS failed_value
             FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(columns)}) AS met FROM {_HOT} WHERE {where or 'TRUE'}) WHERE met > 1"""
