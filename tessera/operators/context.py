@@ -27,6 +27,9 @@ class RuleContext:
     # 'rows': a failing dataset rule flags every perimeter row (as the
     # original engine does); 'summary': one evidence row with the aggregate
     aggregate_evidence: str = "rows"
+    # writes a DataFrame that a rule reads more than once and returns it as
+    # read back; None: it is planned again where it is read
+    stage: Callable[[DataFrame], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         if self.resolve is not None:

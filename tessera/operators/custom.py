@@ -53,7 +53,10 @@ class CustomRules:
     def _user_defined(spark: SparkSession, name: str) -> bool:
         """Functions that users created, temporary or in the catalog; Spark's
         own functions are not rules."""
-        shown = [r[0].lower() for r in spark.sql("SHOW USER FUNCTIONS").collect()]
+        last = name.split(".")[-1].strip("`").lower()
+        if not last.isidentifier():
+            return False
+        shown = [r[0].lower() for r in spark.sql(f"SHOW USER FUNCTIONS LIKE '{last}'").collect()]
         return any(f == name.lower() or f.endswith("." + name.lower()) for f in shown)
 
     def ok_expression(self, spark: SparkSession, name: str, columns: list[str]) -> Column:

@@ -125,7 +125,8 @@ def sql_query(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     """Every row the user query returns is a failure. The perimeter rows that
     match one on ``merge_columns`` (NULLs equal) are the failing rows; a query
     row without a perimeter row is reported itself, its merge columns set and
-    the other columns NULL, so no returned row is lost."""
+    the other columns NULL, so no returned row is lost. With ``ctx.stage`` the
+    query runs once and its keys are written; both sides below read them."""
     query = params.get("query")
     merge = _list(params, "merge_columns")
     if not query:
@@ -136,6 +137,8 @@ def sql_query(df: DataFrame, params: dict, ctx: RuleContext) -> DataFrame:
     # made distinct, for a semi join needs none and a plain exchange on both
     # sides lets the skew join split a hot key
     found = ctx.spark.sql(f"SELECT * FROM ({query}) AS user_query").select(*[F.col(m).alias(f"_q{i}") for i, m in enumerate(merge)])
+    if ctx.stage is not None:
+        found = ctx.stage(found)
     failing = df.join(found, _and([F.col(m).eqNullSafe(found[f"_q{i}"]) for i, m in enumerate(merge)]), "left_semi")
     held = df.select(*[F.col(m).alias(f"_d{i}") for i, m in enumerate(merge)])
     unmatched = found.join(held, _and([F.col(f"_q{i}").eqNullSafe(F.col(f"_d{i}")) for i in range(len(merge))]), "left_anti").distinct()

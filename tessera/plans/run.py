@@ -97,6 +97,13 @@ class TableOutcome:
     error: str | None = None
 
 
+def table_totals(statuses: list[str]) -> tuple[str, int, int, int]:
+    """Status of a table, and how many validations were executed, failed and
+    ended in an error."""
+    failed, errors = statuses.count("FAILED"), statuses.count("ERROR")
+    return "SUCCESS" if failed + errors == 0 else "FAILED", len(statuses), failed, errors
+
+
 @dataclass
 class RunReport:
     execution_id: str
@@ -173,14 +180,19 @@ class Runner:
         """Validate one DataFrame as table ``table_id`` within an execution:
         stage evidence, classify it against the previous execution of the
         table, append evidence and results to the ledger."""
-        # one clock for the count job and the evidence job
-        ctx = RuleContext(self.spark, self.resolver, frozenset(literal_rules), self.as_of or started, self.aggregate_evidence)
-        prepared = prepare(df, validations, primary_key, ctx, self.custom)
         day = started.date()
         if self._recorded(RESULTS, execution_id, day, [v.validation_id for v in validations]):
             return TableOutcome(table_id, table_id, "SKIPPED")   # replay of a recorded execution
         staging = scratch_path(self.spark, "tessera-staging", execution_id, table_id)
 
+        def stage(frame: DataFrame) -> DataFrame:
+            path = f"{staging}/read_{uuid.uuid4().hex}"
+            frame.write.parquet(path)
+            return self.spark.read.schema(frame.schema).parquet(path)
+        # one clock for the count job and the evidence job
+        ctx = RuleContext(self.spark, self.resolver, frozenset(literal_rules), self.as_of or started, self.aggregate_evidence, stage)
+        prepared = prepare(df, validations, primary_key, ctx, self.custom)
+
         clock = _Clock()
         perimeters, failures, prepared = self._count_rows(df, prepared)
         clock.lap("row_counts")
@@ -213,10 +225,8 @@ class Runner:
         if not self.keep_staging:
             _delete(self.spark, staging)       # only after every append succeeded
         self.step_seconds[table_id] = clock.laps
-        n_failed = sum(r["status"] == "FAILED" for r in results)
-        n_error = sum(r["status"] == "ERROR" for r in results)
-        status = "SUCCESS" if n_failed == 0 and n_error == 0 else "FAILED"
-        return TableOutcome(table_id, table_id, status, len(results), n_failed, n_error, results)
+        totals = table_totals([r["status"] for r in results])
+        return TableOutcome(table_id, table_id, *totals, results)
 
     def _recorded(self, name: str, execution_id: str, day, validation_ids: list[str]) -> bool:
         """Has this execution already been written for these validations?

@@ -31,6 +31,7 @@ from tessera.plans.config import (
     validation_plan as _validation_plan,
 )
 from tessera.plans.ledger import dedup_evidences as _dedup, stage, unify_evidences as _unify
+from tessera.plans.run import table_totals
 from tessera.plans.validate import Validation, evidence, prepare, results, row_evidence
 from tessera.sources.catalog import TableResolver
 
@@ -531,20 +532,14 @@ SUMMARY_TABLES = {
 
 
 def execution_summary(spark, sf):
-    """Run totals per table from the per-validation results of three tables."""
-    frames = []
+    """Run totals per table, as the engine makes them, from the validations of
+    three tables."""
+    rows = []
     for table, (pk, vals) in SUMMARY_TABLES.items():
         df = _t(spark, sf, table)
         res = results(df, prepare(df, vals, pk, _ctx(spark, sf)))
-        frames.append(res.withColumn("table_id", F.lit(table)))
-    allres = reduce(lambda a, b: a.unionByName(b), frames)
-    failed = F.count_if(F.col("status") == "FAILED")
-    errors = F.count_if(F.col("status") == "ERROR")
-    return (allres.groupBy("table_id")
-            .agg(F.count(F.lit(1)).alias("validations_executed"), failed.alias("validations_failed"),
-                 errors.alias("validations_errors"))
-            .withColumn("status", F.when((F.col("validations_failed") + F.col("validations_errors")) > 0,
-                                         F.lit("FAILED")).otherwise(F.lit("SUCCESS"))))
+        rows.append((table, *table_totals([r.status for r in res.select("status").collect()])))       # a row per validation
+    return spark.createDataFrame(rows, "table_id string, status string, validations_executed long, validations_failed long, validations_errors long")
 
 
 # ---------------------------------------------------------------- M6 -----
