@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, minhash, packing, secret_scan, toxicity
-from tessera.llm.common import stage, table
+from tessera.llm.common import drop_staged, stage, table
 
 SIMILARITY = 80         # percent of shingles shared by near duplicates
 
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(*read)              # no later stage reads it
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
