@@ -13,6 +13,7 @@ landmarks' presences are kernels, and kernels times the weights are margins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +39,7 @@ GRAMS = 6000
 SIZES = (1, 2, 3, 4)
 RIDGE = 1e-3
 BATCH = 256             # texts scored by one product
+PIECE = 400_000         # characters taken apart at once
 UNKNOWN = "und"
 
 
@@ -53,6 +55,30 @@ def letters() -> np.ndarray:
     return out
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in runs of about PIECE characters, as (numbers, parts); a longer
+    text is cut at white space. No word is cut but one longer than PIECE, which
+    is a run of its own."""
+    numbers, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            stop = len(text)
+            if stop - at > PIECE:
+                space = re.compile(r"\s").search(text, at + PIECE)
+                stop = space.end() if space else stop
+            numbers.append(i)
+            parts.append(text[at:stop])
+            held, at = held + stop - at, stop
+            if held >= PIECE:
+                yield numbers, parts
+                numbers, parts, held = [], [], 0
+            if not text:
+                break
+    if parts:
+        yield numbers, parts
+
+
 def letter_sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All words of the texts with one 0 before, between and after them, and the
     number of each letter's text (a 0 goes with the word before it)."""
@@ -91,17 +117,19 @@ class Presence:
     def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Presence matrix and whether there is any letter, BATCH texts at a time."""
         for start in range(0, len(texts), BATCH):
-            part = [t or "" for t in texts.slice(start, BATCH).to_pylist()]
-            x, text = letter_sequence(part)
-            held, some = np.zeros((len(part), self.size), dtype=np.float32), np.zeros(len(part), dtype=bool)
-            some[text[x > 0]] = True
-            for n in SIZES:
-                known = self.known[n]
-                if len(known) and len(x) >= n:
-                    grams = grams_at(x, n)
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    hit = np.flatnonzero(known[at] == grams)
-                    held[text[hit + n - 1], self.first[n] + at[hit]] = 1
+            batch = [t or "" for t in texts.slice(start, BATCH).to_pylist()]
+            held, some = np.zeros((len(batch), self.size), dtype=np.float32), np.zeros(len(batch), dtype=bool)
+            for numbers, parts in pieces(batch):
+                x, part = letter_sequence(parts)
+                text = np.array(numbers)[part]
+                some[text[x > 0]] = True
+                for n in SIZES:
+                    known = self.known[n]
+                    if len(known) and len(x) >= n:
+                        grams = grams_at(x, n)
+                        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                        hit = np.flatnonzero(known[at] == grams)
+                        held[text[hit + n - 1], self.first[n] + at[hit]] = 1
             yield held, some
 
 
@@ -152,11 +180,10 @@ def frequent_grams(sample: DataFrame) -> list[tuple[int, int]]:
             for _, texts in array_slices(batch.column("text")):
                 found: dict[int, list[np.ndarray]] = {n: [] for n in SIZES}
                 for text in texts.to_pylist():
-                    x, _ = letter_sequence([text])
+                    runs = [letter_sequence(parts)[0] for _, parts in pieces([text])]
                     for n in SIZES:
-                        if len(x) >= n:
-                            grams = np.unique(grams_at(x, n))
-                            found[n].append(grams[inside_word(grams, n)])
+                        grams = np.unique(np.concatenate([np.unique(grams_at(x, n)) for x in runs if len(x) >= n] or [np.zeros(0, dtype=np.uint64)]))
+                        found[n].append(grams[inside_word(grams, n)])
                 for n, lists in found.items():
                     grams, count = np.unique(np.concatenate([*lists, np.zeros(0, dtype=np.uint64)]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n, dtype=np.int32)), pa.array(grams.view(np.int64)), pa.array(count)],

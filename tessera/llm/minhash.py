@@ -6,11 +6,14 @@
    Values met once are dropped; a class with fewer shared values than the match
    threshold has no partner. Of the others only a prefix is posted, rarest
    values first: two classes that agree on enough coordinates meet in a prefix.
-3. Lists are merged in two ways. First every member meets its list's pivot
-   (the member whose values are most common, the middle of a dense group),
-   which links dense groups in linear work. Then lists whose members are all in
-   one component are skipped; in the others blocks of members meet block by
-   block and count equal coordinates, members of one component excepted. A pair
+3. Lists are merged in two ways. First members meet their list's pivot (the
+   member whose values are most common, the middle of a dense group): each in
+   its longest list only, then in all lists whose members are not yet in one
+   component. This links dense groups in linear work. Lists whose members are
+   all in one component are skipped; in the others blocks of members meet block by
+   block and count equal coordinates, members of one component excepted; at
+   first each member is confirmed with its best partner only, which joins up
+   groups whose texts are mostly just below the limit, then all are. A pair
    counts in the first list it shares only. Pairs below the match threshold go,
    and so do those that miss the threshold of a longer, sharper sketch.
 4. Pairs left are confirmed on their full shingle sets. Components follow by
@@ -40,6 +43,7 @@ COORDS = 32
 SKETCH = 512            # coordinates of the sketch, a byte each
 MISS = 1e-5             # chance that a pair just at the limit shares too few coordinates
 PIVOTS = 2
+BEST_ROUNDS = 1        # rounds in which each member is confirmed with its best partner
 BLOCK, MAX_BLOCK, BLOCKS = 256, 4096, 64        # members of a block, blocks of a list
 CACHE_WORDS = 300_000
 _SEEDS = mix(np.arange(1, 2 * (COORDS + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -189,14 +193,20 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
 
-def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (a, b), a < b, and a table they are read from: members with the pivot of their list -- the one of
-    most common values, then one by hash -- if they are in two components and
-    their sketches agree."""
-    weighed = lists.join(facts.select("node", "weight"), "node")
+def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int, longest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b), a < b, and a table they are read from: members with the
+    pivot of their list -- the one of most common values, then one by hash -- if
+    they are in two components and their sketches agree. With ``longest``, each
+    member meets the pivot of its longest list only."""
+    weighed = lists.join(facts.select("node", "weight", "component"), "node")
     key = F.struct("weight", "node") if rank == 0 else F.struct(F.xxhash64("node", F.lit(rank)).alias("h"), "node")
-    pivots = stage(weighed.groupBy("cv").agg(F.max(key).alias("p")).select("cv", F.col("p.node").alias("b")), "pivots", slim=True)
-    pairs = (lists.select("cv", F.col("node").alias("a")).join(pivots, "cv").where("a <> b")
+    pivots = stage(weighed.groupBy("cv").agg(F.max(key).alias("p"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
+                                             F.max("component").alias("high")).where("low <> high")
+                   .select("cv", F.col("p.node").alias("b"), "size"), "pivots", slim=True)
+    met = lists.select("cv", F.col("node").alias("a")).join(pivots, "cv")
+    if longest:
+        met = met.groupBy("a").agg(F.max(F.struct("size", "cv", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    pairs = (met.where("a <> b")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sides = [facts.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"),
                           F.col("component").alias(f"{s}_c")) for s in "ab"]
@@ -212,12 +222,13 @@ def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) ->
     return near.mapInArrow(run, "a long, b long"), pivots
 
 
-def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int, best: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (a, b), a < b, and a table they are read from: all pairs of a list's members that are in two
     components and share enough coordinates, each pair in the list of the
     first coordinate under which both are posted alike. Lists are cut into
     blocks; each pair of blocks is one small group, so no list meets in one
-    task."""
+    task. With ``best``, only the pairs whose sketches agree most for one of
+    their ends: at most one of each member."""
     named = lists.join(facts.select("node", "component"), "node")
     block = F.greatest(F.lit(BLOCK), F.least(F.lit(MAX_BLOCK), F.col("size") / BLOCKS))
     sizes = stage(named.groupBy("cv").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
@@ -252,11 +263,24 @@ def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) ->
         small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
         good = (col["component"][i] != col["component"][j]) & (small * 100 >= large * percent)
         i, j = i[good], j[good]
-        good = np.concatenate([np.zeros(0, dtype=bool)] + [
-            sharp_enough(sharp[i[k:k + 4096]], sharp[j[k:k + 4096]], percent) for k in range(0, len(i), 4096)])
-        a, b = col["node"][i[good]], col["node"][j[good]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long"), sizes
+        agree = np.concatenate([np.zeros(0, dtype=np.int64)] + [
+            (sharp[i[k:k + 4096]] == sharp[j[k:k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
+        good = agree >= match_threshold(percent, SKETCH)
+        i, j, agree = i[good], j[good], agree[good]
+        if best:
+            order = np.argsort(-agree, kind="stable")
+            first = [order[np.unique(end[order], return_index=True)[1]] for end in (i, j)]
+            keep = np.unique(np.concatenate(first))
+            i, j, agree = i[keep], j[keep], agree[keep]
+        a, b = col["node"][i], col["node"][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": agree.astype(np.int64)})
+    pairs = sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long, agree long")
+    if not best:
+        return pairs.select("a", "b"), sizes
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "agree"),
+                                          F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))).alias("e")).select("e.*")
+    top = ends.groupBy("x").agg(F.max(F.struct("agree", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sizes
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,12 +316,12 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     drop_staged(classes, wanted)
 
     links, labels, written = None, None, []
-    for rank in [*range(PIVOTS), None]:
+    for rank, few in [(0, True), *((r, False) for r in range(PIVOTS)), *[(None, True)] * BEST_ROUNDS, (None, False)]:
         if labels is None:
             facts = known.withColumn("component", F.col("node"))
         else:
             facts = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs, inner = pivot_pairs(lists, facts, rank, percent) if rank is not None else block_pairs(lists, facts, least, percent)
+        pairs, inner = pivot_pairs(lists, facts, rank, percent, few) if rank is not None else block_pairs(lists, facts, least, percent, few)
         pairs = stage(pairs, "pairs", slim=True)
         new = stage(confirmed(pairs, sets, percent), "links", slim=True)
         drop_staged(pairs, inner)

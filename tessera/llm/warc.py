@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
+GROUP_BYTES, GROUP_RECORDS = 4_000_000, 10_000       # records handed on at once
 ARCHIVE_BYTES = 4_000_000
 MIN_REVISIT_BYTES = 100
 # The profile of revisit records, and the record's version line.
@@ -265,7 +266,9 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
     payload_bytes, payload_digest, refers_to, and for gaps record_type "gap"
     and the failed check in gap_reason. Rows of one gzip member share its
     offset; the first has its length, the others 0. A null or empty content gives no row;
-    other columns of ``archives`` are not carried; rows are independent."""
+    other columns of ``archives`` are not carried; rows are independent. Records
+    are handed on in groups of about GROUP_BYTES, so besides the archive itself
+    and one inflated member no more is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()),
                             ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()),
@@ -273,11 +276,16 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
                             ("refers_to", pa.string()), ("gap_reason", pa.string())])
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content")):
-                out = []
+                out, held = [], 0
                 for offset, length, what in salvage(content.as_py() or b""):
                     row = {"archive": name.as_py(), "byte_offset": offset, "byte_length": length}
                     out.append(row | ({"record_type": "gap", "gap_reason": what} if isinstance(what, str) else what))
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    held += len(out[-1].get("payload") or b"")
+                    if held >= GROUP_BYTES or len(out) >= GROUP_RECORDS:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
     return archives.select(F.col(name_col).alias("name"), F.col(content_col).alias("content")).mapInArrow(
         run, "archive string, byte_offset long, byte_length long, record_type string, record_id string, target_uri string, "
              "payload binary, payload_bytes long, payload_digest string, refers_to string, gap_reason string")

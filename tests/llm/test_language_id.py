@@ -57,6 +57,17 @@ def test_presence_of_every_gram():
         assert {every[i] for i in np.flatnonzero(row)} == grams(text or "") and some == bool(grams(text or ""))
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["ab cde  f " * 40, "", "x" * 90, "one two\nthree\u2003four " * 9, "z", "12 " * 50]
+    every = sorted(set().union(*map(grams, texts)))
+    whole = next(L.Presence(every).batches(pa.array(texts)))
+    for size in (1, 7, 30, 100):
+        monkeypatch.setattr(L, "PIECE", size)
+        assert ["".join(p for n, ps in L.pieces(texts) for k, p in zip(n, ps) if k == i) for i in range(len(texts))] == texts
+        held, some = next(L.Presence(every).batches(pa.array(texts)))
+        assert (held == whole[0]).all() and (some == whole[1]).all()
+
+
 def test_ridge_is_the_minimum():
     rng = np.random.default_rng(1)
     marks = L.normed((rng.random((6, 40)) < 0.4).astype(np.float32)).T

@@ -66,3 +66,31 @@ def test_odd_rows_and_missing_labels(spark):
     assert toxicity.score_documents(empty(spark), model).collect() == []
     blank = toxicity.fit(docs, labels.limit(0))
     assert blank.score("anything") == 0.5
+
+
+def test_repeated_ids_count_with_their_smallest_text(spark):
+    """The sample is the same for any order and partitioning of the rows."""
+    docs, labels = _biased(spark)
+    others = docs.where("doc_id < 300").withColumn("text", F.concat(F.lit("zz other text "), "text"))
+    want = sorted(map(tuple, toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic").collect()))
+    for n in (1, 5):
+        both = others.union(docs).union(docs).repartition(n)
+        assert sorted(map(tuple, toxicity.labelled_sample(both, labels, "doc_id", "text", "toxic").collect())) == want
+    assert len(want) == 800
+
+
+def test_scores_against_a_plain_sum(spark):
+    """Every score is the logistic function of the bias and the weights of the
+    distinct words and word beginnings of the whole text."""
+    docs, labels = _biased(spark)
+    model = toxicity.fit(docs, labels)
+    names = {toxicity.features_of(w)[0] for w in ("idiot", "scum")}
+    assert names <= set(model.weights)
+    texts = [r for r in docs.limit(50).collect()] + frame(spark).collect()
+    got = {r.text: r.score for r in toxicity.score_documents(spark.createDataFrame(texts, docs.schema), model).collect()}
+    for r in texts:
+        held = set()
+        for w in set(toxicity.WORD.findall((r.text or "").lower())):
+            held |= {toxicity.xxhash.xxh3_64_intdigest(n) - 2**63 for n in ["=" + w, *(w[:k] for k in (4, 5, 6) if len(w) >= k)]}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in held)
+        assert abs(got[r.text] - 1 / (1 + 2.718281828459045 ** -max(-30, min(30, z)))) < 1e-9

@@ -147,3 +147,13 @@ def test_real_files(spark, scratch_dir):
     got = read.groupBy(F.regexp_extract("archive", "[^/]*$", 0).alias("f"), "record_type").count().collect()
     assert sorted((r.f, r.record_type, r["count"]) for r in got) == [
         ("a.warc.gz", "gap", 1), ("a.warc.gz", "response", 5), ("b.warc", "response", 3)]
+
+
+def test_archive_of_many_records(spark, monkeypatch):
+    """Records are handed on in groups, in order, none lost between two."""
+    content = b"".join(warc.gzip_member(warc.record("response", i, "http://x", b"%d" % i, sha256(b"%d" % i).hexdigest(), None)) for i in range(25_000))
+    assert 25_000 > 2 * warc.GROUP_RECORDS
+    archives = spark.createDataFrame([("a", bytearray(content)), ("empty", None)], "archive string, content binary")
+    got = warc.read_archives(archives).select("record_id", "byte_offset", "byte_length", "payload").collect()
+    assert [r.record_id for r in got] == [str(i) for i in range(25_000)] and got[-1].byte_offset + got[-1].byte_length == len(content)
+    assert [r.payload for r in got[::5000]] == [b"%d" % i for i in range(0, 25_000, 5000)]
