@@ -7,11 +7,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tessera import suite_jobs
 from tessera.plans import history as H
 from tessera.plans.ledger import unify_job
 from tessera.sources.catalog import TableResolver, path_exists
 from tessera.sources.ledger_store import EVIDENCES, EXECUTIONS, RESULTS, TABLES, VALIDATIONS, Store
 from tests import fixtures as fx
+from tests.conftest import SF_SMALL
 from tests.test_runner_fixtures import _setup
 
 COUNTERS = ["new_failures", "persistent_failures", "resolved_failures"]
@@ -139,3 +141,14 @@ def test_late_evidence_is_unified_then_flagged(spark, scratch_dir):
     H.persistence_job(spark, store)
     assert new() == {"e0": True, "e1": False, "e2": False, "e3": False}
     assert [r.resolved_failures for r in store.read(RESULTS).orderBy("execution_id").collect()] == [0, 0, 0, 0]
+
+
+def test_evidence_of_the_history_query_is_not_one_tasks_work(spark):
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")          # a table of this size would be merged into one task
+    try:
+        files = suite_jobs._history_store(spark, SF_SMALL).read(EVIDENCES).inputFiles()
+    finally:
+        spark.conf.set(merge, before)
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 1         # part-<task>-...
