@@ -17,9 +17,10 @@ FILTER_BITS = 2**23
 
 def filter_words(keys: DataFrame, word: str, bit: str) -> DataFrame:
     """The bitmap of the values of the one column of ``keys`` (a long hash) as
-    rows (word, bit)."""
+    rows (word, bit). A null key sets no bit."""
     place = F.pmod(F.col(f"`{keys.columns[0]}`"), F.lit(FILTER_BITS))
-    return (keys.select(F.shiftright(place, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias(bit))
+    # never null, so a join on it adds no filter to the plan of ``keys``, which may be in use elsewhere
+    return (keys.select(F.coalesce(F.shiftright(place, 6), F.lit(0)).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias(bit))
             .groupBy(word).agg(F.bit_or(bit).alias(bit)))
 
 

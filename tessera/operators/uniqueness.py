@@ -1,11 +1,14 @@
 """Several uniqueness rules of one table at once.
 
-1. One scan gives each row's 64-bit key hash under every rule it is subject to;
-   one aggregate (rule, hash), combined before its shuffle, finds the hashes that
-   repeat. Rows without a repeat under any rule -- most of them -- go no further.
+1. One scan gives each row's key, and a 64-bit hash of it, under every rule it is
+   subject to; one aggregate (rule, hash, key), combined before its shuffle, finds
+   the keys that repeat.
 2. A second scan keeps the (row, rule) pairs whose hash is in a bounded bitmap of
-   the repeated ones; those are counted by their whole keys, and the pairs of
-   keys met more than once are the evidence. Hot keys are salted.
+   the repeated ones -- where few repeat, the others go no further -- and meets
+   them with the repeated keys: the evidence. The hash comes first in that join,
+   whose sort thus compares numbers as good as always. Hot keys are salted.
+
+The three uses of the repeated keys (bitmap, heaviest keys, join) read one shuffle.
 
 A rule on its own scans and shuffles the table for itself, so V rules cost V
 times as much.
@@ -13,6 +16,7 @@ times as much.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -60,6 +64,12 @@ def key_part(c: Column, kind: DataType) -> Column | None:
     return c.cast("string") if isinstance(kind, plain) or kind == StringType() else None
 
 
+def key_text(parts: list[Column]) -> Column:
+    """One text for several that are not null, each behind its length: equal
+    only if all parts are."""
+    return parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (F.char_length(p).cast("string"), F.lit(":"), p)])
+
+
 def combinable(df: DataFrame, columns: list[str]) -> bool:
     """Whether the keys can be told apart as text."""
     return bool(columns) and all(key_part(F.lit(None), df.select(F.col(c)).schema[0].dataType) is not None for c in columns)
@@ -69,24 +79,26 @@ def is_unique_many(df: DataFrame, rules: list[UniqueRule], primary_key: str | li
     """Evidence (validation_id, table_pk, failed_value) of all ``rules``: rows
     whose key occurs more than once inside the rule's perimeter; a key with a
     NULL part passes. Keys must be ``combinable``."""
-    subject, texts, hashes = [], [], []
-    for i, rule in enumerate(rules):
-        kinds = [df.select(F.col(c)).schema[0].dataType for c in rule.columns]
+    subject, texts, names, mark = [], [], {}, uuid.uuid4().hex
+    for rule in rules:
         held = [F.col(c).isNotNull() for c in rule.columns] + ([rule.perimeter] if rule.perimeter is not None else [])
         subject.append(reduce(lambda a, b: a & b, held))
-        parts = [key_part(F.col(c), k) for c, k in zip(rule.columns, kinds)]
-        texts.append(parts[0] if len(parts) == 1 else F.to_json(F.array(*parts)))
-        hashes.append(F.xxhash64(F.lit(i), *parts))
+        texts.append(key_text([F.col(names.setdefault(c, f"part{len(names)}_{mark}")) for c in rule.columns]))
+    # a column's text is made once per row, however many rules use it
+    df = df.withColumns({name: key_part(F.col(c), df.select(F.col(c)).schema[0].dataType) for c, name in names.items()})
 
     def pairs(*fields) -> Column:
-        """One struct per rule the row is subject to."""
-        return F.inline(F.array_compact(F.array(*[
-            F.when(subject[i], F.struct(F.lit(i).alias("_rule"), hashes[i].alias("_h"), *[f(i) for f in fields])) for i in range(len(rules))])))
-    repeated = df.select(pairs()).groupBy("_rule", "_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
+        """One struct per rule; NULLs where the row is not subject to it."""
+        return F.inline(F.array(*[F.when(subject[i], F.struct(
+            F.lit(i).alias("_rule"), F.xxhash64(F.lit(i), texts[i]).alias("_h"), texts[i].alias("_key"), *[f(i) for f in fields])) for i in range(len(rules))]))
+    keys = ["_h", "_rule", "_key"]
+    # one would do; with all three no use of the counts adds a filter of its own, and they share the shuffle
+    met = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    counted = (df.select(pairs()).filter(met).groupBy("_rule", "_h", "_key")
+               .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
     wide = df.select(pk_text(primary_key).alias("table_pk"),
-                     pairs(lambda i: texts[i].alias("_key"), lambda i: rules[i].value.alias("failed_value")))
-    candidates = marked_if_met(wide, F.col("_h"), repeated, "_met").filter("_met").drop("_met", "_h")
-    counted = candidates.groupBy("_rule", "_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+                     pairs(lambda i: rules[i].value.alias("failed_value"))).filter(met)
+    candidates = marked_if_met(wide, F.col("_h"), counted.select("_h"), "_met").filter("_met").drop("_met")
     ids = F.array(*[F.lit(r.validation_id) for r in rules])
-    return _spread_semi(candidates, counted, ["_rule", "_key"]).select(
+    return _spread_semi(candidates, counted, keys).select(
         F.element_at(ids, F.col("_rule") + 1).alias("validation_id"), "table_pk", "failed_value")

@@ -68,6 +68,23 @@ def test_one_scan_counts_all_rules(spark):
     assert plan.count("Relation [") == one.count("Relation [")
 
 
+def test_counts_are_shuffled_once(spark):
+    """Bitmap, heaviest keys and join read the same counts; the rows are read once more."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = is_unique_many(df, pairs(df, [(["l_partkey"], None), (["l_suppkey", "l_shipdate"], None)]), "l_orderkey")
+    out.collect()
+    done = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("Scan parquet") == 2 and "ReusedExchange" in done
+
+
+def test_composite_keys_with_odd_texts(spark):
+    parts = ["", "1", ":", "1:", "1:1", "1:1:1", "2:1:", "\"", "\",\"", "é", "é:1:"]
+    rows = [(n, a, b) for n, (a, b) in enumerate((a, b) for a in parts for b in parts)]
+    df = spark.createDataFrame([*rows, (9001, "1:", "é"), (9002, "1:", "é")], "id long, a string, b string")
+    got = is_unique_many(df, pairs(df, [(["a", "b"], None)]), "id").collect()
+    assert sorted(r.table_pk for r in got) == sorted(["9001", "9002", *[str(n) for n, a, b in rows if (a, b) == ("1:", "é")]])
+
+
 def test_run_takes_them_together(spark, scratch_dir):
     df = table(spark)
     vals = [Validation(f"V{k}", "is_unique", {"columns": c}, perimeter=p) for k, (c, p) in enumerate([*RULES, (["n"], None)])]
