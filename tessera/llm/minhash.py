@@ -12,7 +12,9 @@
    one component are skipped; in the others blocks of members meet block by
    block and count equal coordinates, members of one component excepted. A pair
    counts in the first list it shares only. Pairs below the match threshold go,
-   and so do those that miss the threshold of a longer, sharper sketch.
+   and so do those whose sets differ in more shingles than the limit leaves room
+   for, as an odd sketch shows, or that miss the threshold of a longer, sharper
+   sketch. Near copies just below the limit end here, not in the exact check.
 4. Pairs left are confirmed on their full shingle sets. Components follow by
    contraction; no two texts with a link end up apart, and no pair inside a
    component needs to be listed.
@@ -38,6 +40,7 @@ from tessera.llm.perfect_hash import mix
 WORDS = 5
 COORDS = 32
 SKETCH = 512            # coordinates of the sketch, a byte each
+ODD = 2048              # bits of the odd sketch that follows them, a power of two
 MISS = 1e-5             # chance that a pair just at the limit shares too few coordinates
 PIVOTS = 2
 BLOCK, MAX_BLOCK, BLOCKS = 256, 4096, 64        # members of a block, blocks of a list
@@ -99,14 +102,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """The lowest byte of SKETCH further minima of a set that is not empty."""
+    """The lowest byte of SKETCH further minima of a set that is not empty, then
+    ODD bits: which of ODD bins hold an odd number of members."""
     out = np.empty(SKETCH, dtype=np.uint8)
     step = max(1, 2_000_000 // len(members))        # bounds the table of a long text
     for at in range(0, SKETCH, step):
         seeds = slice(COORDS + at, COORDS + min(at + step, SKETCH))
         values = (members[None, :] * _MULT[seeds, None] + _ADD[seeds, None]) >> np.uint64(32)
         out[at:at + step] = values.min(axis=1).astype(np.uint8)
-    return out.tobytes()
+    bins = (members >> np.uint64(65 - ODD.bit_length())).astype(np.int64)
+    return out.tobytes() + np.packbits(np.bincount(bins, minlength=ODD) & 1 == 1).tobytes()
 
 
 def set_key(members: np.ndarray) -> tuple[int, int]:
@@ -180,13 +185,20 @@ def postings(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return kept.select(F.explode("prefix").alias("cv"), "node"), kept.select("node", "posted", "weight")
 
 
-def sharp_enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of two tables of sketches agree often enough."""
-    return (a == b).sum(axis=1) >= match_threshold(percent, SKETCH)
+def sharp_enough(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of two tables of sketches may stand for similar sets; ``n`` is
+    the size of both sets together. Every member that only one set has changes
+    one bit of the odd sketches, so they differ in as many bits at most: no
+    pair at the limit fails here. The others must agree often enough."""
+    odd = [np.ascontiguousarray(x[:, SKETCH:]).view(np.uint64) for x in (a, b)]
+    good = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent)
+    at = np.flatnonzero(good)
+    good[at] = (a[at, :SKETCH] == b[at, :SKETCH]).sum(axis=1) >= match_threshold(percent, SKETCH)
+    return good
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + ODD // 8)
 
 
 def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -202,12 +214,12 @@ def pivot_pairs(lists: DataFrame, facts: DataFrame, rank: int, percent: int) ->
                           F.col("component").alias(f"{s}_c")) for s in "ab"]
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     near = (pairs.join(sides[0], "a").join(sides[1], "b").where(F.col("a_c") != F.col("b_c")).where(small * 100 >= large * percent)
-            .select("a", "b", "a_sketch", "b_sketch"))
+            .select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_sketch", "b_sketch"))
 
     @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = sharp_enough(_sketches(batch.column("a_sketch")), _sketches(batch.column("b_sketch")), percent)
+            good = sharp_enough(_sketches(batch.column("a_sketch")), _sketches(batch.column("b_sketch")), batch.column("n").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
     return near.mapInArrow(run, "a long, b long"), pivots
 
@@ -251,9 +263,9 @@ def block_pairs(lists: DataFrame, facts: DataFrame, least: int, percent: int) ->
             i, j = i[col["node"][i] < col["node"][j]], j[col["node"][i] < col["node"][j]]
         small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
         good = (col["component"][i] != col["component"][j]) & (small * 100 >= large * percent)
-        i, j = i[good], j[good]
+        i, j, both = i[good], j[good], (small + large)[good]
         good = np.concatenate([np.zeros(0, dtype=bool)] + [
-            sharp_enough(sharp[i[k:k + 4096]], sharp[j[k:k + 4096]], percent) for k in range(0, len(i), 4096)])
+            sharp_enough(sharp[i[k:k + 4096]], sharp[j[k:k + 4096]], both[k:k + 4096], percent) for k in range(0, len(i), 4096)])
         a, b = col["node"][i[good]], col["node"][j[good]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return sent.groupBy("cv", "low", "high").applyInArrow(run, "a long, b long"), sizes

@@ -89,6 +89,42 @@ def test_blocks_find_what_pivots_miss(spark, monkeypatch):
     assert result(minhash.near_dups(frame(spark, data))) == brute(data, 85)
 
 
+def test_pairs_just_below_the_limit_are_not_confirmed_one_by_one(spark, monkeypatch):
+    """Two of these copies share some 81 percent unless their edits overlap."""
+    rnd, staged = random.Random(5), {"pairs": 0, "links": 0}
+    base, texts = [f"d{i}" for i in range(200)], []
+    for k in range(120):
+        words = base[:]
+        for at in rnd.sample(range(200), 2):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)]
+
+    def counting(df, name, slim=False, stage=minhash.stage):
+        out = stage(df, name, slim)
+        if name in staged:
+            staged[name] += out.count()
+        return out
+    monkeypatch.setattr(minhash, "stage", counting)
+    assert result(minhash.near_dups(frame(spark, data))) == brute(data, 85)
+    assert 0 < staged["pairs"] <= staged["links"] + 120, staged
+
+
+def test_odd_sketch_lets_every_pair_at_the_limit_pass():
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 150, 600, 5000):
+        pool = rng.integers(0, 2**63, 2 * size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for percent in (85, 80):
+            shared = -(-percent * 2 * size // (100 + percent))          # the least that links two sets of this size
+            if shared <= size:
+                a, b = pool[:size], np.concatenate([pool[:shared], pool[size:2 * size - shared]])
+                assert 100 * shared >= percent * (2 * size - shared)
+                tables = [np.frombuffer(minhash.sketch(x), dtype=np.uint8)[None, :].copy() for x in (a, b)]
+                for t in tables:
+                    t[:, :minhash.SKETCH] = 0                           # the odd bits alone
+                assert minhash.sharp_enough(*tables, np.array([2 * size]), percent).all()
+
+
 def test_op2_equals_brute_force(spark):
     data = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert result(queries.op2_minhash(spark, SF_SMALL)) == brute(data, 85)
