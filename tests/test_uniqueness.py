@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import RuleContext, sketch
+from tessera.operators import RuleContext, sketch, uniqueness
 from tessera.operators.dataset_rules import is_unique
 from tessera.operators.uniqueness import UniqueRule, combinable, is_unique_many
 from tessera.plans.run import Runner
@@ -85,6 +85,47 @@ def test_composite_keys_with_odd_texts(spark):
     assert sorted(r.table_pk for r in got) == sorted(["9001", "9002", *[str(n) for n, a, b in rows if (a, b) == ("1:", "é")]])
 
 
+def shuffled_bytes(plan):
+    """Bytes written by the shuffles of an executed plan."""
+    kind, below = plan.getClass().getSimpleName(), [plan.children().apply(k) for k in range(plan.children().size())]
+    if kind.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    if kind == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_bytes(p) for p in below)
+
+
+def test_few_bytes_of_a_key_are_shuffled(spark):
+    df = spark.range(300_000).selectExpr("id", "concat('customer number ', id) s", "id * 7 m")
+    out = is_unique_many(df, pairs(df, [(["id"], None), (["s"], None), (["m", "s"], None)]), "id")
+    assert out.collect() == []
+    assert shuffled_bytes(out._jdf.queryExecution().executedPlan()) < 6 * 3 * 300_000
+
+
+def test_every_hash_the_same(spark, monkeypatch):
+    """All rows are candidates of one hot hash: whole keys decide, over all salts."""
+    monkeypatch.setattr(uniqueness, "key_value", lambda c, kind: F.lit(1))
+    df = table(spark)
+    got = is_unique_many(df, pairs(df, RULES), "id").collect()
+    assert sorted((r.validation_id, r.table_pk) for r in got) == alone(spark, df, RULES)
+
+
+def test_alone_in_its_salt(spark):
+    rows = [("three parts", 0, 1), ("three parts", 1, 2), ("three parts", 2, 3), ("two and one", 0, 4), ("two and one", 0, 5), ("two and one", 3, 6),
+            ("once", 1, 7), ("pair", None, 8), ("pair", None, 9), ("single", None, 10), ("same rows", 2, 11), ("same rows", 2, 11), (None, 0, 12)]
+    found = uniqueness.told_apart(spark.createDataFrame(rows, "k string, salt int, n int"), ["k"], "salt")
+    assert sorted(r.n for r in found.collect()) == [1, 2, 3, 4, 5, 6, 8, 9, 11, 11]
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ["_rule", "_h", "_block", "_words", "_key", "_salt", "_hot", "table_pk", "failed_value", "_n"]
+    df = spark.range(40).selectExpr(*[f"id % {k + 2} AS `{n}`" for k, n in enumerate(names)], "id")
+    got = is_unique_many(df, pairs(df, [([n], "id < 12") for n in names]), "id").collect()
+    want = [(f"V{k}", str(i)) for k in range(len(names)) for i in range(12) if sum(j % (k + 2) == i % (k + 2) for j in range(12)) > 1]
+    assert sorted((r.validation_id, r.table_pk) for r in got) == sorted(want)
+
+
 def test_run_takes_them_together(spark, scratch_dir):
     df = table(spark)
     vals = [Validation(f"V{k}", "is_unique", {"columns": c}, perimeter=p) for k, (c, p) in enumerate([*RULES, (["n"], None)])]
